@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values. A word is a run of bytes that are digits, ASCII letters or part of a non-ASCII character.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text whose letters are not lower-cased yet.
+CASED_WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Byte table: A-Z to a-z, every separator to a space, all else itself.
 NORMAL = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, slices, words_of
+from .common import CASED_WORD_PATTERN, slices, words_of
 
 #: Characters of windows that one automaton holds at most (about 50 bytes of memory each).
 BLOCK_CHARS = 4_000_000
-WORD = re.compile(WORD_PATTERN)
+WORD = re.compile(CASED_WORD_PATTERN)
 RESULT = "_id long, n_words long, runs array<struct<first:long,last:long>>, spans array<struct<start:long,end:long>>, items array<long>"
 
 
