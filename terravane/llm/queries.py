@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, langid
+from . import bpe, chat, decontaminate, html_extract, langid, license_scan
 from .common import crc_mod, table
 
 
@@ -27,6 +27,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.digest(html_extract.extract_main_text(table(spark, sf_dir, "pages")))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 4) == 2)
     model = langid.learn(docs.where("not held_out"))
