@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, langid, license_scan
+from . import bpe, chat, decontaminate, html_extract, langid, license_scan, quality
 from .common import crc_mod, table
 
 
@@ -23,6 +23,13 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows.unionByName(extra)))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 3) == 1)
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1)
+    field = quality.learn(docs.where("not held_out"), labels)
+    return quality.score(docs, field, keep=("doc_id", "held_out"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.digest(html_extract.extract_main_text(table(spark, sf_dir, "pages")))
 
