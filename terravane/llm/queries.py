@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, langid, license_scan, quality
+from . import bpe, chat, decontaminate, embedding_dedup, html_extract, langid, license_scan, quality
 from .common import crc_mod, table
 
 
@@ -30,6 +30,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, field, keep=("doc_id", "held_out"))
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.digest(html_extract.extract_main_text(table(spark, sf_dir, "pages")))
 
