@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embedding_dedup, html_extract, langid, license_scan, quality
+from . import bpe, chat, decontaminate, embedding_dedup, html_extract, langid, license_scan, minhash, quality
 from .common import crc_mod, table
 
 
@@ -38,6 +38,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.digest(html_extract.extract_main_text(table(spark, sf_dir, "pages")))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
 
