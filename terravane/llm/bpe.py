@@ -179,10 +179,11 @@ def decode_bpe(df: DataFrame, tokens: list[bytes], ids_column: str = "token_ids"
     return rows.mapInArrow(run, schema)
 
 
-def digest(decoded: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The contract's columns of the ids and the decoded bytes."""
+def digest(decoded: DataFrame, id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The contract's columns of the ids and the decoded bytes, and the kept columns."""
     return decoded.select(
         id_column,
+        *keep,
         (F.length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

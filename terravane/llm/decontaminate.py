@@ -5,7 +5,7 @@ the matches are mapped back to word numbers and to character offsets of the orig
 
 Defined results: null or wordless texts have no words and no hits; items without a word match
 nothing; items with a null id mark words as hit but are not listed; repeated rows each get a
-result; other columns of the input are not read, so clashing names do no harm.
+result; of other columns only the kept ones are read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import CASED_WORD_PATTERN, slices, words_of
 
 #: Characters of windows that one automaton holds at most (about 50 bytes of memory each).
 BLOCK_CHARS = 4_000_000
 WORD = re.compile(CASED_WORD_PATTERN)
-RESULT = "_id long, n_words long, runs array<struct<first:long,last:long>>, spans array<struct<start:long,end:long>>, items array<long>"
+RESULT = "n_words long, runs array<struct<first:long,last:long>>, spans array<struct<start:long,end:long>>, items array<long>"
 
 
 def windows_of(text: str | None, window: int) -> list[bytes]:
@@ -95,19 +96,23 @@ def _merge(runs: list) -> list:
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per document: n_words, hit word runs, their character spans in the original text, and matched item ids.
+def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_chars: int = BLOCK_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: the id, the kept columns, n_words, hit word runs, their character spans in the original text, and matched item ids.
 
     Where the items outgrow one automaton, the same pass holds several, one after the other.
     """
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(b) for b in _blocks(items, id_column=item_id, text_column=item_text, window=window, block_chars=block_chars)]
 
+    rows = docs.select(F.col(id_column).cast("long").alias(id_column), *keep, F.col(text_column).cast("string").alias("_text"))
+    kept = rows.drop("_text").schema
+    names = [*kept.names, "n_words", "runs", "spans", "items"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for part in slices(batches, "text"):
-            ids, texts = part.column("_id").to_pylist(), part.column("text").to_pylist()
-            n_words, runs, items_ = [0] * len(ids), [[] for _ in ids], [set() for _ in ids]
+        for part in slices(batches, "_text"):
+            texts = part.column("_text").to_pylist()
+            n_words, runs, items_ = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
             for k, block in enumerate(blocks):
                 if k not in held:
                     held.clear()
@@ -126,17 +131,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
                 spans.append([{"start": at[a][0], "end": at[b][1]} for a, b in r])
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("_id"),
+                    *part.columns[:-1],
                     pa.array(n_words, pa.int64()),
                     pa.array([[{"first": a, "last": b} for a, b in r] for r in runs], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array([sorted(x) for x in items_], pa.list_(pa.int64())),
                 ],
-                ["_id", "n_words", "runs", "spans", "items"],
+                names,
             )
 
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, RESULT).withColumnRenamed("_id", id_column)
+    schema = StructType([*kept.fields, *StructType.fromDDL(RESULT).fields])
+    return rows.mapInArrow(run, schema)
 
 
 def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:

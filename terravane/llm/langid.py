@@ -30,7 +30,7 @@ from .common import slices
 
 BUCKETS = 1 << 13
 #: Rows a language to learn from, words of a piece, ridge penalty, and the relative gap of losses below which a text is ambiguous.
-MAX_ROWS, PIECE_WORDS, PENALTY, GAP = 400, 8, 0.3, 0.08
+MAX_ROWS, PIECE_WORDS, PENALTY, GAP = 400, 8, 0.3, 0.02
 LETTER = re.compile(r"[^\W\d_]")
 #: Byte table: ASCII characters that are no letters to a space.
 _SPACED = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

@@ -340,7 +340,7 @@ def _minima(flagged: DataFrame, key_parts: int, parts: int, length: int) -> Data
 _RESULT = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def _cut(answered: DataFrame, key_parts: int, length: int) -> DataFrame:
+def _cut(answered: DataFrame, key_parts: int, length: int, whole_characters: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             c = _Chunk(r["ids"], r["sizes"], r["data"], length)
@@ -361,6 +361,9 @@ def _cut(answered: DataFrame, key_parts: int, length: int) -> DataFrame:
                 np.add.at(cover, begin, 1)
                 np.add.at(cover, begin + span[take][gone] + length - 1, -1)
             removed = np.cumsum(cover[:-1]) > 0
+            if whole_characters and n:
+                head = np.flatnonzero((c.data & 0xC0) != 0x80)
+                removed = np.repeat(np.logical_and.reduceat(removed, head), np.diff(head, append=n))
             ends = np.cumsum(c.sizes)
             spans, kept, lost = [], [], []
             for a, b in zip((ends - c.sizes).tolist(), ends.tolist(), strict=True):
@@ -380,8 +383,8 @@ def _cut(answered: DataFrame, key_parts: int, length: int) -> DataFrame:
     return answered.mapInArrow(run, _RESULT)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", chunk_bytes: int = CHUNK, key_bytes: int = KEY_BYTES, string_bytes: int = STRING_BYTES) -> DataFrame:
-    """id, n_bytes, n_removed, spans (byte ranges removed) and kept (the remaining bytes) of every document."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", chunk_bytes: int = CHUNK, key_bytes: int = KEY_BYTES, string_bytes: int = STRING_BYTES, whole_characters: bool = False) -> DataFrame:
+    """id, n_bytes, n_removed, spans (byte ranges removed) and kept (the remaining bytes) of every document. With whole_characters, a character of which some bytes stay is kept whole."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -394,7 +397,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     flagged = chunks.join(flags.hint("shuffle_hash"), "chunk", "left")
     minima = materialise(_minima(flagged, key_parts, parts, length)).groupBy("chunk").agg(F.collect_list(F.struct("part", "steps", "spans", "values")).alias("minima"))
     answered = flagged.join(minima.hint("shuffle_hash"), "chunk", "left")
-    return _cut(answered, key_parts, length).withColumnRenamed("id", id_column)
+    return _cut(answered, key_parts, length, whole_characters).withColumnRenamed("id", id_column)
 
 
 def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
