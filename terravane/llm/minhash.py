@@ -9,10 +9,10 @@ of the weighted Jaccard similarity. With BANDS bands of ROWS coordinates a pair
 probability (1 - 0.8 ** ROWS) ** BANDS, 5e-6.
 
 Equal texts are one class before anything is joined. Members of a band's bucket are compared with one
-hub each, verified exactly, and merged into components; buckets that still hold several components
-go another round with other hubs, and in the end every pair across components of a bucket that was
-not yet compared is compared. Members of one component are never compared again, so a large group of
-copies costs about one comparison a member and round. What is kept is the component, never all pairs.
+hub each, verified exactly, and merged into components, HUB_ROUNDS times with other hubs: a group of copies
+costs about one comparison a member and round. Buckets that still hold several components are compared
+in full: small ones pair by pair across components, larger ones in blocks of BLOCK members, where a
+pair of blocks gives a row a member at most. What is kept is the component, never all pairs.
 
 Defined results: equal texts are always one class; a null text is a class of its own; texts without a
 word are similar to nothing but equal texts; texts of fewer than SHINGLE words have one shingle of all
@@ -32,8 +32,8 @@ from .common import NORMAL, materialise, slices
 from .graph import components
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 40, 6
-#: Rounds of hubs, and the pairs a class on average at which the rest is compared outright.
-MAX_ROUNDS, REST = 8, 4
+#: Rounds of hubs; members of a bucket up to which its pairs are joined one by one, and members of a block in larger ones.
+HUB_ROUNDS, SMALL, BLOCK = 2, 12, 128
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -216,6 +216,58 @@ def _rest(shared: DataFrame, comps: DataFrame) -> DataFrame:
     return named.join(open_keys, "key")
 
 
+def _block_links(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links u, v of large buckets (key, class, n): members are dealt to blocks of about BLOCK, all pairs of blocks are compared exactly, and of each pair of blocks comes one row a class at most, with the least class that it reaches there."""
+    dealt = rest.select("key", "class", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / BLOCK)).alias("block"))
+    blocks = dealt.join(sets, "class").groupBy("key", "block").agg(F.collect_list(F.struct("class", "shingles")).alias("members"))
+    a, b = (blocks.select("key", F.col("block").alias(f"block_{k}"), F.col("members").alias(k)) for k in "ab")
+    pairs = a.join(b, "key").where("block_a <= block_b").select("block_a", "block_b", "a", "b")
+
+    def unpack(members) -> tuple[np.ndarray, list[np.ndarray]]:
+        return np.array([m["class"] for m in members], np.int64), [np.frombuffer(m["shingles"], _SET) for m in members]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (x, xs), (y, ys) = unpack(batch.column("a")[i].as_py()), unpack(batch.column("b")[i].as_py())
+                hit = similar_blocks(xs, ys, least)
+                rx, ry, far = x.copy(), y.copy(), np.iinfo(np.int64).max
+                while True:
+                    nx = np.minimum(rx, np.where(hit, ry[None], far).min(1))
+                    ny = np.minimum(ry, np.where(hit, nx[:, None], far).min(0))
+                    if (nx == rx).all() and (ny == ry).all():
+                        break
+                    rx, ry = nx, ny
+                u, v = np.concatenate([x, y]), np.concatenate([rx, ry])
+                yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
+
+    return pairs.mapInArrow(run, "u long, v long")
+
+
+def similar_blocks(xs: list[np.ndarray], ys: list[np.ndarray], least: float) -> np.ndarray:
+    """Which pairs of two lists of sets have a similarity of at least `least`: exact, by one matrix product over the shingles that both lists hold (counts above 1 in layers)."""
+    sizes = lambda sets: np.array([s["n"].sum() for s in sets], np.int64)
+    both = np.intersect1d(np.concatenate([s["h"] for s in xs]), np.concatenate([s["h"] for s in ys]))
+    common = np.zeros((len(xs), len(ys)))
+    layer = 1
+    while True:
+        tables = []
+        for sets in (xs, ys):
+            table = np.zeros((len(sets), len(both)), np.float32)
+            for i, s in enumerate(sets):
+                h = s["h"][s["n"] >= layer]
+                at = np.searchsorted(both, h)
+                at = at[(at < len(both)) & (both[np.minimum(at, len(both) - 1)] == h)] if len(both) else at[:0]
+                table[i, at] = 1
+            tables.append(table)
+        if not tables[0].any() or not tables[1].any():
+            break
+        common += tables[0] @ tables[1].T
+        layer += 1
+    union = sizes(xs)[:, None] + sizes(ys)[None] - common
+    return common >= least * union - 1e-9
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST, weighted: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, class_id (smallest id of its class) and kept (id = class_id), one row per row of docs."""
     keyed = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
@@ -228,27 +280,25 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, weighted: bool = Fals
     shared = materialise(buckets.join(hubs, "key").select("key", "class", "hub"))
     wanted = shared.select("class").distinct().join(classes.select("class", "h1", "h2", F.col("first_id").alias("id")), "class")
     sets = materialise(_sets(present.join(wanted, ["id", "h1", "h2"]).dropDuplicates(["class"]), weighted))
-    pairs = shared.where("class <> hub").groupBy(F.col("class").alias("a")).agg(F.min("hub").alias("b"))
-    tested = materialise(_verified(pairs, sets, least))
-    size = shared.select("class").distinct().count()
-    for turn in range(1, MAX_ROUNDS + 1):
-        comps = components(tested.where("like").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        rest = materialise(_rest(shared.select("key", "class"), comps))
-        open_pairs = rest.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("p")).first()["p"]
-        if not open_pairs:
-            break
-        if open_pairs <= max(1000, REST * size) or turn == MAX_ROUNDS:
-            x, y = (rest.select("key", F.col("class").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
-            pairs = x.join(y, "key").where("a > b and ca <> cb").select("a", "b").distinct()
+    links = None
+    for turn in range(HUB_ROUNDS):
+        if links is None:
+            pairs = shared.where("class <> hub").groupBy(F.col("class").alias("a")).agg(F.min("hub").alias("b"))
         else:
             hub = rest.groupBy("key").agg(F.min_by(F.struct(F.col("class").alias("b"), F.col("component").alias("cb")), F.xxhash64(F.lit(turn), "class")).alias("hub"))
             other = rest.join(hub, "key").where(F.col("component") != F.col("hub.cb")).select("class", "hub.b")
             pairs = other.groupBy("class").agg(F.min_by("b", F.xxhash64(F.lit(turn), "b")).alias("b")).select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
-        new = materialise(_verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, least))
-        tested = tested.unionByName(new)
-        if open_pairs <= max(1000, REST * size) or turn == MAX_ROUNDS:
-            comps = components(tested.where("like").select(F.col("a").alias("u"), F.col("b").alias("v")))
-            break
+        found = materialise(_verified(pairs, sets, least).where("like").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        links = found if links is None else links.unionByName(found)
+        comps = components(links)
+        rest = materialise(_rest(shared.select("key", "class"), comps))
+    # Buckets that still hold several components: all pairs across components in small ones, blocks in large ones.
+    rest = rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key")
+    x, y = (rest.where(F.col("n") <= SMALL).select("key", F.col("class").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+    pairs = x.join(y, "key").where("a > b and ca <> cb").select("a", "b").distinct()
+    few = _verified(pairs, sets, least).where("like").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = links.unionByName(materialise(few)).unionByName(materialise(_block_links(rest.where(F.col("n") > SMALL), sets, least)))
+    comps = components(links)
     named = classes.select("class", "h1", "h2", "first_id").join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least_id = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
     per_class = named.join(least_id, "component").select("h1", "h2", "class_id")
