@@ -1,4 +1,6 @@
 """All registered queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans import grid_queries, sequence_queries, table_queries
+
+QUERIES = {**sequence_queries.QUERIES, **grid_queries.QUERIES, **table_queries.QUERIES}
+ORACLE = {**sequence_queries.ORACLE, **grid_queries.ORACLE, **table_queries.ORACLE}
