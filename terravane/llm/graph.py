@@ -1,34 +1,13 @@
-"""Connected components by repeated contraction, with DataFrame operations only."""
+"""Connected components whose rounds are written to the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators import graph
 from .common import materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component: the smallest node that edges (u, v) reach. Nodes without an edge are not in it.
-
-    Each round maps every node to the least of itself and its neighbours and contracts the edges;
-    the number of nodes at least halves, so the rounds grow with the logarithm of the largest
-    component. Each round is written to the shared folder, so no lineage grows.
-    """
-    pair = lambda a, b: (F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    left = materialise(edges.select(*pair(F.col("u"), F.col("v"))).where("u <> v").distinct())
-    rounds: list[DataFrame] = []
-    while not left.isEmpty():
-        both = left.select(F.col("u").alias("node"), F.col("v").alias("x")).unionAll(left.select(F.col("v").alias("node"), F.col("u").alias("x")))
-        least = materialise(both.groupBy("node").agg(F.min("x").alias("x")).select("node", F.least("node", "x").alias("component")))
-        to_u = least.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-        to_v = least.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-        left = materialise(left.join(to_u, "u").join(to_v, "v").where("cu <> cv").select(*pair(F.col("cu"), F.col("cv"))).distinct())
-        rounds.append(least)
-    if not rounds:
-        return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    out = rounds[-1]
-    for least in reversed(rounds[:-1]):
-        later = out.select(F.col("node").alias("component"), F.col("component").alias("last"))
-        out = least.join(later, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
-    return out
+    """node, component: the smallest node that edges (u, v) reach. Nodes without an edge are not in it."""
+    return graph.components(edges, materialise)
