@@ -21,6 +21,7 @@ other; only the id and text columns are read.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from .minhash import _power_tables, mix
 
 LENGTH, MER, RUN = 50, 22, 64
 #: Text bytes of a chunk, and of the input for each group of minimizers and of strings.
-CHUNK, KEY_BYTES, STRING_BYTES = 3 << 20, 32 << 20, 16 << 20
+CHUNK, KEY_BYTES, STRING_BYTES = 3 << 20, 32 << 20, 4 << 20
 #: Rows of a transform from which its arrays are kept in files.
 FILE_ROWS = 32 << 20
 _U = np.uint64
@@ -77,13 +78,14 @@ class _Store:
 
     def __init__(self, rows: int):
         self.folder = tempfile.TemporaryDirectory(prefix="bwt-") if rows > FILE_ROWS else None
-        self.turn = 0
 
     def new(self, name: str, size: int, kind) -> np.ndarray:
         if self.folder is None:
             return np.empty(size, kind)
-        self.turn ^= 1
-        return np.memmap(f"{self.folder.name}/{name}{self.turn}-{uuid.uuid4().hex}", kind, "w+", shape=(size,))
+        path = f"{self.folder.name}/{name}-{uuid.uuid4().hex}"
+        array = np.memmap(path, kind, "w+", shape=(size,))
+        os.unlink(path)  # its space is free again as soon as the next round's array takes its place
+        return array
 
     def close(self) -> None:
         if self.folder is not None:
