@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,14 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+@lru_cache(1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="terravane-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; below a temporary one where that is unset and the master is local."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="terravane-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        top = _local_folder()
     return f"{top}/{uuid.uuid4().hex}"
 
 
