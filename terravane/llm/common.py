@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
+
 #: Fixed values. A word is a run of bytes that are digits, ASCII letters or part of a non-ASCII character.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words in a text whose letters are not lower-cased yet.
@@ -30,34 +30,13 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset and the master is local."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="terravane-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/terravane-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage so that a lost executor costs no recomputation of it."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shared(df: DataFrame) -> None:
-    """Deletes the files of a frame that materialise() returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "terravane-" in path:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that one column holds about most_bytes at most in each (one longer row stays whole)."""
     for batch in batches:

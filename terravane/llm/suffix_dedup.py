@@ -37,7 +37,7 @@ from .minhash import _power_tables, mix
 
 LENGTH, MER, RUN = 50, 22, 64
 #: Text bytes of a chunk, and of the input for each group of minimizers and of strings.
-CHUNK, KEY_BYTES, STRING_BYTES = 3 << 20, 32 << 20, 4 << 20
+CHUNK, KEY_BYTES, STRING_BYTES = 1 << 20, 16 << 20, 4 << 20
 #: Rows of a transform from which its arrays are kept in files.
 FILE_ROWS = 32 << 20
 _U = np.uint64
