@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Pieces whose ids a worker remembers at most, and the longest piece (in characters) that it remembers.
-CACHE_PIECES, CACHE_CHARS = 1_000_000, 48
+CACHE_PIECES, CACHE_CHARS = 600_000, 48
 
 
 def read_ranks(path: str) -> list[bytes]:
