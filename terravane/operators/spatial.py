@@ -56,10 +56,15 @@ def knn(vectors: DataFrame, k: int, id_column: str, vector_column: str, group: s
     return ranked.where(F.col("rank") <= k)
 
 
+def _small(df: DataFrame, most: int) -> None:
+    """Raises an error if a table that is to be broadcast has more rows than that."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to broadcast")
+
+
 def nearest_centre(points: DataFrame, centres: DataFrame, point_id: str, centre_id: str, columns: list[str], most: float | None = None) -> DataFrame:
     """The nearest of a few centres (a broadcast table, checked to be small) for each point: dist, ties by smallest id; farther than `most` is no match."""
-    if centres.limit(10_001).count() > 10_000:
-        raise ValueError("too many centres to broadcast")
+    _small(centres, 10_000)
     named = F.broadcast(centres.select(F.col(centre_id).alias("_c"), *[F.col(c).alias(f"_{c}") for c in columns]))
     square = sum((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in columns)
     best = points.join(named).groupBy(point_id).agg(F.min(F.struct(F.sqrt(square).alias("dist"), F.col("_c").alias("id"))).alias("best"))
@@ -73,6 +78,7 @@ def mean_nearest(samples: DataFrame, truth: DataFrame, reach: float) -> DataFram
     A mean below reach does not bound single distances, so all pairs inside a coarse cell block are not enough; the
     lines are few and thinned, and the nearest point of each label is reduced before the mean.
     """
+    _small(truth, 100_000)
     dx, dy = F.col("x") - F.col("_u"), F.col("y") - F.col("_v")
     t = truth.select("label", F.col("x").alias("_u"), F.col("y").alias("_v"))
     near = samples.join(F.broadcast(t)).groupBy("line", "seq", "label").agg(F.min(F.sqrt(dx * dx + dy * dy)).alias("d"))
