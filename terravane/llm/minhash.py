@@ -33,7 +33,7 @@ from .graph import components
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 40, 6
 #: Rounds of hubs; members of a bucket up to which its pairs are joined one by one, and members of a block in larger ones.
-HUB_ROUNDS, SMALL, BLOCK = 2, 12, 128
+HUB_ROUNDS, SMALL, BLOCK = 2, 12, 512
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -247,25 +247,24 @@ def _block_links(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def similar_blocks(xs: list[np.ndarray], ys: list[np.ndarray], least: float) -> np.ndarray:
     """Which pairs of two lists of sets have a similarity of at least `least`: exact, by one matrix product over the shingles that both lists hold (counts above 1 in layers)."""
     sizes = lambda sets: np.array([s["n"].sum() for s in sets], np.int64)
-    both = np.intersect1d(np.concatenate([s["h"] for s in xs]), np.concatenate([s["h"] for s in ys]))
-    common = np.zeros((len(xs), len(ys)))
-    layer = 1
-    while True:
-        tables = []
-        for sets in (xs, ys):
-            table = np.zeros((len(sets), len(both)), np.float32)
-            for i, s in enumerate(sets):
-                h = s["h"][s["n"] >= layer]
-                at = np.searchsorted(both, h)
-                at = at[(at < len(both)) & (both[np.minimum(at, len(both) - 1)] == h)] if len(both) else at[:0]
-                table[i, at] = 1
-            tables.append(table)
-        if not tables[0].any() or not tables[1].any():
-            break
-        common += tables[0] @ tables[1].T
-        layer += 1
+    flat = [(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])) for sets in (xs, ys)]
+    both = np.intersect1d(flat[0][0]["h"], flat[1][0]["h"])
+    common = np.zeros((len(xs), len(ys)), np.float32)
+    if len(both):
+        placed = []
+        for rows, owner in flat:
+            at = np.searchsorted(both, rows["h"])
+            known = both[np.minimum(at, len(both) - 1)] == rows["h"]
+            placed.append((at[known], owner[known], rows["n"][known]))
+        for layer in range(1, min(int(n.max()) for _, _, n in placed) + 1):
+            tables = []
+            for sets, (at, owner, n) in zip((xs, ys), placed, strict=True):
+                table = np.zeros((len(sets), len(both)), np.float32)
+                table[owner[n >= layer], at[n >= layer]] = 1
+                tables.append(table)
+            common += tables[0] @ tables[1].T
     union = sizes(xs)[:, None] + sizes(ys)[None] - common
-    return common >= least * union - 1e-9
+    return common.astype(float) >= least * union - 1e-9
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, weighted: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
