@@ -70,7 +70,7 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, mer: int = ME
     start = inside[at]
     stop = np.append(np.flatnonzero(np.diff(good.astype(np.int8), append=0) == -1) + 1, n)
     end = np.minimum(stop[np.searchsorted(stop, start, "right")], np.append(start[1:], n))
-    return start, end - start, least[start]
+    return start, end - start, mix(least[start] + _U(1))  # least hashes are small; scrambled again, they spread evenly over the groups
 
 
 class _Store:
