@@ -37,7 +37,7 @@ from .minhash import _power_tables, mix
 
 LENGTH, MER, RUN = 50, 22, 64
 #: Text bytes of a chunk, and of the input for each group of minimizers and of strings.
-CHUNK, KEY_BYTES, STRING_BYTES = 1 << 20, 16 << 20, 4 << 20
+CHUNK, KEY_BYTES, STRING_BYTES = 1 << 20, 16 << 20, 1 << 20
 #: Rows of a transform from which its arrays are kept in files.
 FILE_ROWS = 32 << 20
 _U = np.uint64
@@ -105,7 +105,7 @@ def bcr(strings: np.ndarray, sizes: np.ndarray, cap: int = LENGTH) -> tuple[np.n
     store = _Store(int(sizes.sum()) + count)
     at = np.arange(count)
     symbol = np.where(sizes > 0, strings[:, -1] + np.uint8(1), 0).astype(np.uint8) if long else np.zeros(count, np.uint8)
-    name = np.arange(count, dtype=np.int64) << 7  # owner and length of each row's suffix
+    name = np.arange(count, dtype=np.int32 if count < 1 << 24 else np.int64) << 7  # owner and length of each row's suffix
     prefix = np.zeros(count, np.uint8)
     live = np.flatnonzero(sizes > 0)  # in the order of their longest suffixes' rows
     row = at[live]
