@@ -3,9 +3,10 @@
 Words that occur in a licence template, other than function words, are looked up in every text with
 their positions. A phrase or template occurs at offset o where its words stand at o plus their own
 places: the postings of file and template are joined by word and grouped by the difference of their
-positions. Short base phrases need all their words. Longer notices are proposed by each file's
-TOP_WORDS licence words of highest inverse document frequency (over all files), then verified: every
-word of the mandatory key phrase and at least MIN_SHARE of all template words must stand in place.
+positions. Short base phrases need all their words. Longer notices are proposed by the word of their
+mandatory key phrase that has the highest inverse document frequency (over all files), then verified:
+every word of the key phrase and at least MIN_SHARE of all template words must stand in place. No
+notice is missed, however many a file holds, as none is verified without that word in place.
 
 Defined results: null and empty texts have no words and no labels; repeated rows each get a result
 (rows are told apart by a row number, not by their id); other columns are not read.
@@ -15,13 +16,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialise
 
 #: Separators of words in a text whose letters are not lower-cased yet.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-TOP_WORDS, MIN_VOTES, MIN_SHARE = 8, 2, 0.6
+MIN_SHARE = 0.6
 END = "\x01"
 
 # Base phrases and their labels.
@@ -88,7 +88,7 @@ def license_words(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
 
-def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", top_words: int = TOP_WORDS) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row of docs: n_words, base places and labels, all labels, score (the largest share of a verified template's words in place)."""
     spark = docs.sparkSession
     found = materialise(license_words(docs, id_column, text_column))
@@ -103,23 +103,17 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         .agg(F.count("*").alias("n_base"), F.min("offset").alias("first_word"), F.max("offset").alias("last_word"), F.collect_set("label").alias("base"))
     )
     # Document frequencies over all files; the result has one row a licence word, a fixed number.
-    in_file = words.select("row", "word").distinct()
-    frequency = in_file.groupBy("word").agg(F.count("*").alias("df"))
-    rare = (
-        in_file.join(F.broadcast(frequency), "word")
-        .withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("df", "word")))
-        .where(F.col("k") <= top_words)
-        .select("row", "word")
-    )
+    frequency = words.select("row", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
     notices = postings.where("kind = 'notice'")
-    proposed = (
-        words.join(rare, ["row", "word"])
-        .join(notices.select("word", "template", "place", "n_all"), "word")
-        .groupBy("row", "template", (F.col("at") - F.col("place")).alias("offset"))
-        .agg(F.count("*").alias("votes"))
-        .where(F.col("votes") >= MIN_VOTES)
-        .select("row", "template", "offset")
+    rarest = (
+        notices.where("needed = 1")
+        .join(F.broadcast(frequency), "word", "left")
+        .groupBy("template")
+        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "place")).alias("rarest"))
+        .select("template", "rarest.word", "rarest.place")
     )
+    # One place of the template, so each pair of template and offset is proposed once.
+    proposed = words.join(F.broadcast(rarest), "word").select("row", "template", (F.col("at") - F.col("place")).alias("offset"))
     verified = (
         proposed.join(notices, "template")
         .withColumn("at", F.col("offset") + F.col("place"))

@@ -153,6 +153,27 @@ def test_license_notices(spark):
     assert found == {1: ["mit"], 2: [], 3: ["apache", "apache-2.0"]}
 
 
+def test_license_files_with_several_notices(spark):
+    texts = [t for _, t, _ in license_scan.NOTICES]
+    rows = [(i, f"x {a}\n\n{b} y") for i, (a, b) in enumerate((a, b) for a in texts for b in texts)] + [(-1, "\n".join(texts)), (-2, "\n".join(texts[::-1] * 2))]
+    rows += [(1000 + k, "gnu affero apache granted mozilla eclipse attribution " * k) for k in range(9)]
+    found = {r["doc_id"]: set(r["labels"]) for r in license_scan.scan_licenses(docs_of(spark, rows)).collect()}
+    for i, text in rows:
+        words = text.split()
+        want = {y for p, y in license_scan.PHRASES if f" {p} " in f" {' '.join(words)} "}
+        for label, notice, key in license_scan.NOTICES:
+            t, k = notice.split(), key.split()
+            first = next(j for j in range(len(t)) if t[j : j + len(k)] == k)
+            # as _postings(): function words count only within the key phrase of a cc notice
+            used = [j for j, w in enumerate(t) if w not in license_scan.FUNCTION_WORDS or (len(w) < 3 and "cc" in k and first <= j < first + len(k))]
+            for o in range(-len(t), len(words)):
+                hit = {j for j in used if 0 <= o + j < len(words) and words[o + j] == t[j]}
+                if len(hit) >= license_scan.MIN_SHARE * len(used) and hit >= {j for j in used if first <= j < first + len(k)}:
+                    want.add(label)
+        assert found[i] == want, text
+    assert found[-1] == {y for y, *_ in license_scan.NOTICES} | {y for _, y in license_scan.PHRASES}
+
+
 # ---- language
 
 
