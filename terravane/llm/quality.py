@@ -5,7 +5,8 @@ Every line has binned features of its own and those of the line before and after
 their mean weighted by line length, put on a probability scale by a logistic curve.
 
 The field learns from a bounded sample: about MAX_ROWS labelled documents, picked by a hash of the
-id; each line of a document takes its label. Scores use the text alone.
+id; every line of a document takes its label, and each document weighs alike, however many lines it
+has. Scores use the text alone.
 
 Defined results: a null or empty text is one empty line and gets a score like any other; rows
 without a label are never learned; repeated labels of one id count by their mean (0.5 or more is
@@ -26,6 +27,8 @@ from .common import slices
 
 #: Labelled documents to learn from, lines of a training chain, steps and step size of the ascent, L2 penalty.
 MAX_ROWS, CHAIN, STEPS, RATE, PENALTY = 1500, 64, 150, 0.08, 0.002
+#: Training chains that are worked on at once.
+BLOCK = 4096
 
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 UPPER, DIGITS, SPACES = bytes(range(65, 91)), bytes(range(48, 58)), b" \t\r\f\v"
@@ -120,7 +123,43 @@ def _logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> Field:
+def _gradient(w: np.ndarray, own: np.ndarray, mask: np.ndarray, truth: np.ndarray, part: np.ndarray, size: int) -> np.ndarray:
+    """Gradient of the log likelihood of some chains (bins, real lines, labels, weight of a line)."""
+    n, long, width = len(own), mask.shape[1], own.shape[2]
+    scale, pairs = part[:, None] * mask, mask[:, 1:]
+    tables = w[: 3 * (size + 1)].reshape(3, size + 1)
+    u = tables[0][own[:, 1:-1]].sum(2) + tables[1][own[:, :-2]].sum(2) + tables[2][own[:, 2:]].sum(2) + w[-5]
+    (bb, bg), (gb, gg) = w[-4:].reshape(2, 2)
+    a = np.zeros((n, long, 2))
+    z = np.zeros((n, long, 2))
+    a[:, 0, 1] = u[:, 0]
+    for t in range(1, long):
+        x = a[:, t - 1]
+        a[:, t, 0] = np.logaddexp(x[:, 0] + bb, x[:, 1] + gb)
+        a[:, t, 1] = np.logaddexp(x[:, 0] + bg, x[:, 1] + gg) + u[:, t]
+    for t in range(long - 2, -1, -1):
+        x0, x1 = z[:, t + 1, 0], z[:, t + 1, 1] + u[:, t + 1]
+        z[:, t, 0] = np.where(mask[:, t + 1], np.logaddexp(bb + x0, bg + x1), 0)
+        z[:, t, 1] = np.where(mask[:, t + 1], np.logaddexp(gb + x0, gg + x1), 0)
+    odds = a[:, :, 1] + z[:, :, 1] - a[:, :, 0] - z[:, :, 0]
+    p = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+    g = (truth[:, None] - p) * scale
+    grad = np.zeros_like(w)
+    for j, shift in enumerate((slice(1, -1), slice(0, -2), slice(2, None))):
+        grad[j * (size + 1) : (j + 1) * (size + 1)] = np.bincount(own[:, shift].ravel(), np.repeat(g.ravel(), width), size + 1)
+        grad[(j + 1) * (size + 1) - 1] = 0
+    grad[-5] = g.sum()
+    # pair marginals
+    joint = np.stack([a[:, :-1, s] + (w[-4 + 2 * s + r] + (u[:, 1:] if r else 0)) + z[:, 1:, r] for s in (0, 1) for r in (0, 1)], 2) if long > 1 else np.zeros((n, 0, 4))
+    joint = np.exp(joint - joint.max(2, keepdims=True)) if long > 1 else joint
+    joint /= np.maximum(joint.sum(2, keepdims=True), 1e-300)
+    real = np.zeros_like(joint)
+    real[np.arange(n), :, 3 * truth] = 1
+    grad[-4:] = ((real - joint) * (pairs * scale[:, 1:])[..., None]).sum((0, 1))
+    return grad
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], block: int = BLOCK) -> Field:
     """docs: bins, line lengths, label. Gradient ascent (Adam) on the chains' log likelihood, kinds weighted alike."""
     size = len(BINS) * WIDTH
     share = float(np.mean([y for *_, y in docs])) if docs else 0.5
@@ -128,49 +167,22 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> Field:
     if share in (0.0, 1.0) or not docs:
         field.constant = share
         return field
-    chains = [(b[i : i + CHAIN], y) for b, _, y in docs for i in range(0, min(len(b), 8 * CHAIN), CHAIN)]
-    weight = np.array([0.5 / share if y else 0.5 / (1 - share) for _, y in chains])
-    long, width = max(len(b) for b, _ in chains), len(BINS)
+    chains = [(b[i : i + CHAIN], y, len(b)) for b, _, y in docs for i in range(0, len(b), CHAIN)]
+    long, width = max(len(b) for b, *_ in chains), len(BINS)
     n = len(chains)
     mask = np.zeros((n, long), bool)
-    own = np.full((n, long + 2, width), size, np.int64)  # one more entry, always 0, for no line
-    for i, (b, _) in enumerate(chains):
+    own = np.full((n, long + 2, width), size, np.uint8)  # one more entry, always 0, for no line
+    for i, (b, *_) in enumerate(chains):
         mask[i, : len(b)] = True
         own[i, 1 : len(b) + 1] = b
-    truth = np.array([y for _, y in chains])
+    truth = np.array([y for _, y, _ in chains])
+    # a line's part of its document, so that long documents count no more than short ones
+    part = np.array([(0.5 / share if y else 0.5 / (1 - share)) / lines / len(docs) for _, y, lines in chains])
     w, m, v = np.zeros(3 * (size + 1) + 5), 0.0, 0.0
-    scale = (weight[:, None] * mask) / mask.sum(1, keepdims=True) / n
-    pairs = mask[:, 1:]
     for k in range(1, STEPS + 1):
-        tables = w[: 3 * (size + 1)].reshape(3, size + 1)
-        u = tables[0][own[:, 1:-1]].sum(2) + tables[1][own[:, :-2]].sum(2) + tables[2][own[:, 2:]].sum(2) + w[-5]
-        (bb, bg), (gb, gg) = w[-4:].reshape(2, 2)
-        a = np.zeros((n, long, 2))
-        z = np.zeros((n, long, 2))
-        a[:, 0, 1] = u[:, 0]
-        for t in range(1, long):
-            x = a[:, t - 1]
-            a[:, t, 0] = np.logaddexp(x[:, 0] + bb, x[:, 1] + gb)
-            a[:, t, 1] = np.logaddexp(x[:, 0] + bg, x[:, 1] + gg) + u[:, t]
-        for t in range(long - 2, -1, -1):
-            x0, x1 = z[:, t + 1, 0], z[:, t + 1, 1] + u[:, t + 1]
-            z[:, t, 0] = np.where(mask[:, t + 1], np.logaddexp(bb + x0, bg + x1), 0)
-            z[:, t, 1] = np.where(mask[:, t + 1], np.logaddexp(gb + x0, gg + x1), 0)
-        odds = a[:, :, 1] + z[:, :, 1] - a[:, :, 0] - z[:, :, 0]
-        p = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-        g = (truth[:, None] - p) * scale
         grad = np.zeros_like(w)
-        for j, shift in enumerate((slice(1, -1), slice(0, -2), slice(2, None))):
-            grad[j * (size + 1) : (j + 1) * (size + 1)] = np.bincount(own[:, shift].ravel(), np.repeat(g.ravel(), width), size + 1)
-            grad[(j + 1) * (size + 1) - 1] = 0
-        grad[-5] = g.sum()
-        # pair marginals
-        joint = np.stack([a[:, :-1, s] + (w[-4 + 2 * s + r] + (u[:, 1:] if r else 0)) + z[:, 1:, r] for s in (0, 1) for r in (0, 1)], 2) if long > 1 else np.zeros((n, 0, 4))
-        joint = np.exp(joint - joint.max(2, keepdims=True)) if long > 1 else joint
-        joint /= np.maximum(joint.sum(2, keepdims=True), 1e-300)
-        real = np.zeros_like(joint)
-        real[np.arange(n), :, 3 * truth] = 1
-        grad[-4:] = ((real - joint) * (pairs * scale[:, 1:])[..., None]).sum((0, 1))
+        for i in range(0, n, block):
+            grad += _gradient(w, own[i : i + block], mask[i : i + block], truth[i : i + block], part[i : i + block], size)
         grad -= PENALTY * w / len(w) ** 0.5
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w = w + RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)

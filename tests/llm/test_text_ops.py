@@ -225,6 +225,24 @@ def test_quality_edges(spark):
     assert quality.score(docs_of(spark).where("false"), none).count() == 0
 
 
+def test_quality_learns_all_lines():
+    clean, junk = "The river runs by the old mill, and the path follows it.", "$$ 9 9 9 | | | >>> 0x0F {}"
+    docs = [(*quality.bins_of("\n".join([clean] * n)), 1) for n in (5, 40, 600)]
+    docs += [(*quality.bins_of("\n".join([clean] * 512 + [junk] * n)), 0) for n in (600, 900, 1200)]
+    for block in (quality.BLOCK, 3):  # blocks of chains add up
+        field = quality.fit(docs, block=block)
+        good, bad = (quality.marginals([field.emissions(quality.bins_of("\n".join([x] * 20))[0])], field.step)[0].mean() for x in (clean, junk))
+        assert good > 0.3 > 0.1 > bad
+
+
+def test_quality_long_documents_do_not_dominate():
+    short, long = "Plain words of prose in one line.", "| 77 | 88 | 99 |"
+    docs = [(*quality.bins_of(short), y) for y in (1, 1, 1, 0)] + [(*quality.bins_of(long), 1)] * 3 + [(*quality.bins_of("\n".join([long] * 20_000)), 0)]
+    field = quality.fit(docs)
+    one, many = (quality.marginals([field.emissions(quality.bins_of(x)[0])], field.step)[0][0] for x in (short, long))
+    assert many > 0.3 and one > 0.3
+
+
 def test_marginals_against_enumeration():
     from itertools import product
 
