@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import clamp
+from .graph import cut_lineage
 
 
 def _along(axis: str) -> Window:
@@ -94,27 +96,36 @@ def smooth(cells: DataFrame, weights: list[float], value: str = "z") -> DataFram
     return out
 
 
-def nearest_fill(cells: DataFrame, hole: str = "hole", label: str = "label", most: int = 64) -> DataFrame:
+def nearest_fill(cells: DataFrame, hole: str = "hole", label: str = "label", cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """Gives hole cells the label of the nearest other cell (ties: smallest label), looking at rings of growing radius.
 
-    Each round doubles the reach and joins only the cells still open; a round's answer counts once no
-    cell beyond its reach can be nearer. Cells without a labelled one within `most` keep a null.
+    Each round takes four times the reach and joins only the cells still open; a round's answer counts once
+    no cell beyond its reach can be nearer. The reach grows until no cell is open, so only cells of a table
+    without a labelled cell keep a null. A labelled cell whose four side neighbours are labelled is nearest to
+    no hole (the one towards the hole is nearer), so only the others are joined.
     """
-    known_cells = cells.where(~F.col(hole)).select(F.col("u").alias("ku"), F.col("v").alias("kv"), F.col(label).alias("kl"))
-    left, out, reach = cells.where(hole).select("u", "v"), cells.where(~F.col(hole)).select("u", "v", label), 2
-    while reach <= most:
+    filled = cells.where(~F.col(hole))
+    inner = _shifted(filled.select("u", "v").distinct(), [(1, 0), (-1, 0), (0, 1), (0, -1)]).groupBy("u", "v").count().where("count = 4").select("u", "v")
+    known_cells = cut(filled.join(inner, ["u", "v"], "left_anti").select(F.col("u").alias("ku"), F.col("v").alias("kv"), F.col(label).alias("kl")))
+    left, out, reach = cut(cells.where(hole).select("u", "v")), filled.select("u", "v", label), 2
+    (u0, u1, v0, v1) = known_cells.agg(F.min("ku"), F.max("ku"), F.min("kv"), F.max("kv")).first()
+    (a0, a1, b0, b1) = left.agg(F.min("u"), F.max("u"), F.min("v"), F.max("v")).first()
+    far = -1 if None in (u0, v0, a0, b0) else max(u1 - a0, a1 - u0) + max(v1 - b0, b1 - v0)  # no pair is farther apart
+    last = 0
+    while last < far and not left.isEmpty():
         grid = lambda c: F.floor(F.col(c) / reach)  # noqa: E731, B023
         near = F.array(*[F.struct((grid("u") + a).alias("gu"), (grid("v") + b).alias("gv")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        d2 = (F.col("u") - F.col("ku")) * (F.col("u") - F.col("ku")) + (F.col("v") - F.col("kv")) * (F.col("v") - F.col("kv"))
+        du, dv = (F.col("u") - F.col("ku")).cast("long"), (F.col("v") - F.col("kv")).cast("long")
+        d2 = du * du + dv * dv
         found = (
             left.withColumn("_g", F.explode(near)).select("u", "v", "_g.gu", "_g.gv")
             .join(known_cells.withColumn("gu", grid("ku")).withColumn("gv", grid("kv")), ["gu", "gv"])
             .where(d2 <= reach * reach).groupBy("u", "v").agg(F.min(F.struct(d2.alias("d2"), F.col("kl"))).alias("best"))
         )
-        got = found.select("u", "v", F.col("best.kl").alias(label))
+        got = cut(found.select("u", "v", F.col("best.kl").alias(label)))
         out = out.unionByName(got)
-        left = left.join(got, ["u", "v"], "left_anti")
-        reach *= 4
+        left = cut(left.join(got, ["u", "v"], "left_anti"))
+        last, reach = reach, reach * 4
     return out.unionByName(left.withColumn(label, F.lit(None).cast(dict(cells.dtypes)[label])))
 
 

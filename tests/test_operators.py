@@ -140,6 +140,18 @@ def test_fill_and_median(spark):
     assert {r["label"] for r in raster.median_filter(noise, 1).collect()} == {1}
 
 
+def test_fill_of_deep_holes(spark):
+    known = {(0, 0): 5, (150, 3): 7, (20, 170): 2, (21, 170): 2, **{(u, v): 3 for u in range(30, 36) for v in range(40, 46)}, (900, 900): 4}
+    holes = [(u, v) for u in range(0, 200, 7) for v in range(0, 200, 9) if (u, v) not in known] + [(400, 500)]
+    rows = [(u, v, x, False) for (u, v), x in known.items()] + [(u, v, 0, True) for u, v in holes]
+    cells = spark.createDataFrame(rows, "u int, v int, label int, hole boolean")
+    found = {(r["u"], r["v"]): r["label"] for r in raster.nearest_fill(cells).collect()}
+    assert len(found) == len(rows)
+    for u, v in holes:
+        assert found[u, v] == min(((u - a) ** 2 + (v - b) ** 2, x) for (a, b), x in known.items())[1]
+    assert {r["label"] for r in raster.nearest_fill(cells.where("hole")).collect()} == {None}
+
+
 @pytest.mark.parametrize("kind", ["noise", "blur", "fade", "line_break"])
 def test_degradations(spark, kind):
     pixels = spark.range(40 * 30).select((F.col("id") % 40).cast("int").alias("u"), F.expr("cast(id div 40 as int)").alias("v"))
