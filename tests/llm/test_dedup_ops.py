@@ -194,3 +194,14 @@ def test_pipeline_stages(spark, tmp_path):
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in run.collect()} == {1, 4, 5, 7}
     assert run.where(F.sha2("token_ids", 256) != F.col("ids_sha256")).count() == 0
+
+
+def test_pipeline_keeps_ids_with_a_kept_row(spark):
+    import corpus_pipeline
+
+    a, b = ("one two three four five six seven eight", "red green blue black white brown pink grey")
+    rows = [(3, a), (5, a), (5, b), (7, a), (7, a), (8, b), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert {b, a} == {t for _, t in kept} and (5, b) in kept
+    assert {i for i, _ in kept} == {3, 5, None}
