@@ -45,6 +45,13 @@ def test_chains_walk_each_path_once(spark):
         assert walk == list(range(walk[0], walk[0] + len(walk)))
 
 
+def test_chains_hold_every_part(spark, con):
+    rows = QUERIES["chains"](spark, FOLDER).collect()
+    parts = {k for (k,) in con.execute("SELECT p_partkey FROM part").fetchall()}
+    assert sorted(r["node"] for r in rows) == sorted(parts | {k + 1 for k in parts})
+    assert len({r["chain"] for r in rows}) == len(parts - {k + 1 for k in parts}) and not any(r["closed"] for r in rows)
+
+
 def test_spaced_best_keeps_its_distance(spark):
     rows = QUERIES["nms_topk"](spark, FOLDER).collect()
     by = {}
