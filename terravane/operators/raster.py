@@ -1,48 +1,52 @@
-"""Stencil operators on cell tables (u to the right, v down) and pixel degradations."""
+"""Stencil operators on cell tables (u to the right, v down) and pixel degradations.
+
+`by` names the columns that tell images apart (such as a case id); cells of different images never meet.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import clamp
+from ..functions.exprs import clamp, fade
 from .graph import cut_lineage
 
 
-def _along(axis: str) -> Window:
+def _along(axis: str, by: Sequence[str]) -> Window:
     other = "v" if axis == "u" else "u"
-    return Window.partitionBy(other).orderBy(axis)
+    return Window.partitionBy(*by, other).orderBy(axis)
 
 
-def _beside(column: str, axis: str, step: int) -> Column:
+def _beside(column: str, axis: str, step: int, by: Sequence[str] = ()) -> Column:
     """A column of the neighbouring cell, null where that cell is missing."""
-    w, move = _along(axis), F.lead if step > 0 else F.lag
+    w, move = _along(axis, by), F.lead if step > 0 else F.lag
     return F.when(move(axis).over(w) == F.col(axis) + step, move(column).over(w))
 
 
-def boundary_both(cells: DataFrame, label: str = "label") -> DataFrame:
+def boundary_both(cells: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Both cells of each differing pair of side neighbours."""
     differs = F.lit(False)
     for axis, step in product("uv", (1, -1)):
-        differs = differs | F.coalesce(_beside(label, axis, step) != F.col(label), F.lit(False))
-    return cells.withColumn("_b", differs).where("_b").select("u", "v", label)
+        differs = differs | F.coalesce(_beside(label, axis, step, by) != F.col(label), F.lit(False))
+    return cells.withColumn("_b", differs).where("_b").select(*by, "u", "v", label)
 
 
-def boundary_upper_left(cells: DataFrame, label: str = "label") -> DataFrame:
+def boundary_upper_left(cells: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Only the left or upper cell of each differing pair."""
-    differs = F.coalesce(_beside(label, "u", 1) != F.col(label), F.lit(False)) | F.coalesce(_beside(label, "v", 1) != F.col(label), F.lit(False))
-    return cells.withColumn("_b", differs).where("_b").select("u", "v", label)
+    differs = F.coalesce(_beside(label, "u", 1, by) != F.col(label), F.lit(False)) | F.coalesce(_beside(label, "v", 1, by) != F.col(label), F.lit(False))
+    return cells.withColumn("_b", differs).where("_b").select(*by, "u", "v", label)
 
 
-def adjacent_pairs(cells: DataFrame, label: str = "label") -> DataFrame:
+def adjacent_pairs(cells: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Counts of unordered label pairs over side neighbours."""
-    beside = cells.select(F.col(label).alias("a"), _beside(label, "u", 1).alias("_right"), _beside(label, "v", 1).alias("_down"))
-    pairs = beside.select("a", F.explode(F.array("_right", "_down")).alias("b")).where("a <> b")
-    return pairs.groupBy(F.least("a", "b").alias("unit_a"), F.greatest("a", "b").alias("unit_b")).agg(F.count("*").alias("n"))
+    beside = cells.select(*by, F.col(label).alias("a"), _beside(label, "u", 1, by).alias("_right"), _beside(label, "v", 1, by).alias("_down"))
+    pairs = beside.select(*by, "a", F.explode(F.array("_right", "_down")).alias("b")).where("a <> b")
+    return pairs.groupBy(*by, F.least("a", "b").alias("unit_a"), F.greatest("a", "b").alias("unit_b")).agg(F.count("*").alias("n"))
 
 
 def offsets(kind: str, radius: int) -> list[tuple[int, int]]:
@@ -56,58 +60,69 @@ def _shifted(cells: DataFrame, shape: list[tuple[int, int]], *columns: str) -> D
     return cells.select(*columns, moved.alias("_c")).select("_c.u", "_c.v", *columns)
 
 
-def dilate(mask: DataFrame, shape: list[tuple[int, int]]) -> DataFrame:
+def dilate(mask: DataFrame, shape: list[tuple[int, int]], by: Sequence[str] = ()) -> DataFrame:
     """Cells that the shape covers when it is laid on each cell of a mask (u, v)."""
-    return _shifted(mask.select("u", "v"), shape).distinct()
+    return _shifted(mask, shape, *by).select(*by, "u", "v").distinct()
 
 
-def erode(mask: DataFrame, shape: list[tuple[int, int]]) -> DataFrame:
+def erode(mask: DataFrame, shape: list[tuple[int, int]], by: Sequence[str] = ()) -> DataFrame:
     """Cells on which the whole shape lies inside the mask."""
-    return _shifted(mask.select("u", "v").distinct(), [(-a, -b) for a, b in shape]).groupBy("u", "v").count().where(F.col("count") == len(shape)).select("u", "v")
+    moved = _shifted(mask.select(*by, "u", "v").distinct(), [(-a, -b) for a, b in shape], *by)
+    return moved.groupBy(*by, "u", "v").count().where(F.col("count") == len(shape)).select(*by, "u", "v")
 
 
-def opening(mask: DataFrame, shape: list[tuple[int, int]]) -> DataFrame:
-    return dilate(erode(mask, shape), shape)
+def opening(mask: DataFrame, shape: list[tuple[int, int]], by: Sequence[str] = ()) -> DataFrame:
+    return dilate(erode(mask, shape, by), shape, by)
 
 
-def degree(mask: DataFrame) -> DataFrame:
+def degree(mask: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Number of mask cells among the eight neighbours of each mask cell."""
     around = [x for x in offsets("square", 1) if x != (0, 0)]
-    counted = _shifted(mask.select("u", "v"), around).groupBy("u", "v").agg(F.count("*").alias("degree"))
-    return mask.select("u", "v").join(counted, ["u", "v"], "left").select("u", "v", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    counted = _shifted(mask, around, *by).groupBy(*by, "u", "v").agg(F.count("*").alias("degree"))
+    return mask.select(*by, "u", "v").join(counted, [*by, "u", "v"], "left").select(*by, "u", "v", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def median_filter(cells: DataFrame, radius: int, label: str = "label") -> DataFrame:
+def median_filter(cells: DataFrame, radius: int, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Lower median of the values in a square around each cell; missing cells are left out."""
-    spread = _shifted(cells.select("u", "v", label), offsets("square", radius), label).groupBy("u", "v").agg(F.array_sort(F.collect_list(label)).alias("_all"))
-    middle = spread.select("u", "v", F.col("_all")[F.expr("cast((size(_all) - 1) div 2 as int)")].alias(label))
-    return middle.join(cells.select("u", "v"), ["u", "v"], "left_semi")
+    spread = _shifted(cells, offsets("square", radius), *by, label).groupBy(*by, "u", "v").agg(F.array_sort(F.collect_list(label)).alias("_all"))
+    middle = spread.select(*by, "u", "v", F.col("_all")[F.expr("cast((size(_all) - 1) div 2 as int)")].alias(label))
+    return middle.join(cells.select(*by, "u", "v"), [*by, "u", "v"], "left_semi")
 
 
-def smooth(cells: DataFrame, weights: list[float], value: str = "z") -> DataFrame:
+def smooth(cells: DataFrame, weights: list[float], value: str = "z", by: Sequence[str] = ()) -> DataFrame:
     """Separable weighted mean along rows, then columns; weights reach from the middle outwards and are normalised over the cells that exist."""
-    out = cells.select("u", "v", value)
+    out = cells.select(*by, "u", "v", value)
     for axis in "uv":
         shape = [((d, 0) if axis == "u" else (0, d), weights[abs(d)]) for d in range(1 - len(weights), len(weights))]
         moved = F.explode(F.array(*[F.struct((F.col("u") + a).alias("u"), (F.col("v") + b).alias("v"), F.lit(w).alias("w")) for (a, b), w in shape]))
-        spread = out.select(value, moved.alias("_c")).select("_c.*", value)
-        summed = spread.groupBy("u", "v").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
-        out = summed.join(out.select("u", "v"), ["u", "v"], "left_semi")
+        spread = out.select(*by, value, moved.alias("_c")).select(*by, "_c.*", value)
+        summed = spread.groupBy(*by, "u", "v").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
+        out = summed.join(out.select(*by, "u", "v"), [*by, "u", "v"], "left_semi")
     return out
 
 
-def nearest_fill(cells: DataFrame, hole: str = "hole", label: str = "label", cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+def gradient(cells: DataFrame, value: str = "z", by: Sequence[str] = ()) -> DataFrame:
+    """du and dv: central differences, one-sided where a neighbour is missing, 0 where both are."""
+
+    def slope(axis: str) -> Column:
+        before, after = _beside(value, axis, -1, by), _beside(value, axis, 1, by)
+        return F.coalesce((after - before) / 2.0, after - F.col(value), F.col(value) - before, F.lit(0.0))
+
+    return cells.select(*by, "u", "v", value, slope("u").alias("du"), slope("v").alias("dv"))
+
+
+def nearest_fill(cells: DataFrame, hole: str = "hole", label: str = "label", cut: Callable[[DataFrame], DataFrame] = cut_lineage, by: Sequence[str] = ()) -> DataFrame:
     """Gives hole cells the label of the nearest other cell (ties: smallest label), looking at rings of growing radius.
 
-    Each round takes four times the reach and joins only the cells still open; a round's answer counts once
+    Each round takes four times the reach of the last and joins only the cells still open; a round's answer counts once
     no cell beyond its reach can be nearer. The reach grows until no cell is open, so only cells of a table
     without a labelled cell keep a null. A labelled cell whose four side neighbours are labelled is nearest to
     no hole (the one towards the hole is nearer), so only the others are joined.
     """
     filled = cells.where(~F.col(hole))
-    inner = _shifted(filled.select("u", "v").distinct(), [(1, 0), (-1, 0), (0, 1), (0, -1)]).groupBy("u", "v").count().where("count = 4").select("u", "v")
-    known_cells = cut(filled.join(inner, ["u", "v"], "left_anti").select(F.col("u").alias("ku"), F.col("v").alias("kv"), F.col(label).alias("kl")))
-    left, out, reach = cut(cells.where(hole).select("u", "v")), filled.select("u", "v", label), 2
+    inner = _shifted(filled.select(*by, "u", "v").distinct(), [(1, 0), (-1, 0), (0, 1), (0, -1)], *by).groupBy(*by, "u", "v").count().where("count = 4").select(*by, "u", "v")
+    known_cells = cut(filled.join(inner, [*by, "u", "v"], "left_anti").select(*by, F.col("u").alias("ku"), F.col("v").alias("kv"), F.col(label).alias("kl")))
+    left, out, reach = cut(cells.where(hole).select(*by, "u", "v")), filled.select(*by, "u", "v", label), 2
     (u0, u1, v0, v1) = known_cells.agg(F.min("ku"), F.max("ku"), F.min("kv"), F.max("kv")).first()
     (a0, a1, b0, b1) = left.agg(F.min("u"), F.max("u"), F.min("v"), F.max("v")).first()
     far = -1 if None in (u0, v0, a0, b0) else max(u1 - a0, a1 - u0) + max(v1 - b0, b1 - v0)  # no pair is farther apart
@@ -118,96 +133,127 @@ def nearest_fill(cells: DataFrame, hole: str = "hole", label: str = "label", cut
         du, dv = (F.col("u") - F.col("ku")).cast("long"), (F.col("v") - F.col("kv")).cast("long")
         d2 = du * du + dv * dv
         found = (
-            left.withColumn("_g", F.explode(near)).select("u", "v", "_g.gu", "_g.gv")
-            .join(known_cells.withColumn("gu", grid("ku")).withColumn("gv", grid("kv")), ["gu", "gv"])
-            .where(d2 <= reach * reach).groupBy("u", "v").agg(F.min(F.struct(d2.alias("d2"), F.col("kl"))).alias("best"))
+            left.withColumn("_g", F.explode(near)).select(*by, "u", "v", "_g.gu", "_g.gv")
+            .join(known_cells.withColumn("gu", grid("ku")).withColumn("gv", grid("kv")), [*by, "gu", "gv"])
+            .where(d2 <= reach * reach).groupBy(*by, "u", "v").agg(F.min(F.struct(d2.alias("d2"), F.col("kl"))).alias("best"))
         )
-        got = cut(found.select("u", "v", F.col("best.kl").alias(label)))
+        got = cut(found.select(*by, "u", "v", F.col("best.kl").alias(label)))
         out = out.unionByName(got)
-        left = cut(left.join(got, ["u", "v"], "left_anti"))
+        left = cut(left.join(got, [*by, "u", "v"], "left_anti"))
         last, reach = reach, reach * 4
     return out.unionByName(left.withColumn(label, F.lit(None).cast(dict(cells.dtypes)[label])))
 
 
-def iso_crossings(cells: DataFrame, interval: float, value: str = "z") -> DataFrame:
+def iso_crossings(cells: DataFrame, interval: float, value: str = "z", by: Sequence[str] = ()) -> DataFrame:
     """Where contours of a height field cross the edges between side neighbours: level, u, v."""
     parts = []
     for axis in "uv":
-        nxt = _beside(value, axis, 1)
-        edge = cells.select("u", "v", F.col(value).alias("a"), nxt.alias("b")).where("b is not null and a <> b")
+        nxt = _beside(value, axis, 1, by)
+        edge = cells.select(*by, "u", "v", F.col(value).alias("a"), nxt.alias("b")).where("b is not null and a <> b")
         lo, hi = F.floor(F.least("a", "b") / interval) + 1, F.floor(F.greatest("a", "b") / interval)
         hit = edge.where(hi >= lo).withColumn("_n", F.explode(F.sequence(lo, hi))).withColumn("level", F.col("_n") * interval)
         t = (F.col("level") - F.col("a")) / (F.col("b") - F.col("a"))
-        parts.append(hit.select("level", *(((F.col(c) + t) if c == axis else F.col(c).cast("double")).alias(c) for c in "uv")))
+        parts.append(hit.select(*by, "level", *(((F.col(c) + t) if c == axis else F.col(c).cast("double")).alias(c) for c in "uv")))
     return parts[0].unionByName(parts[1])
 
 
 # Strengths of the degradations at severities 1 to 4.
 NOISE, FADE, BREAKS, BREAK_RADIUS = (4.0, 8.0, 16.0, 28.0), (0.15, 0.30, 0.45, 0.60), (30, 60, 120, 240), (3, 4, 6, 8)
 BLUR, GAIN, STAIN_ALPHA = (0.7, 1.2, 2.0, 3.2), (0.10, 0.18, 0.28, 0.40), (0.18, 0.28, 0.38, 0.50)
-STAIN = (150.0, 120.0, 70.0)
-
+STAIN, STAIN_REACH, STAINS = (160.0, 120.0, 60.0), (25.0, 20.0, 20.0), ((2, 3), (3, 5), (4, 6), (6, 8))
 
-def noisy(pixels: DataFrame, severity: int, seed: int = 0) -> DataFrame:
-    """Normal noise on each channel of (u, v, r, g, b), reproducible from the cell and the seed, cut off to 0..255."""
-    sigma = NOISE[severity - 1]
 
-    def normal(k: int) -> Column:
-        unit = lambda s: (F.pmod(F.xxhash64("u", "v", F.lit(seed), F.lit(s)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-        return F.sqrt(-2.0 * F.log(unit(2 * k))) * F.cos(6.283185307179586 * unit(2 * k + 1))
+RGB = ("r", "g", "b")
 
-    return pixels.select("u", "v", *[clamp(F.col(c) + sigma * normal(k), 0.0, 255.0).cast("int").alias(c) for k, c in enumerate("rgb")])
 
+def _channels(change: Callable[[str], Column], integer: bool = True) -> list[Column]:
+    """Each channel changed, cut off to 0..255 and, unless rounded before, truncated."""
+    return [clamp(change(c), 0.0, 255.0).cast("int" if integer else "double").alias(c) for c in RGB]
 
-def uneven_light(pixels: DataFrame, severity: int, width: int, height: int, seed: int = 0) -> DataFrame:
-    """Multiplies by a smooth gain: four random corners, blended by cosine weights."""
-    amp = GAIN[severity - 1]
-    corner = [((hash((seed, k)) % 2001) - 1000) / 1000.0 for k in range(4)]
-    s = (1 - F.cos(F.lit(3.141592653589793) * F.col("u") / max(width - 1, 1))) / 2
-    t = (1 - F.cos(F.lit(3.141592653589793) * F.col("v") / max(height - 1, 1))) / 2
-    gain = 1 + amp * ((1 - s) * (1 - t) * corner[0] + s * (1 - t) * corner[1] + (1 - s) * t * corner[2] + s * t * corner[3])
-    return pixels.select("u", "v", *[clamp(F.col(c) * gain, 0.0, 255.0).cast("int").alias(c) for c in "rgb"])
 
+def _unit(seed: int, *salt) -> Column:
+    """A hashed number between 0 and 1."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *[F.lit(x) if not isinstance(x, Column) else x for x in salt]), F.lit(1 << 30)) + 0.5) / float(1 << 30)
 
-def stained(pixels: DataFrame, severity: int, ellipses: list[tuple[float, float, float, float]]) -> DataFrame:
-    """Blends ellipses (centre u, v, half axes) of a stain colour over the pixels, fading to their edge."""
-    alpha = F.lit(0.0)
-    for cu, cv, ru, rv in ellipses:
-        d = ((F.col("u") - cu) / ru) * ((F.col("u") - cu) / ru) + ((F.col("v") - cv) / rv) * ((F.col("v") - cv) / rv)
-        alpha = F.greatest(alpha, STAIN_ALPHA[severity - 1] * clamp(1.0 - d, 0.0, 1.0))
-    return pixels.select("u", "v", *[clamp(F.col(c) * (1 - alpha) + s * alpha, 0.0, 255.0).cast("int").alias(c) for c, s in zip("rgb", STAIN, strict=True)])
 
-
-def broken_lines(pixels: DataFrame, severity: int, seed: int = 0) -> DataFrame:
-    """Rubs out discs around hash-picked dark pixels: their pixels take the colour of the nearest pixel outside."""
+def noisy(pixels: DataFrame, severity: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Normal noise on each channel of (u, v, r, g, b), reproducible from the cell and the seed, cut off to 0..255."""
+    sigma, cell = NOISE[severity - 1], [F.col(c) for c in (*by, "u", "v")]
+    normal = {c: F.sqrt(-2.0 * F.log(_unit(seed, *cell, 2 * k))) * F.cos(2 * math.pi * _unit(seed, *cell, 2 * k + 1)) for k, c in enumerate(RGB)}
+    return pixels.select(*by, "u", "v", *_channels(lambda c: F.col(c) + sigma * normal[c]))
+
+
+def _cubic(t: Column) -> list[Column]:
+    """Weights of the four knots around a place, by the cubic convolution kernel with -0.75 that image resizing uses."""
+    a = -0.75
+    near = lambda x: ((a + 2) * x - (a + 3)) * x * x + 1
+    far = lambda x: ((a * x - 5 * a) * x + 8 * a) * x - 4 * a
+    return [far(t + 1), near(t), near(1 - t), far(2 - t)]
+
+
+def uneven_light(pixels: DataFrame, severity: int, width: int, height: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Multiplies by a smooth gain of 1 plus or minus at most the strength: a field of 4 x 4 random knots (hashed from the image and the seed), upsampled by cubic convolution and scaled to its largest knot."""
+    knots = [[_unit(seed, *[F.col(c) for c in by], 7, i, j) * 2 - 1 for i in range(4)] for j in range(4)]
+    most = F.greatest(*[F.abs(k) for row in knots for k in row])
+    place = {axis: F.greatest(F.lit(-0.5), F.least((F.col(axis) + 0.5) * 4.0 / size - 0.5, F.lit(3.5))) for axis, size in (("u", width), ("v", height))}
+    base = {axis: F.floor(x) for axis, x in place.items()}
+    weight = {axis: _cubic(place[axis] - base[axis]) for axis in "uv"}
+
+    def blend(values: list[Column], axis: str) -> Column:
+        """The knots beyond an edge are those of the edge."""
+        at = lambda k: F.element_at(F.array(*values), (F.greatest(F.lit(0), F.least(base[axis] + k, F.lit(3))) + 1).cast("int"))
+        return sum(w * at(k) for k, w in zip((-1, 0, 1, 2), weight[axis], strict=True))
+
+    field = blend([blend(row, "u") for row in knots], "v") / most
+    lit = pixels.withColumn("_gain", 1 + GAIN[severity - 1] * clamp(field, -1.0, 1.0))
+    return lit.select(*by, "u", "v", *_channels(lambda c: F.col(c) * F.col("_gain")))
+
+
+def stained(pixels: DataFrame, severity: int, width: int, height: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Blends turned ellipses of a stain colour over the pixels, one after the other, strongest in the middle and gone at the edge; their number, places, axes, turns and strengths are hashed from the image and the seed."""
+    size, key = float(min(width, height)), [F.col(c) for c in by]
+    draw = lambda k, j, lo, hi: lo + (hi - lo) * _unit(seed, *key, 11, k, j)
+    fewest, most = STAINS[severity - 1]
+    number, out = F.floor(draw(0, 9, float(fewest), most + 1.0)), pixels
+    for k in range(most):
+        cu, cv, ru, rv, turn = draw(k, 0, 0.0, float(width)), draw(k, 1, 0.0, float(height)), draw(k, 2, 0.05, 0.2) * size + 2, draw(k, 3, 0.05, 0.2) * size + 2, draw(k, 4, 0.0, math.pi)
+        du, dv = F.col("u") - cu, F.col("v") - cv
+        x, y = (du * F.cos(turn) + dv * F.sin(turn)) / ru, (dv * F.cos(turn) - du * F.sin(turn)) / rv
+        alpha = F.when(k < number, STAIN_ALPHA[severity - 1] * draw(k, 5, 0.7, 1.2) * clamp(1.5 - x * x - y * y, 0.0, 1.0)).otherwise(0.0)
+        stain = {c: middle + draw(k, 6 + i, -reach, reach) for i, (c, middle, reach) in enumerate(zip(RGB, STAIN, STAIN_REACH, strict=True))}
+        out = out.withColumn("_alpha", alpha).select(*by, "u", "v", *[(F.col(c) * (1 - F.col("_alpha")) + stain[c] * F.col("_alpha")).alias(c) for c in RGB])
+    return out.select(*by, "u", "v", *_channels(F.col))
+
+
+def broken_lines(pixels: DataFrame, severity: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Rubs out discs around hash-picked dark pixels of each image: their pixels take the colour of the nearest pixel outside."""
     n, radius = BREAKS[severity - 1], BREAK_RADIUS[severity - 1]
     dark = pixels.where(F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114 < 110)
-    picked = dark.orderBy(F.xxhash64("u", "v", F.lit(seed)), "u", "v").limit(n)
-    disc = dilate(picked, offsets("disc", radius)).withColumn("_in", F.lit(True))
-    marked = pixels.join(disc, ["u", "v"], "left").select("u", "v", F.struct("r", "g", "b").alias("rgb"), F.coalesce("_in", F.lit(False)).alias("hole"))
-    return nearest_fill(marked, label="rgb").select("u", "v", "rgb.*")
-
+    order = [F.xxhash64("u", "v", F.lit(seed)), F.col("u"), F.col("v")]
+    picked = dark.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n) if by else dark.orderBy(*order).limit(n)
+    disc = dilate(picked, offsets("disc", radius), by).withColumn("_in", F.lit(True))
+    marked = pixels.join(disc, [*by, "u", "v"], "left").select(*by, "u", "v", F.struct("r", "g", "b").alias("rgb"), F.coalesce("_in", F.lit(False)).alias("hole"))
+    return nearest_fill(marked, label="rgb", by=by).select(*by, "u", "v", "rgb.*")
 
-def blurred(pixels: DataFrame, severity: int) -> DataFrame:
-    import math
 
+def blurred(pixels: DataFrame, severity: int, by: Sequence[str] = ()) -> DataFrame:
     sigma = BLUR[severity - 1]
     weights = [math.exp(-d * d / (2 * sigma * sigma)) for d in range(int(3 * sigma) + 2)]
     out = None
-    for c in "rgb":
-        one = smooth(pixels.select("u", "v", F.col(c).cast("double").alias(c)), weights, c)
-        out = one if out is None else out.join(one, ["u", "v"])
-    return out.select("u", "v", *[clamp(F.rint(c), 0.0, 255.0).cast("int").alias(c) for c in "rgb"])
+    for c in RGB:
+        one = smooth(pixels.select(*by, "u", "v", F.col(c).cast("double").alias(c)), weights, c, by)
+        out = one if out is None else out.join(one, [*by, "u", "v"])
+    return out.select(*by, "u", "v", *_channels(F.rint))
 
 
-def faded(pixels: DataFrame, severity: int) -> DataFrame:
-    from ..functions.exprs import fade
-
+def faded(pixels: DataFrame, severity: int, by: Sequence[str] = ()) -> DataFrame:
     r, g, b = fade(F.col("r"), F.col("g"), F.col("b"), FADE[severity - 1])
-    return pixels.select("u", "v", r.alias("r"), g.alias("g"), b.alias("b"))
+    return pixels.select(*by, "u", "v", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
-DEGRADATIONS = {"noise": noisy, "blur": blurred, "fade": faded, "line_break": broken_lines}
+DEGRADATIONS = {"noise": noisy, "blur": blurred, "fade": faded, "line_break": broken_lines, "illumination": uneven_light, "stain": stained}
+#: Degradations that need the size of the image.
+SIZED = {"illumination", "stain"}
 
 
 def degrade(pixels: DataFrame, kind: str, severity: int, **more) -> DataFrame:
@@ -215,3 +261,11 @@ def degrade(pixels: DataFrame, kind: str, severity: int, **more) -> DataFrame:
     if kind not in DEGRADATIONS or severity not in (1, 2, 3, 4):
         raise ValueError(f"no degradation {kind} of severity {severity}")
     return DEGRADATIONS[kind](pixels, severity, **more)
+
+
+def apply_profile(pixels: DataFrame, profile: list[tuple[str, int]], width: int, height: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Applies kinds one after the other, each with a seed of its own."""
+    for k, (kind, severity) in enumerate(profile):
+        seeded = {} if kind in ("blur", "fade") else {"seed": seed + k}
+        pixels = degrade(pixels, kind, severity, by=by, **seeded, **({"width": width, "height": height} if kind in SIZED else {}))
+    return pixels
