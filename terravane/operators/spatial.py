@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import cut_lineage
+
 
 def _cells(df: DataFrame, x: str, y: str, size: float, around: bool) -> DataFrame:
     """Adds the grid cell of a point, or the nine cells around it."""
@@ -43,6 +47,23 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, left_id: st
     return best.select(left_id, F.col("best.id").alias(right_id), F.col("best.dist").alias("dist"))
 
 
+def nearest_distances(points: DataFrame, targets: DataFrame, start: float, by: Sequence[str] = (), cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """by, id, dist: how far each point (by, id, x, y) is from the nearest target (by, x, y) of its group; null where the group has none.
+
+    Each round joins only the points still open, over four times the reach of the last; a point is done once a target is in reach.
+    """
+    left = cut(points.select(*by, "id", "x", "y"))
+    bounds = [df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first() for df in (left, targets)]
+    far = -1.0 if None in bounds[0] or None in bounds[1] else max(bounds[1][1] - bounds[0][0], bounds[0][1] - bounds[1][0]) + max(bounds[1][3] - bounds[0][2], bounds[0][3] - bounds[1][2])
+    out, last, reach = left.where("false").select(*by, "id", F.lit(0.0).alias("dist")), 0.0, start
+    while last < far and not left.isEmpty():
+        got = cut(within(left, targets, reach, on=tuple(by)).groupBy(*by, F.col("l.id").alias("id")).agg(F.min("dist").alias("dist")))
+        out = out.unionByName(got)
+        left = cut(left.join(got, [*by, "id"], "left_anti"))
+        last, reach = reach, reach * 4
+    return out.unionByName(left.select(*by, "id", F.lit(None).cast("double").alias("dist")))
+
+
 def knn(vectors: DataFrame, k: int, id_column: str, vector_column: str, group: str) -> DataFrame:
     """The k nearest others of each vector inside its group: id, neighbour, rank, dist2 (ties: smallest id).
 
@@ -73,18 +94,16 @@ def nearest_centre(points: DataFrame, centres: DataFrame, point_id: str, centre_
 
 
 def mean_nearest(samples: DataFrame, truth: DataFrame, reach: float) -> DataFrame:
-    """For each line (samples: line, seq, x, y), the truth line (truth: label, x, y) of least mean nearest distance, if that is below `reach`.
+    """For each line of samples (line, seq, x, y) the label of truth points (label, x, y) of least mean nearest distance, if that is below reach: line, label, mean_dist.
 
-    A mean below reach does not bound single distances, so all pairs inside a coarse cell block are not enough; the
-    lines are few and thinned, and the nearest point of each label is reduced before the mean.
+    A mean below reach needs one sample in reach, so only labels that a distance join finds near a line are measured.
     """
-    _small(truth, 100_000)
-    dx, dy = F.col("x") - F.col("_u"), F.col("y") - F.col("_v")
-    t = truth.select("label", F.col("x").alias("_u"), F.col("y").alias("_v"))
-    near = samples.join(F.broadcast(t)).groupBy("line", "seq", "label").agg(F.min(F.sqrt(dx * dx + dy * dy)).alias("d"))
-    means = near.groupBy("line", "label").agg(F.avg("d").alias("mean_dist"))
-    best = means.groupBy("line").agg(F.min(F.struct("mean_dist", "label")).alias("best"))
-    return best.select("line", F.col("best.label").alias("label"), F.col("best.mean_dist").alias("mean_dist")).where(F.col("mean_dist") < reach)
+    points = samples.select("line", "seq", "x", "y")
+    near = within(points, truth.select("label", "x", "y"), reach).select(F.col("l.line").alias("line"), F.col("r.label").alias("label")).distinct()
+    asked = points.join(near, "line").select("label", F.struct("line", "seq").alias("id"), "x", "y")
+    mean = nearest_distances(asked, truth.select("label", "x", "y"), reach, ("label",)).groupBy(F.col("id.line").alias("line"), "label").agg(F.avg("dist").alias("mean_dist"))
+    best = mean.groupBy("line").agg(F.min(F.struct("mean_dist", "label")).alias("best"))
+    return best.where(F.col("best.mean_dist") < reach).select("line", "best.label", "best.mean_dist")
 
 
 def bilinear(points: DataFrame, raster: DataFrame, width: int, height: int, point_id: str = "id") -> DataFrame:
