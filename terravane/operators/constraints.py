@@ -22,8 +22,8 @@ def contact_formation(contacts: DataFrame, units: DataFrame) -> DataFrame:
     Same series and neighbours in order: the younger unit. Other series: the oldest member of the younger
     unit's series. Same series, not neighbours: suspect, no formation. Same order, or a unit that is no stratum: no row.
     """
-    side = lambda s: F.broadcast(units.select(F.col("unit_id").alias(f"unit_{s}"), F.col("name").alias(f"name_{s}"), F.col("series").alias(f"series_{s}"), F.col("order").alias(f"order_{s}")))
-    oldest = F.broadcast(units.groupBy(F.col("series").alias("young")).agg(F.max_by("name", "order").alias("oldest")))
+    side = lambda s: units.select(F.col("unit_id").alias(f"unit_{s}"), F.col("name").alias(f"name_{s}"), F.col("series").alias(f"series_{s}"), F.col("order").alias(f"order_{s}"))
+    oldest = units.groupBy(F.col("series").alias("young")).agg(F.max_by("name", "order").alias("oldest"))
     both = contacts.join(side("a"), "unit_a").join(side("b"), "unit_b").where("order_a <> order_b")
     a_young = F.col("order_a") < F.col("order_b")
     both = both.withColumn("young", F.when(a_young, F.col("series_a")).otherwise(F.col("series_b"))).join(oldest, "young")
@@ -71,8 +71,8 @@ def spaced_best(df: DataFrame, group: str, k: int, gap: float, order: str) -> Da
 
 
 def downdip_projection(points: DataFrame, orientations: DataFrame, lengths: list[float], radius: float, bounds: tuple, z_floor: float) -> DataFrame:
-    """Virtual points below every third point (id, seq, x, y, z, formation), along the dip of the nearest orientation (ori_id, x, y, azimuth, dip) in reach; outside the bounds they go."""
-    third = every_nth(points.withColumn("_all", F.lit(0)), ["_all"], ["seq"], 3).drop("_all")
+    """Virtual points below every third point of each formation (id, seq, x, y, z, formation), along the dip of the nearest orientation (ori_id, x, y, azimuth, dip) in reach; outside the bounds they go."""
+    third = every_nth(points, ["formation"], ["seq"], 3)
     near = nearest_within(third, orientations.select(F.col("ori_id"), "x", "y"), radius, "id", "ori_id")
     posed = third.join(near, "id").join(orientations.select("ori_id", F.radians("azimuth").alias("_az"), F.radians("dip").alias("_dip")), "ori_id")
     spread = posed.withColumn("len", F.explode(F.array(*[F.lit(float(v)) for v in lengths])))
@@ -93,14 +93,15 @@ def thickness_prior(points: DataFrame, formation: str, upper: str, thickness: fl
     return every_nth(moved.join(F.broadcast(mine), "_one", "left_anti"), ["formation"], [order], 2).select(*points.columns)
 
 
-def fault_points(trace: DataFrame, dip: float, azimuth: float, offsets: list[float], z_floor: float, depth: float) -> DataFrame:
-    """Trace points (seq, x, y, z) and, for every third, points down the fault plane at the offsets (up to 0.8 of the depth range)."""
+def fault_points(trace: DataFrame, dip: float, azimuth: float, offsets: list[float], z_floor: float, depth: float, by: list[str] | None = None) -> DataFrame:
+    """Trace points (by, seq, x, y, z) and, for every third of a trace, points down the fault plane at the offsets (up to 0.8 of the depth range)."""
     used = [d for d in offsets if d <= 0.8 * depth]
     east, north = math.sin(math.radians(azimuth)), math.cos(math.radians(azimuth))
     run = F.col("dz") / math.tan(math.radians(dip))
-    third = every_nth(trace.withColumn("_all", F.lit(0)), ["_all"], ["seq"], 3)
-    deep = third.withColumn("dz", F.explode(F.array(*[F.lit(float(d)) for d in used]))).select("seq", "dz", (F.col("x") + run * east).alias("x"), (F.col("y") + run * north).alias("y"), (F.col("z") - F.col("dz")).alias("z"))
-    return trace.select("seq", F.lit(0.0).alias("dz"), "x", "y", "z").unionByName(deep.where(F.col("z") >= z_floor))
+    by = by or []
+    third = every_nth(trace, by, ["seq"], 3)
+    deep = third.withColumn("dz", F.explode(F.array(*[F.lit(float(d)) for d in used]))).select(*by, "seq", "dz", (F.col("x") + run * east).alias("x"), (F.col("y") + run * north).alias("y"), (F.col("z") - F.col("dz")).alias("z"))
+    return trace.select(*by, "seq", F.lit(0.0).alias("dz"), "x", "y", "z").unionByName(deep.where(F.col("z") >= z_floor))
 
 
 def modelable_stack(units: DataFrame, points: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def borehole(voxels: DataFrame, requests: DataFrame, grid: Grid, names: DataFram
         F.when(good, F.least(F.floor((F.col("x") - grid.x0) / dx), F.lit(grid.nx - 1))).otherwise(F.raise_error(F.lit("borehole outside the model"))).cast("int").alias("i"),
         F.least(F.floor((F.col("y") - grid.y0) / dy), F.lit(grid.ny - 1)).cast("int").alias("j"),
     )
-    cells = voxels.select("i", "j", "k", "lith_id").join(F.broadcast(ask), ["i", "j"])
+    cells = voxels.select("i", "j", "k", "lith_id").join(ask, ["i", "j"])
     if ground is None:
         cells = cells.withColumn("ground_z", F.lit(None).cast("double"))
     else:
@@ -171,7 +171,7 @@ def borehole(voxels: DataFrame, requests: DataFrame, grid: Grid, names: DataFram
     cells = cells.withColumn("down", -F.col("k"))
     runs = run_length_segments(cells, ["request", "ground_z"], ["down"], "lith_id")
     depth = cells.groupBy("request").agg(F.max("k").alias("k0"))
-    out = runs.join(depth, "request").join(F.broadcast(names), "lith_id", "left")
+    out = runs.join(depth, "request").join(names, "lith_id", "left")
     top = grid.z0 + (F.col("k0") - F.col("first_pos") + 2) * dz
     cut = F.when((F.col("run_no") == 1) & F.col("ground_z").isNotNull(), F.least(top, F.bround("ground_z", 1))).otherwise(top)
     bottom = grid.z0 + (F.col("k0") - F.col("last_pos") + 1) * dz
@@ -181,13 +181,13 @@ def borehole(voxels: DataFrame, requests: DataFrame, grid: Grid, names: DataFram
 def section(voxels: DataFrame, grid: Grid, a: tuple, b: tuple, n: int, ground: DataFrame | None = None) -> DataFrame:
     """n evenly spaced columns from a to b, ends included: sample, k, lith_id (AIR above the ground)."""
     dx, dy, dz = grid.steps
-    t = F.col("sample") / (n - 1)
+    t = F.col("sample") / max(n - 1, 1)
     samples = voxels.sparkSession.range(n).select(F.col("id").cast("int").alias("sample")).select(
         "sample",
         clamp(F.floor((a[0] + t * (b[0] - a[0]) - grid.x0) / dx), 0, grid.nx - 1).cast("int").alias("i"),
         clamp(F.floor((a[1] + t * (b[1] - a[1]) - grid.y0) / dy), 0, grid.ny - 1).cast("int").alias("j"),
     )
-    out = voxels.select("i", "j", "k", "lith_id").join(F.broadcast(samples), ["i", "j"])
+    out = voxels.select("i", "j", "k", "lith_id").join(samples, ["i", "j"])
     return out.select("sample", "k", "lith_id") if ground is None else _aired(out, grid, ground).select("sample", "k", "lith_id")
 
 

@@ -85,30 +85,59 @@ def contacts(cells: DataFrame, label: str = "label", shortest: float = 25.0, tol
     sides = ahead.select("u", "v", "a", "n.*").join(cells.select(F.col("u").alias("u2"), F.col("v").alias("v2"), F.col(label).alias("b")), ["u2", "v2"]).where("a <> b")
     pairs = sides.select(F.least("a", "b").alias("unit_a"), F.greatest("a", "b").alias("unit_b"), "u", "v", "u2", "v2")
     long = pairs.groupBy("unit_a", "unit_b").count().where(F.col("count") >= shortest).select("unit_a", "unit_b")
-    both = pairs.join(F.broadcast(long), ["unit_a", "unit_b"]).select("unit_a", "unit_b", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("u2").alias("u"), F.col("v2").alias("v")))).alias("c"))
+    both = pairs.join(long, ["unit_a", "unit_b"]).select("unit_a", "unit_b", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("u2").alias("u"), F.col("v2").alias("v")))).alias("c"))
     return mask_to_lines(both.select("unit_a", "unit_b", "c.*").distinct(), ["unit_a", "unit_b"], shortest, tolerance)
 
 
+#: Arc length at the end of a line that its direction there is fitted to.
+END_STRETCH = 12.0
+
+
+def end_direction(line: np.ndarray) -> np.ndarray:
+    """Unit vector in which a line runs out of its last vertex: the principal axis of its last stretch, every part weighted by its length."""
+    back = line[::-1]
+    step = np.hypot(*np.diff(back, axis=0).T)
+    used = np.searchsorted(np.cumsum(step), END_STRETCH) + 1
+    middle, weight = (back[:-1] + back[1:])[:used] / 2, step[:used]
+    rest = np.vstack([middle, back[0]]) - np.average(middle, axis=0, weights=weight if weight.any() else None)
+    axis = np.linalg.eigh((rest * np.append(weight, 1e-3)[:, None]).T @ rest)[1][:, -1]
+    return axis if axis @ (back[0] - back[min(used, len(back) - 1)]) >= 0 else -axis
+
+
 def join_broken(lines: list[np.ndarray], gap: float, angle: float) -> list[np.ndarray]:
-    """Joins lines end to end, the closest ends first, while they are at most gap apart and run on within an angle (degrees, either way round)."""
-    lines = [np.asarray(p, float) for p in lines]
-
-    def heading(p: np.ndarray) -> np.ndarray:
-        d = p[-1] - p[-min(4, len(p))]
-        return d / (np.hypot(*d) + 1e-9)
-
-    while True:
-        best = None
-        for i in range(len(lines)):
-            for j in range(i + 1, len(lines)):
-                for a in (lines[i], lines[i][::-1]):
-                    for b in (lines[j], lines[j][::-1]):
-                        d = float(np.hypot(*(a[-1] - b[0])))
-                        if d <= gap and (best is None or d < best[0]) and np.degrees(np.arccos(min(1.0, abs(float(heading(a) @ heading(b[::-1])))))) <= angle:
-                            best = (d, i, j, np.vstack([a, b]))
-        if best is None:
-            return lines
-        lines = [p for k, p in enumerate(lines) if k not in best[1:3]] + [best[3]]
+    """Joins lines end to end, the closest ends first, if they are at most gap apart and both run on in the direction of the bridge between their directions within an angle (degrees). Each end is used once, and no line is closed on itself."""
+    lines = [np.asarray(p, float) for p in lines if len(p) > 1]
+    if not lines:
+        return []
+    ends = np.array([p[k] for p in lines for k in (0, -1)])
+    runs = np.array([end_direction(p) for line in lines for p in (line[::-1], line)])
+    dist = np.hypot(*(ends[:, None] - ends[None]).transpose(2, 0, 1))
+    one, two = np.nonzero(np.triu(dist <= gap, 1) & (-(runs @ runs.T) >= np.cos(np.radians(angle))))
+    chain, taken, bridge = list(range(len(lines))), set(), {}
+
+    def root(i: int) -> int:
+        while chain[i] != i:
+            i = chain[i]
+        return i
+
+    for a, b in sorted(zip(one.tolist(), two.tolist(), strict=True), key=lambda p: (dist[p], p)):
+        if a not in taken and b not in taken and root(a // 2) != root(b // 2):
+            chain[root(a // 2)] = root(b // 2)
+            taken |= {a, b}
+            bridge[a], bridge[b] = b, a
+    out = []
+    for start in range(len(ends)):
+        other = start ^ 1
+        if start in taken or (other not in taken and start % 2):
+            continue  # a walk starts at a free end; a lone line at its first
+        walk = [lines[start // 2] if start % 2 == 0 else lines[start // 2][::-1]]
+        while other in bridge:
+            here = bridge[other]
+            walk.append(lines[here // 2] if here % 2 == 0 else lines[here // 2][::-1])
+            other = here ^ 1
+        if start < other or len(walk) == 1:
+            out.append(np.vstack(walk))
+    return out
 
 
 def fault_candidates(pixels: DataFrame, labels: DataFrame, group: str, radius: float = 2.4, shortest: float = 120.0, gap: float = 28.0, angle: float = 32.0, dark: int = 110) -> DataFrame:
