@@ -128,3 +128,33 @@ def lines_of_text(spark: SparkSession, text: str, schema: str) -> DataFrame:
     parts = F.split(F.translate("line", "，", ","), ",")
     out = rows.select(*[F.expr(f"try_cast(trim(get(split(translate(line, '，', ','), ','), {i})) as {f.dataType.simpleString()})").alias(f.name) for i, f in enumerate(fields)], F.size(parts).alias("_n"))
     return out.where(F.col("_n") >= len(fields)).drop("_n").na.drop()
+
+
+def gallery(spark: SparkSession, top: str, wanted: DataFrame) -> DataFrame:
+    """case_id, name, path of the files below `top` whose name is among the wanted ones (name), in order of the case and name."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top).select("path")
+    parts = found.select(F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1).alias("case_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "path")
+    return parts.join(wanted.select("name").distinct(), "name", "left_semi").select("case_id", "name", "path")
+
+
+def metric_table(spark: SparkSession, path: str) -> DataFrame:
+    """metric, value: the numbers of a metrics document, with the names of nested ones joined by dots; read as text, so any nesting will do."""
+    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
+    top = whole.select(F.explode(F.from_json(F.to_json("doc"), "map<string,string>")).alias("metric", "value"))
+    inner = F.from_json("value", "map<string,string>")
+    nested = top.where(F.col("value").startswith("{")).select(F.col("metric").alias("_m"), F.explode(inner).alias("_k", "value")).select(F.concat_ws(".", "_m", "_k").alias("metric"), "value")
+    flat = top.where(~F.col("value").startswith("{")).unionByName(nested)
+    return flat.select("metric", F.col("value").try_cast("double").alias("value")).where("value is not null")
+
+
+def stage_upload(spark: SparkSession, upload: str, case_folder: str) -> str:
+    """Empties a case folder and copies one uploaded file into it as input/map with the upload's ending; returns the new path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, folder = jvm.org.apache.hadoop.fs.Path(upload), jvm.org.apache.hadoop.fs.Path(case_folder)
+    name = source.getName()
+    target = jvm.org.apache.hadoop.fs.Path(folder, "input/map" + name[name.rfind(".") :] if "." in name else "input/map")
+    files = folder.getFileSystem(conf)
+    files.delete(folder, True)
+    files.mkdirs(target.getParent())
+    jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, files, target, False, conf)
+    return target.toString()

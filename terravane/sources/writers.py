@@ -31,3 +31,13 @@ def markdown(df: DataFrame, order: str) -> DataFrame:
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
     body = df.select(F.col(order).cast("long").alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
     return head.unionByName(body).orderBy("line_no")
+
+
+def write_extract(labels: DataFrame, units: DataFrame, folder: str, masks: DataFrame | None = None) -> None:
+    """The tables of a segmentation: labels (and masks) as Parquet by case, units as CSV with the review columns that are still empty."""
+    labels.write.mode("overwrite").partitionBy(*[c for c in ("case_id",) if c in labels.columns]).parquet(f"{folder}/labels")
+    if masks is not None:
+        masks.write.mode("overwrite").partitionBy(*[c for c in ("case_id",) if c in masks.columns]).parquet(f"{folder}/masks")
+    blank = {"order": F.lit(-1), "series": F.lit("Strat_Series"), "dip": F.lit(None).cast("double"), "azimuth": F.lit(None).cast("double")}
+    review = units.withColumns({k: v for k, v in blank.items() if k not in units.columns})
+    write_table(review, f"{folder}/units_auto")
