@@ -201,6 +201,10 @@ def surface_units(spark, sf_dir):
     return grid.truth_voxels(spark, BASE).join(top, ["i", "j", "k"]).groupBy("lith_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH RECURSIVE c AS ({slice_sql(25)}), k AS (SELECT CAST(v * 50 + u AS BIGINT) AS id, u, v, label FROM c),
+e AS (SELECT x.id AS a, y.id AS b FROM k x, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) s(a, b) JOIN k y ON y.u = x.u + s.a AND y.v = x.v + s.b AND y.label = x.label),
+r(x, y) AS (SELECT id, id FROM k UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y), l AS (SELECT x, min(y) AS component FROM r GROUP BY x)
+SELECT component, CAST(label AS INTEGER) AS label, count(*) AS area FROM l JOIN k ON k.id = l.x GROUP BY ALL""")
 def components_slice(spark, sf_dir):
     from ..operators.graph import components, grid_edges
 
@@ -209,9 +213,8 @@ def components_slice(spark, sf_dir):
     return cells.join(comps.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("component", "id").alias("component"), "label").agg(F.count("*").alias("area"))
 
 
+@query(f"""WITH g AS ({ground_sql()}), e AS (SELECT a.ground_z AS a, b.ground_z AS b FROM g a JOIN g b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1) WHERE a.ground_z <> b.ground_z),
+h AS (SELECT unnest(range(CAST(floor(least(a, b) / 50.0) AS BIGINT) + 1, CAST(floor(greatest(a, b) / 50.0) AS BIGINT) + 1)) AS k FROM e) SELECT k * 50.0::DOUBLE AS level, count(*) AS n FROM h GROUP BY k""")
 def contour_crossings(spark, sf_dir):
     dem = grid.surface(spark, BASE).select(F.col("i").alias("u"), F.col("j").alias("v"), F.col("ground_z").alias("z"))
     return raster.iso_crossings(dem, 50.0).groupBy("level").agg(F.count("*").alias("n"))
-
-
-QUERIES |= {"components_slice": components_slice, "contour_crossings": contour_crossings}
