@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from terravane.operators import grid
+from terravane.operators import grid, requests
 from terravane.operators.grid import AIR, Grid, scenarios
 
 # Expected voxel counts for unit ids 0..5: all, and below ground.
@@ -14,7 +14,8 @@ COUNTS = {
     "high_relief": ([33391, 12160, 13319, 14604, 14568, 36958], [6578, 5703, 9841, 13575, 14465, 36956]),
     "flat_dem": ([33391, 12160, 13319, 14604, 14568, 36958], [5285, 7124, 9600, 13965, 14568, 36958]),
 }
-BLOCK = Grid(40, 40, 30, 0.0, 400.0, 0.0, 400.0, -300.0, 0.0)
+#: Cells of 20 x 10 x 10 metres.
+LENS = Grid(24, 16, 20, 0.0, 480.0, 0.0, 160.0, -200.0, 0.0)
 
 
 @pytest.mark.parametrize("name", sorted(COUNTS))
@@ -24,49 +25,51 @@ def test_scenario_counts(spark, name):
 
 
 @pytest.fixture(scope="module")
-def layered(spark):
-    x, z = BLOCK.centre("x", F.col("i")), BLOCK.centre("z", F.col("k"))
-    dike = (F.abs(z - (0.6 * x - 320)) <= 15) & (x >= 200)
-    lith = F.when(dike, 1).when(z > -100, 2).when(z > -200, 3).otherwise(4)
-    return BLOCK.cells(spark).withColumn("lith_id", lith.cast("int")).cache()
+def tilted(spark):
+    """Five layers whose borders sink towards smaller x, one metre in four, and a lens of coal across them."""
+    x, z = LENS.centre("x", F.col("i")), LENS.centre("z", F.col("k"))
+    height = z + 0.25 * x
+    lens = (x - 240) * (x - 240) / 10_000 + (z + 100) * (z + 100) / 625 <= 1
+    unit = F.when(lens, 7).when(height > 60, 10).when(height > 20, 11).when(height > -40, 12).when(height > -110, 13).otherwise(14)
+    return LENS.cells(spark).withColumn("lith_id", unit.cast("int")).cache()
 
 
 @pytest.fixture(scope="module")
-def names(spark):
-    return spark.createDataFrame([(1, "Dike"), (2, "K1"), (3, "P3"), (4, "P1")], "lith_id int, unit string")
+def called(spark):
+    return spark.createDataFrame([(7, "Coal"), (10, "Sand"), (11, "Silt"), (12, "Clay"), (13, "Marl")], "lith_id int, unit string")
 
 
-def test_layer_counts(layered):
-    assert [r["count"] for r in layered.groupBy("lith_id").count().orderBy("lith_id").collect()] == [2400, 15600, 14080, 15920]
+def _log(spark, tilted, called, x, ground=None):
+    ask = spark.createDataFrame([("well", x, 75.0)], "name string, x double, y double")
+    rows = grid.borehole(tilted, ask, LENS, called, ground).orderBy("seg_no").collect()
+    assert all(r["thickness"] == pytest.approx(r["z_top"] - r["z_bottom"]) for r in rows)
+    return [(r["unit"], r["z_top"], r["z_bottom"]) for r in rows]
 
 
-def test_borehole(spark, layered, names):
-    ask = spark.createDataFrame([("a", 55.0, 105.0)], "name string, x double, y double")
-    rows = grid.borehole(layered, ask, BLOCK, names).orderBy("seg_no").collect()
-    assert [(r["unit"], r["z_top"], r["z_bottom"]) for r in rows] == [("K1", 0.0, -100.0), ("P3", -100.0, -200.0), ("P1", -200.0, -300.0)]
-
-
-def test_borehole_outside_is_an_error(spark, layered, names):
-    ask = spark.createDataFrame([("a", -999.0, 0.0)], "name string, x double, y double")
+def test_logs_of_a_tilted_lens(spark, tilted, called):
+    # Columns with centres at 10 and 250; the oldest layer has no name.
+    assert _log(spark, tilted, called, 3.0) == [("Clay", 0.0, -40.0), ("Marl", -40.0, -110.0), ("Unknown", -110.0, -200.0)]
+    assert _log(spark, tilted, called, 259.0) == [("Silt", 0.0, -40.0), ("Clay", -40.0, -80.0), ("Coal", -80.0, -120.0), ("Marl", -120.0, -170.0), ("Unknown", -170.0, -200.0)]
+    ground = LENS.columns(spark).withColumn("ground_z", F.lit(-60.43))
+    assert _log(spark, tilted, called, 259.0, ground)[0] == ("Clay", -60.4, -80.0)
     with pytest.raises(Exception, match="outside the model"):
-        grid.borehole(layered, ask, BLOCK, names).collect()
-
-
-def test_section(layered):
-    cells = grid.section(layered, BLOCK, (5.0, 5.0), (395.0, 5.0), 200)
-    assert cells.count() == 200 * 30
-    assert {r["lith_id"] for r in cells.where("k = 29").collect()} == {2} and {r["lith_id"] for r in cells.where("k = 0").collect()} == {4}
-    assert cells.where("lith_id = 1").count() > 0
-
-
-def test_slice_and_its_clamp(layered):
-    cells = grid.level_slice(layered, BLOCK, -155.0)
-    found = {(r["i"], r["j"]): r["lith_id"] for r in cells.collect()}
-    assert (found[10, 10], found[27, 20], found[35, 20]) == (3, 1, 3)
-    assert {r["lith_id"]: r["count"] for r in cells.groupBy("lith_id").count().collect()} == {1: 200, 3: 1400}
-    assert {r["lith_id"] for r in grid.level_slice(layered, BLOCK, 999.0).collect()} == {2}
-
-
-def test_air_above_ground(spark, layered):
-    ground = BLOCK.columns(spark).withColumn("ground_z", F.lit(-150.0))
-    assert {r["lith_id"] for r in grid.level_slice(layered, BLOCK, -50.0, ground).collect()} == {AIR}
+        _log(spark, tilted, called, 481.0)
+
+
+def test_sections_through_the_lens(spark, tilted):
+    along = grid.section(tilted, LENS, (0.0, 15.0), (480.0, 15.0), 97)
+    assert along.count() == 97 * 20 and along.where("lith_id = 7").select("k").distinct().count() == 4
+    assert grid.section(tilted, LENS, (250.0, 15.0), (0.0, 0.0), 1).where("lith_id = 7").count() == 4
+    cuts = spark.createDataFrame([("a", 0.0, 15.0, 480.0, 15.0, 97), ("b", 250.0, 15.0, 0.0, 0.0, 1)], "name string, ax double, ay double, bx double, by double, n int")
+    both = requests.sections(tilted, cuts, LENS)
+    assert both.where("request = 'a'").drop("request").exceptAll(along).isEmpty() and both.where("request = 'b' and lith_id = 7").count() == 4
+
+
+def test_slices_and_their_bounds(spark, tilted):
+    assert grid.level_slice(tilted, LENS, -97.0).where("lith_id = 7").count() == 10 * 16
+    assert {r["lith_id"] for r in grid.level_slice(tilted, LENS, 5000.0).collect()} == {10, 11, 12}
+    ground = LENS.columns(spark).withColumn("ground_z", F.when(F.col("i") < 12, -150.0).otherwise(0.0))
+    assert grid.level_slice(tilted, LENS, -50.0, ground).where(F.col("lith_id") == AIR).count() == 12 * 16
+    asked = spark.createDataFrame([("s", -50.0), ("t", 5000.0)], "name string, z double")
+    made = requests.level_slices(tilted, asked, LENS, ground)
+    assert made.where(f"request = 's' and lith_id = {AIR}").count() == 12 * 16 and made.where("request = 't'").count() == 24 * 16
