@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import cut_lineage
+
 
 def run_length_segments(df: DataFrame, partition: list[str], order: list, value: str) -> DataFrame:
     """Maximal runs of equal values: partition, run_no (from 1), value, first and last position, n.
@@ -26,14 +30,29 @@ def number(df: DataFrame, partition: list[str], order: list, name: str = "rn", c
     return out.withColumn(count, F.count("*").over(Window.partitionBy(*partition))) if count else out
 
 
-def stride_thin(df: DataFrame, partition: list[str], order: list, most: int) -> DataFrame:
-    """Every s-th row of each partition, with s the least stride that leaves `most` rows or fewer."""
-    counted = number(df, partition, order, "_rn", "_n")
+def number_spread(df: DataFrame, partition: list[str], order: list, name: str = "rn", count: str | None = None, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """As number(), for few partitions of many rows: rows are dealt by ranges of (partition, order), numbered in each range, and shifted by the rows of the ranges before, so that no task gets a whole partition."""
+    ranged = cut(df.repartitionByRange(*partition, *order).withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy(*partition).orderBy("_p")
+    sizes = ranged.groupBy(*partition, "_p").agg(F.count("*").alias("_c"))  # a row a partition and range
+    before = sizes.select(*partition, "_p", (F.sum("_c").over(w) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(*partition)).alias("_total"))
+    inside = ranged.withColumn("_n", F.row_number().over(Window.partitionBy(*partition, "_p").orderBy(*order)))
+    same = None
+    for c in (*partition, "_p"):
+        test = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        same = test if same is None else same & test
+    joined = inside.alias("a").join(before.alias("b"), same)
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_n") + F.col("_before")).alias(name), *([F.col("_total").alias(count)] if count else []))
+
+
+def stride_thin(df: DataFrame, partition: list[str], order: list, most: int, spread: bool = False) -> DataFrame:
+    """Every s-th row of each partition, with s the least stride that leaves `most` rows or fewer. Spread is for few partitions of many rows."""
+    counted = (number_spread if spread else number)(df, partition, order, "_rn", "_n")
     return counted.where((F.col("_rn") - 1) % F.ceil(F.col("_n") / most) == 0).drop("_rn", "_n")
 
 
-def every_nth(df: DataFrame, partition: list[str], order: list, n: int) -> DataFrame:
-    return number(df, partition, order, "_rn").where((F.col("_rn") - 1) % n == 0).drop("_rn")
+def every_nth(df: DataFrame, partition: list[str], order: list, n: int, spread: bool = False) -> DataFrame:
+    return (number_spread if spread else number)(df, partition, order, "_rn").where((F.col("_rn") - 1) % n == 0).drop("_rn")
 
 
 def pick_at(df: DataFrame, partition: list[str], order: list, fractions: list[float]) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,17 +66,34 @@ def nearest_distances(points: DataFrame, targets: DataFrame, start: float, by: S
     return out.unionByName(left.select(*by, "id", F.lit(None).cast("double").alias("dist")))
 
 
-def knn(vectors: DataFrame, k: int, id_column: str, vector_column: str, group: str) -> DataFrame:
-    """The k nearest others of each vector inside its group: id, neighbour, rank, dist2 (ties: smallest id).
+def knn(vectors: DataFrame, k: int, id_column: str, vector_column: str, group: str, block: int = 512) -> DataFrame:
+    """The k nearest others of each vector inside its group: id, neighbour, rank, dist2 (ties: smallest id). Rows without a vector have none and are none.
 
-    The candidates of a group stay in the join; the rank is cut by a group limit before the sort.
+    A group's vectors are dealt to blocks by hash; each block is sent to each other one, and a pair of blocks gives at most k candidates a
+    vector, so rows grow with the vectors times the blocks, never with their square, and no task holds more than two blocks.
     """
-    a = vectors.select(F.col(group).alias("_g"), F.col(id_column).alias(id_column), F.col(vector_column).alias("_v"))
-    b = vectors.select(F.col(group).alias("_g"), F.col(id_column).alias("neighbour"), F.col(vector_column).alias("_w"))
-    dist = F.aggregate(F.zip_with("_v", "_w", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    near = a.join(b, "_g").where(F.col(id_column) != F.col("neighbour")).select(id_column, "neighbour", F.round(dist, 9).alias("dist2"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(id_column).orderBy("dist2", "neighbour")))
-    return ranked.where(F.col("rank") <= k)
+    kinds = dict(vectors.dtypes)
+    rows = vectors.where(F.col(vector_column).isNotNull()).select(F.col(group).alias("g"), F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    dealt = rows.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    packed = dealt.groupBy("g", "b").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("id", "v")).alias("other"))
+    asked = packed.select("g", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
+    pairs = asked.join(packed.select("g", "b", F.col("other").alias("own")), ["g", "b"]).join(packed.select("g", F.col("b").alias("to"), "other"), ["g", "to"]).select("own", "other")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for own, other in zip(pdf["own"], pdf["other"], strict=True):
+                a, b = (np.array([list(r["v"]) for r in side], float) for side in (own, other))
+                i, j = (np.array([r["id"] for r in side]) for side in (own, other))
+                far = np.round(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0), 9)
+                far[i[:, None] == j[None]] = np.inf
+                near = np.lexsort((np.broadcast_to(j, far.shape), far), axis=1)[:, :k]
+                out = pd.DataFrame({id_column: np.repeat(i, near.shape[1]), "neighbour": j[near].ravel(), "dist2": np.take_along_axis(far, near, 1).ravel()})
+                yield out[np.isfinite(out["dist2"])]
+
+    found = pairs.mapInPandas(run, f"{id_column} {kinds[id_column]}, neighbour {kinds[id_column]}, dist2 double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(id_column).orderBy("dist2", "neighbour")))
+    return ranked.where(F.col("rank") <= k).select(id_column, "neighbour", "dist2", "rank")
 
 
 def _small(df: DataFrame, most: int) -> None:

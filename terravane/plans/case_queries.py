@@ -351,7 +351,7 @@ def thickness_prior(spark, sf_dir):
 
 
 def constraint_tables(spark, sf_dir):
-    """The whole builder on a map of the base scenario: points and orientations of each formation. SQL can't express its greedy choices; tests hold its parts."""
+    """The whole builder on a map of the base scenario: points and orientations of each formation. SQL has no greedy choices; tests hold its parts."""
     n = 2 * _side(spark, sf_dir)
     georef = GeoRef(n, n, 0.0, 2000.0, 0.0, 2000.0)
     truth = generate.map_truth(spark, BASE, georef)

@@ -49,14 +49,14 @@ def runlength_top_clip(spark, sf_dir):
 WITH m AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, event_id FROM m WHERE (rn - 1) % CAST(ceil(n / 260.0) AS BIGINT) = 0""")
 def stride_thin(spark, sf_dir):
-    return sequences.stride_thin(table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], ["event_id"], 260)
+    return sequences.stride_thin(table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], ["event_id"], 260, spread=True)
 
 
 @query("""
 WITH m AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events)
 SELECT event_type, event_id FROM m WHERE (rn - 1) % 3 = 0""")
 def every_nth(spark, sf_dir):
-    return sequences.every_nth(table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], ["event_id"], 3)
+    return sequences.every_nth(table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], ["event_id"], 3, spread=True)
 
 
 @query("""
