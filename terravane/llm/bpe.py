@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_arrow, slices
 
 #: Pieces whose ids a worker remembers at most, and the longest piece (in characters) that it remembers.
 CACHE_PIECES, CACHE_CHARS = 600_000, 48
@@ -136,18 +136,6 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.find(text))) if text else b""
 
 
-_held: dict = {}
-
-
-def _encoder(tokens, pattern: str) -> Encoder:
-    """One encoder a worker process, for the last vocabulary."""
-    key = (tokens.id if hasattr(tokens, "id") else id(tokens), pattern)
-    if key not in _held:
-        _held.clear()
-        _held[key] = Encoder(tokens.value, pattern)
-    return _held[key]
-
-
 def encode_bpe(df: DataFrame, tokens: list[bytes], pattern: str, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id_column, the kept columns, and token_ids: binary, ids as little-endian unsigned 32-bit integers."""
     shared = df.sparkSession.sparkContext.broadcast(tokens)
@@ -155,12 +143,15 @@ def encode_bpe(df: DataFrame, tokens: list[bytes], pattern: str, id_column: str
     schema = rows.select(id_column, *keep, F.lit(b"").alias("token_ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shared, pattern).encode
+        encoder = Encoder(shared.value, pattern)  # one a task: it takes half a second to make, and its memos go with the task
+        encode = encoder.encode
         for part in slices(batches, "_text"):
             ids = pa.array([encode(t) for t in part.column("_text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], schema.names)
+        encoder.clear()
+        encoder.compatible.cache_clear()
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def decode_bpe(df: DataFrame, tokens: list[bytes], ids_column: str = "token_ids", out_column: str = "decoded") -> DataFrame:
@@ -176,7 +167,7 @@ def decode_bpe(df: DataFrame, tokens: list[bytes], ids_column: str = "token_ids"
             data = pa.array([b"".join(map(get, memoryview(x).cast("I"))) if x else b"" for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns, data], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def digest(decoded: DataFrame, id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,7 +1,7 @@
 r"""Chat formatting: a finite-state machine over roles emits text segments with loss flags from a declarative template.
 
 Rows (conversation, turn, role, text) are dealt by conversation, sorted, and streamed: the machine
-holds one row at a time, so a conversation of any length needs no memory for its turns.
+holds some megabytes of rows at a time, so a conversation of any length needs no memory for its turns.
 Each turn gives three segments: header, content, end. Control strings inside a role or text are
 escaped with a backslash, and the escapes are undone on reading, so formatting is reversible.
 
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow, slices
+
 
 @dataclass(frozen=True)
 class Template:
@@ -72,7 +74,7 @@ def format_chats(rows: DataFrame, template: Template = Template(), id_column: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, number = object(), "", 0
-        for batch in batches:
+        for batch in slices(batches, "t"):
             out: list[tuple] = []
             for c, r, t in zip(*(batch.column(x).to_pylist() for x in ("c", "r", "t")), strict=True):
                 if c != now:
@@ -85,7 +87,7 @@ def format_chats(rows: DataFrame, template: Template = Template(), id_column: st
                 state, number = r, number + 1
             yield _batch(out, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_()], SEGMENTS)
 
-    return dealt.mapInArrow(run, SEGMENTS)
+    return in_arrow(dealt, run, SEGMENTS)
 
 
 def _batch(rows: list[tuple], types: list, schema: str) -> pa.RecordBatch:
@@ -104,7 +106,7 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = object(), None
-        for batch in batches:
+        for batch in slices(batches, "segment"):
             out: list[tuple] = []
             for c, text, loss, valid in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "segment", "loss", "valid")), strict=True):
                 if c != now:
@@ -116,7 +118,7 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
         if held:
             yield _batch([held.done()], [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()], DIGEST)
 
-    return segments.mapInArrow(run, DIGEST)
+    return in_arrow(segments, run, DIGEST)
 
 
 class _Reader:

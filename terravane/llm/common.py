@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,6 +37,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, on which the memory of a Python worker and its task depends; and Spark's own value.
+BATCH_BYTES, SPARK_BATCH_BYTES = 8 << 20, "67108864b"
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of at most BATCH_BYTES (one longer row stays whole), unless the session sets a size of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == SPARK_BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that one column holds about most_bytes at most in each (one longer row stays whole)."""
     for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_arrow, slices
 
 #: Labelled documents to learn from, lines of a training chain, steps and step size of the ascent, L2 penalty.
 MAX_ROWS, CHAIN, STEPS, RATE, PENALTY = 1500, 64, 150, 0.08, 0.002
@@ -217,7 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 ["i", "y", "b", "s"],
             )
 
-    got = rows.select("i", "y", "t").limit(4 * max_rows).mapInArrow(run, "i string, y int, b array<short>, s array<double>").toArrow().sort_by([("i", "ascending")])
+    got = in_arrow(rows.select("i", "y", "t").limit(4 * max_rows), run, "i string, y int, b array<short>, s array<double>").toArrow().sort_by([("i", "ascending")])
     return fit([(np.array(b.values).reshape(-1, len(BINS)), np.array(s.values), y) for b, s, y in zip(got["b"], got["s"], got["y"].to_pylist(), strict=True)])
 
 
@@ -237,4 +237,4 @@ def score(docs: DataFrame, field: Field, text_column: str = "text", keep: tuple[
             columns = [pa.array(out, pa.float64()), pa.array([int(x >= 0.5) for x in out], pa.int32())]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns, *([pa.array(chains, pa.list_(pa.float64()))] if lines else [])], schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return in_arrow(picked, run, schema)
