@@ -5,17 +5,18 @@ of the whole lower-cased text, predicts that bit. Decoding sums an exponential l
 by how well that bit's classifier reproduces that language's bit in training, and takes the codeword
 of least loss; if the second is nearly as near, the text is flagged as ambiguous.
 
-The classifiers are ridge regressions on a bounded sample: about MAX_ROWS rows a language, picked by
-a hash of the id, each whole and as one piece of PIECE_WORDS words, so that short texts are learned.
+The classifiers are ridge regressions on a bounded sample: about MAX_ROWS rows in all, the same number of each of
+the MAX_LABELS most frequent labels, picked by a hash of the id, each whole and as one piece of
+PIECE_WORDS words, so that short texts are learned. The driver holds the sample's sparse features and one
+table of its rows by its rows, whatever the number of languages.
 
-Defined results: null texts and texts without a letter are `und` with score 0 and not ambiguous;
-rows without a label are never learned; with one learned language all texts with letters get it;
+Defined results: null texts and texts without a letter (str.isalpha) are `und` with score 0 and not
+ambiguous; rows without a label are never learned; with one learned language all texts with letters get it;
 with none all get `und`; repeated rows each get a result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,19 +24,25 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_arrow, slices
 
 BUCKETS = 1 << 13
-#: Rows a language to learn from, words of a piece, ridge penalty, and the relative gap of losses below which a text is ambiguous.
-MAX_ROWS, PIECE_WORDS, PENALTY, GAP = 400, 8, 0.3, 0.02
-LETTER = re.compile(r"[^\W\d_]")
+#: Rows to learn from, languages, words of a piece, ridge penalty, and the relative gap of losses below which a text is ambiguous.
+MAX_ROWS, MAX_LABELS, PIECE_WORDS, PENALTY, GAP = 1000, 400, 8, 0.3, 0.02
+#: Rows of the sample that are spread out to full width at once.
+BLOCK = 256
 #: Byte table: ASCII characters that are no letters to a space.
 _SPACED = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def counts(text: str) -> np.ndarray:
     """Hashed counts of the 1- to 3-byte grams of a text."""
     data = np.frombuffer(f" {text.lower()} ".encode().translate(_SPACED), np.uint8).astype(np.uint32)
@@ -64,7 +71,7 @@ def codewords(k: int, seed: int = 11) -> np.ndarray:
     for _ in range(64):
         code = rng.choice((-1.0, 1.0), (k, length))
         code = code[:, np.abs(code.sum(0)) < k]
-        near = min(np.sum(code[i] != code[j]) for i in range(k) for j in range(i))
+        near = (code.shape[1] - (code @ code.T)[np.tril_indices(k, -1)].max()) / 2
         if near > most:
             best, most = code, near
     return best
@@ -84,7 +91,7 @@ class Model:
         return np.einsum("rlb,lb->rl", np.exp(-np.clip(margins[:, None, :] * self.code[None], -6, 6)), self.trust)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.labels or not LETTER.search(text):
+        if not text or not self.labels or not has_letter(text):
             return "und", 0.0, False
         if len(self.labels) == 1:
             return self.labels[0], 1.0, False
@@ -94,36 +101,67 @@ class Model:
         return self.labels[order[0]], float(odds[order[0]] / odds.sum()), bool(loss[order[1]] - loss[order[0]] < GAP * loss[order[1]])
 
 
-def fit(labels: list[str], x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> Model:
-    """y: row numbers of labels. One ridge regression per bit, rows weighted so that languages weigh alike."""
-    code = codewords(len(labels))
+class Sample:
+    """Sparse feature rows: the buckets and values of each, spread out to full width a block at a time."""
+
+    def __init__(self, buckets: np.ndarray, values: np.ndarray, ends: np.ndarray):
+        self.buckets, self.values, self.ends = buckets, values, ends
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def block(self, i: int) -> np.ndarray:
+        """Rows from i * BLOCK on, with a last column of ones."""
+        a, b = i * BLOCK, min((i + 1) * BLOCK, len(self))
+        out = np.zeros((b - a, BUCKETS + 1), np.float32)
+        out[:, -1] = 1
+        lo, hi = self.ends[a - 1] if a else 0, self.ends[b - 1]
+        out[np.repeat(np.arange(b - a), np.diff(self.ends[a:b], prepend=lo)), self.buckets[lo:hi]] = self.values[lo:hi]
+        return out
+
+
+def fit(labels: list[str], x: Sample, y: np.ndarray, penalty: float = PENALTY) -> Model:
+    """y: row numbers of labels. One ridge regression per bit, rows weighted so that languages weigh alike; solved for the rows' parts, then summed over the rows."""
+    code, n = codewords(len(labels)), len(x)
     if len(labels) < 2:
         return Model(labels, code, np.zeros((BUCKETS, code.shape[1])), np.zeros(code.shape[1]), np.ones(code.shape))
-    share = np.sqrt(len(y) / (len(labels) * np.bincount(y, minlength=len(labels))))[y][:, None]
-    a = np.hstack([x, np.ones((len(x), 1), np.float32)]) * share
-    dual = np.linalg.solve((a @ a.T).astype(float) + penalty * np.eye(len(a)), code[y] * share)
-    w = a.T @ dual
-    margins = x @ w[:-1] + w[-1]
+    share = np.sqrt(n / (len(labels) * np.bincount(y, minlength=len(labels))))[y][:, None]
+    inner, blocks = np.empty((n, n)), range(-(-n // BLOCK))
+    at = lambda i: slice(i * BLOCK, (i + 1) * BLOCK)
+    for i in blocks:
+        one = x.block(i)
+        for j in range(i + 1):
+            inner[at(i), at(j)] = one @ (one if i == j else x.block(j)).T
+            inner[at(j), at(i)] = inner[at(i), at(j)].T
+    inner *= share
+    inner *= share.T
+    inner[np.arange(n), np.arange(n)] += penalty
+    dual = np.linalg.solve(inner, code[y] * share) * share
+    del inner
+    w, margins = np.zeros((BUCKETS + 1, code.shape[1])), np.empty((n, code.shape[1]))
+    for i in blocks:
+        w += x.block(i).T @ dual[at(i)].astype(np.float32)
+    for i in blocks:
+        margins[at(i)] = x.block(i) @ w.astype(np.float32)
     right = np.array([((margins[y == i] * code[i]) > 0).mean(0) for i in range(len(labels))])
     trust = np.maximum(right - 0.5, 0.01)
     return Model(labels, code, w[:-1], w[-1], trust / trust.sum(1, keepdims=True))
 
 
-def learn(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", max_rows: int = MAX_ROWS) -> Model:
-    """Learns from rows whose label and text are not null: about max_rows rows a label, picked by a hash of the id; what comes to the driver is bounded by that."""
+def learn(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", max_rows: int = MAX_ROWS, max_labels: int = MAX_LABELS) -> Model:
+    """Learns from rows whose label and text are not null: about max_rows rows in all, picked by a hash of the id; what comes to the driver is bounded by that."""
     rows = rows.select(F.col(id_column).alias("i"), F.col(text_column).alias("t"), F.col(label_column).cast("string").alias("y")).where("t is not null and y is not null")
-    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    labels = sorted(sizes)
-    if not labels:
-        return fit([], np.zeros((0, BUCKETS)), np.zeros(0, int))
-    share = F.create_map(*[F.lit(v) for y in labels for v in (y, min(1.0, max_rows / sizes[y]))])
-    picked = rows.where(F.pmod(F.xxhash64("i", F.lit(17)), F.lit(1 << 20)) < share[F.col("y")] * (1 << 20)).limit(2 * max_rows * len(labels))
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(max_labels).collect()}
+    if not sizes:
+        return fit([], Sample(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, int)), np.zeros(0, int))
+    share = F.create_map(*[F.lit(v) for y in sorted(sizes) for v in (y, min(1.0, max_rows / len(sizes) / sizes[y]))])
+    picked = rows.where(F.pmod(F.xxhash64("i", F.lit(17)), F.lit(1 << 20)) < share[F.col("y")] * (1 << 20)).limit(2 * max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             out: dict = {"y": [], "k": [], "v": []}
             for text, y in zip(part.column("t").to_pylist(), part.column("y").to_pylist(), strict=True):
-                if not LETTER.search(text):
+                if not has_letter(text):
                     continue
                 words = text.split()
                 at = zlib.crc32(text.encode()) % max(1, len(words) - PIECE_WORDS)
@@ -135,13 +173,12 @@ def learn(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     out["v"].append(x[k])
             yield pa.RecordBatch.from_arrays([pa.array(out["y"], pa.string()), pa.array(out["k"], pa.list_(pa.int32())), pa.array(out["v"], pa.list_(pa.float32()))], ["y", "k", "v"])
 
-    got = picked.mapInArrow(run, "y string, k array<int>, v array<float>").toArrow().sort_by([("y", "ascending")])
-    x = np.zeros((got.num_rows, BUCKETS), np.float32)
-    for i, (k, v) in enumerate(zip(got["k"], got["v"], strict=True)):
-        x[i, k.values.to_numpy()] = v.values.to_numpy()
-    learned = sorted(set(got["y"].to_pylist()))
+    got = in_arrow(picked, run, "y string, k array<int>, v array<float>").toArrow().sort_by([("y", "ascending")]).combine_chunks()
+    names = got["y"].to_pylist()
+    learned = sorted(set(names))
     number = {y: i for i, y in enumerate(learned)}
-    return fit(learned, x, np.array([number[y] for y in got["y"].to_pylist()], int))
+    flat = lambda name: pc.list_flatten(got[name]).to_numpy()
+    return fit(learned, Sample(flat("k"), flat("v"), np.cumsum(pc.list_value_length(got["k"]).to_numpy())), np.array([number[y] for y in names], int))
 
 
 def identify(rows: DataFrame, model: Model, text_column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -156,4 +193,4 @@ def identify(rows: DataFrame, model: Model, text_column: str = "text", keep: tup
             columns = list(zip(*found, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return in_arrow(picked, run, schema)
