@@ -35,23 +35,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_folder
-from .common import materialise, slices
+from .common import in_arrow, materialise, slices
 from .minhash import _power_tables, mix
 
 LENGTH, MER, RUN = 50, 22, 64
+#: Windows whose runs are found at once.
+RUN_BLOCK = 1 << 18
 #: Text bytes of a chunk, and of the input for each group of minimizers and of strings.
-CHUNK, KEY_BYTES, STRING_BYTES = 1 << 20, 32 << 20, 24 << 20
+CHUNK, KEY_BYTES, STRING_BYTES = 1 << 20, 16 << 20, 8 << 20
 #: Strings of one transform (its arrays stay in the processor's cache), and runs from which a minimizer is split.
 PILE, HOT = 16_000, 16_000
 _U = np.uint64
 _NO_ID, _LEAST_ID = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
-def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, mer: int = MER, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and number of windows of each run in concatenated texts that end at `ends`, and the place of its minimizer in the first window."""
+def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, mer: int = MER, block: int = RUN_BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and number of windows of each run in concatenated texts that end at `ends`, and the place of its minimizer in the first window. Works in blocks of windows, whose borders cut runs in two."""
+    found = []
+    for a in range(0, len(data) - length + 1, block):
+        part = data[a : a + block + length - 1]
+        near = ends[np.searchsorted(ends, a, "right") :] - a
+        start, windows, place = _runs(part, np.append(near[near < len(part)], near[near >= len(part)][:1]), length, mer)
+        found.append((start + a, windows, place))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def _runs(data: np.ndarray, ends: np.ndarray, length: int, mer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     power, inverse = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * power[:n], dtype=np.uint64, out=sums[1:])
@@ -63,14 +73,15 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, mer: int = ME
         step = min(have, width - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)  # bytes to the end of the text
+    sizes = np.diff(np.minimum(ends, n), prepend=0)
+    left = np.repeat(ends, sizes) - np.arange(n)  # bytes to the end of the text
     good = left[: len(least)] >= length
     first = good.copy()
     first[1:] &= ~good[:-1] | (least[1:] != least[:-1])
     start = np.flatnonzero(first)
     number = np.cumsum(first) - 1
     inside = np.flatnonzero(good)
-    start = inside[(inside - start[number[inside]]) % run == 0]
+    start = inside[(inside - start[number[inside]]) % RUN == 0]
     stop = np.append(np.flatnonzero(np.diff(good.astype(np.int8), append=0) == -1) + 1, n)
     end = np.minimum(stop[np.searchsorted(stop, start, "right")], np.append(start[1:], n))
     found = []
@@ -211,7 +222,7 @@ def _chunks(docs: DataFrame, most: int, length: int) -> DataFrame:
         if ids:
             yield chunk()
 
-    return docs.mapInArrow(run, _CHUNK)
+    return in_arrow(docs, run, _CHUNK)
 
 
 class _Chunk:
@@ -264,6 +275,12 @@ def _groups(key: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(key, borders, "right")
 
 
+def _pieces(key: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """Number, begin and end of the groups that have a key."""
+    ends = _groups(key, n)
+    return [(p, a, b) for p, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)) if b > a]
+
+
 def _batch(schema: str, *columns) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
@@ -286,11 +303,9 @@ def _flags(chunks: DataFrame, parts: int, length: int, hot_runs: int) -> DataFra
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             c = _Chunk(r, length)
-            a = 0
-            for p, b in enumerate(_groups(c.keys, parts).tolist()):
-                if b > a:
-                    yield _batch(_KEYS, [p], [r["chunk"]], *[[x[a:b].tobytes()] for x in (c.keys, c.low, c.high, c.number.astype(np.int32))])
-                a = b
+            have = _pieces(c.keys, parts)
+            cut = lambda x: [x[a:b].tobytes() for _, a, b in have]
+            yield _batch(_KEYS, [p for p, *_ in have], [r["chunk"]] * len(have), *map(cut, (c.keys, c.low, c.high, c.number.astype(np.int32))))
 
     def meet(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
@@ -309,14 +324,13 @@ def _flags(chunks: DataFrame, parts: int, length: int, hot_runs: int) -> DataFra
         hot = bits(np.add.reduceat(number[order].astype(np.int64), edge) > hot_runs)
         return pa.Table.from_batches([_batch(_FLAGS, table["chunk"].to_pylist(), table["part"].to_pylist(), several, hot)])
 
-    return chunks.mapInArrow(send, _KEYS).groupBy("part").applyInArrow(meet, _FLAGS)
+    return in_arrow(chunks, send, _KEYS).groupBy("part").applyInArrow(meet, _FLAGS)
 
 
 def _flagged(c: _Chunk, flags: list, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """For each distinct minimizer of a chunk: whether it is shared, and whether it is hot."""
-    ends = _groups(c.keys, parts)
     of = {f["part"]: f for f in flags or []}
-    have = [(p, int(b - a)) for p, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)) if b > a]
+    have = [(p, b - a) for p, a, b in _pieces(c.keys, parts)]
     read = lambda name: np.concatenate([np.unpackbits(np.frombuffer(of[p][name], np.uint8), count=n).astype(bool) for p, n in have]) if have else np.zeros(0, bool)
     return read("shared"), read("hot")
 
@@ -371,18 +385,16 @@ def _minima(flagged: DataFrame, key_parts: int, parts: int, length: int, pile: i
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             strings, keys, places, ids, *_ = _Chunk(r, length).strings(r["flags"], key_parts)
-            a = 0
-            for p, b in enumerate(_groups(keys, parts).tolist()):
-                if b > a:
-                    sizes = np.array([len(x) for x in strings[a:b]], np.uint8)
-                    yield _batch(_STRINGS, [p], [r["chunk"]], [keys[a:b].tobytes()], [sizes.tobytes()], [places[a:b].astype(np.uint8).tobytes()], [b"".join(strings[a:b])], [ids[a:b].tobytes()])
-                a = b
+            have, sizes = _pieces(keys, parts), np.array([len(x) for x in strings], np.uint8)
+            cut = lambda x: [x[a:b].tobytes() for _, a, b in have]
+            data = [b"".join(strings[a:b]) for _, a, b in have]
+            yield _batch(_STRINGS, [p for p, *_ in have], [r["chunk"]] * len(have), cut(keys), cut(sizes), cut(places.astype(np.uint8)), data, cut(ids))
 
     def meet(table: pa.Table) -> pa.Table:
         found = _answers(table.select(["keys", "sizes", "places", "data", "ids"]).to_pylist(), length, pile)
         return pa.Table.from_batches([_batch(_MINIMA, table["chunk"].to_pylist(), table["part"].to_pylist(), *zip(*found, strict=True))])
 
-    return flagged.mapInArrow(send, _STRINGS).groupBy("part").applyInArrow(meet, _MINIMA)
+    return in_arrow(flagged, send, _STRINGS).groupBy("part").applyInArrow(meet, _MINIMA)
 
 
 _RESULT = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
@@ -426,7 +438,7 @@ def _cut(answered: DataFrame, key_parts: int, length: int, shift: int, whole_cha
             columns = [pa.array(ids, pa.int64()), pa.array(c.sizes), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return answered.mapInArrow(run, _RESULT)
+    return in_arrow(answered, run, _RESULT)
 
 
 def _bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
