@@ -2,10 +2,11 @@
 
 Unit vectors whose cosine is at least t lie within eps = sqrt(2 - 2t) of each other, in full space and
 so in any projection. Vectors are sorted in epsilon grid order: by group, then by the grid cells (of
-side eps) of their leading principal components; the order is cut into intervals of BLOCK vectors,
+side eps / 2) of their leading principal components; the order is cut into intervals of BLOCK vectors,
 and FANOUT intervals make one of the next level. Pairs of intervals are joined from the top level
-down; a pair whose bounding boxes are farther than eps apart is dropped with all below it. Vectors
-of the remaining leaf pairs are compared exactly, in double precision.
+down; a pair whose bounding boxes are farther than eps apart is dropped with all below it. The remaining
+pairs are cut once more, into intervals of PART vectors; of those within eps, vectors that are near in the
+projection are compared exactly, in double precision.
 
 Equal vectors are one class with a count before the join, so copies cost nothing; a leaf pair returns
 a row per vector (its links there and the least vector it reaches there), never the pairs.
@@ -26,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import in_arrow, materialise
 from .graph import components
 
-#: Vectors of a leaf, intervals of a parent, principal components used, vectors that these are fitted on at most.
-BLOCK, FANOUT, DIMENSIONS, SAMPLE = 512, 8, 8, 2000
+#: Vectors of an interval that is sent, intervals of a parent, vectors of the smallest intervals, principal components used, vectors that these are fitted on at most.
+BLOCK, FANOUT, PART, DIMENSIONS, SAMPLE = 512, 8, 16, 16, 2000
 LEAF = "grp string, part long, seq long, lo array<double>, hi array<double>, ids binary, counts binary, vectors binary"
 
 
@@ -56,7 +57,7 @@ def _axes(classes: DataFrame, dimensions: int) -> dict[int, np.ndarray]:
 
 def _cells(classes: DataFrame, axes: dict[int, np.ndarray], eps: float, dimensions: int) -> DataFrame:
     shared = classes.sparkSession.sparkContext.broadcast(axes)
-    schema = "class long, grp string, count long, vector array<float>, cells array<int>"
+    schema = f"class long, grp string, count long, vector {dict(classes.dtypes)['vector']}, cells array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,14 +66,15 @@ def _cells(classes: DataFrame, axes: dict[int, np.ndarray], eps: float, dimensio
                 x = v.values.to_numpy().astype(float)
                 axis = shared.value.get(len(x))
                 p = _unit(x[None])[0] @ axis if axis is not None else np.zeros(0)
-                cells.append(np.pad(np.floor(p / eps).astype(np.int32), (0, dimensions - len(p))))
+                cells.append(np.pad(np.floor(2 * p / eps).astype(np.int32), (0, dimensions - len(p))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], ["class", "grp", "count", "vector", "cells"])
 
-    return classes.select("class", "grp", "count", F.col("vector").cast("array<float>")).mapInArrow(run, schema)
+    return in_arrow(classes.select("class", "grp", "count", "vector"), run, schema)
 
 
 def _leaves(cells: DataFrame, axes: dict[int, np.ndarray], dimensions: int, block: int) -> DataFrame:
     """Cuts the sorted vectors of each partition into leaves of one group."""
+    kind = _kind(cells)
     shared = cells.sparkSession.sparkContext.broadcast(axes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +85,7 @@ def _leaves(cells: DataFrame, axes: dict[int, np.ndarray], dimensions: int, bloc
             axis = shared.value.get(raw.shape[1])
             p = _unit(raw) @ axis if axis is not None else np.zeros((len(raw), 0))
             p = np.pad(p, ((0, 0), (0, dimensions - p.shape[1])))
-            row = [[now], [part], [seq], [p.min(0)], [p.max(0)], [np.array([c for c, _, _ in held], np.int64).tobytes()], [np.array([n for _, n, _ in held], np.int64).tobytes()], [raw.astype(np.float32).tobytes()]]
+            row = [[now], [part], [seq], [p.min(0)], [p.max(0)], [np.array([c for c, _, _ in held], np.int64).tobytes()], [np.array([n for _, n, _ in held], np.int64).tobytes()], [raw.astype(kind).tobytes()]]
             types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], [f.split()[0] for f in LEAF.split(", ")])
 
@@ -99,7 +101,7 @@ def _leaves(cells: DataFrame, axes: dict[int, np.ndarray], dimensions: int, bloc
 
     order = ["grp", *[F.col("cells")[i] for i in range(dimensions)], "class"]
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, LEAF)
+    return in_arrow(cells.repartitionByRange(n, *order).sortWithinPartitions(*order), run, LEAF)
 
 
 def _near(a: str, b: str, eps: float):
@@ -138,13 +140,38 @@ def _pairs(leaves: DataFrame, eps: float, fanout: int) -> DataFrame:
     return pairs
 
 
-def compare(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Which rows of a and b have a cosine of at least `least`, in double precision."""
-    return _unit(a) @ _unit(b).T >= least
+def _kind(df: DataFrame):
+    return np.float32 if dict(df.dtypes)["vector"] == "array<float>" else np.float64
+
+
+def _apart(a: np.ndarray, b: np.ndarray, reach: float) -> np.ndarray:
+    """Which pairs of intervals of PART rows of two projected tables have boxes farther apart than the square root of reach."""
+    lo, hi = ([f(p, np.arange(0, len(p), PART), axis=0) for p in (a, b)] for f in (np.minimum.reduceat, np.maximum.reduceat))
+    gap = np.maximum(0, np.maximum(lo[0][:, None] - hi[1][None], lo[1][None] - hi[0][:, None]))
+    return (gap * gap).sum(2) > reach
+
+
+def linked(a: np.ndarray, b: np.ndarray, axis: np.ndarray | None, least: float) -> np.ndarray:
+    """Which rows of a and b have a cosine of at least `least`, in double precision; rows that are provably farther apart in the projection are not compared."""
+    a, b = _unit(a), _unit(b)
+    if axis is None:
+        return a @ b.T >= least
+    pa, pb = a @ axis, b @ axis
+    reach = max(0.0, 2 - 2 * least) * (1 + 1e-9) + 1e-12
+    far, na, nb = _apart(pa, pb, reach), (pa * pa).sum(1), (pb * pb).sum(1)
+    out = np.zeros((len(a), len(b)), bool)
+    for i, row in enumerate(far):
+        own = np.arange(i * PART, min((i + 1) * PART, len(a)))
+        others = np.flatnonzero(~np.repeat(row, PART)[: len(b)])
+        x, y = np.nonzero(na[own][:, None] + nb[others][None] - 2 * pa[own] @ pb[others].T <= reach)
+        good = np.einsum("ij,ij->i", a[own[x]], b[others[y]]) >= least
+        out[own[x[good]], others[y[good]]] = True
+    return out
 
 
-def _links(pairs: DataFrame, leaves: DataFrame, least: float) -> DataFrame:
+def _links(pairs: DataFrame, leaves: DataFrame, axes: dict[int, np.ndarray], kind, least: float) -> DataFrame:
     """class, links (copies of linked classes counted), reach (the least class reached in this leaf pair)."""
+    shared = pairs.sparkSession.sparkContext.broadcast(axes)
     side = lambda x: leaves.select("grp", F.col("part").alias(f"{x}_part"), F.col("seq").alias(f"{x}_seq"), *[F.col(k).alias(f"{x}_{k}") for k in ("ids", "counts", "vectors")])
     joined = pairs.join(side("a"), ["grp", "a_part", "a_seq"]).join(side("b"), ["grp", "b_part", "b_seq"])
     joined = joined.select("a_ids", "a_counts", "a_vectors", "b_ids", "b_counts", "b_vectors")
@@ -152,12 +179,12 @@ def _links(pairs: DataFrame, leaves: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                cell = {k: np.frombuffer(batch.column(k)[i].as_py(), np.float32 if k.endswith("vectors") else np.int64) for k in batch.schema.names}
+                cell = {k: np.frombuffer(batch.column(k)[i].as_py(), kind if k.endswith("vectors") else np.int64) for k in batch.schema.names}
                 a_ids, b_ids = cell["a_ids"], cell["b_ids"]
                 a, b = cell["a_vectors"].reshape(len(a_ids), -1).astype(float), cell["b_vectors"].reshape(len(b_ids), -1).astype(float)
                 if a.shape[1] != b.shape[1]:
                     continue
-                hit = compare(a, b, least)
+                hit = linked(a, b, shared.value.get(a.shape[1]), least)
                 if a_ids[0] == b_ids[0]:
                     np.fill_diagonal(hit, False)
                 rows, cols = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
@@ -179,18 +206,18 @@ def _links(pairs: DataFrame, leaves: DataFrame, least: float) -> DataFrame:
                     out = (np.concatenate([x, y]), np.concatenate([xn, yn]), np.concatenate([rx, ry]))
                 yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in out], ["class", "links", "reach"])
 
-    return joined.mapInArrow(run, "class long, links long, reach long")
+    return in_arrow(joined, run, "class long, links long, reach long")
 
 
 def link_vectors(rows: DataFrame, least: float = 0.98, id_column: str = "vec_id", vector_column: str = "embedding", group_column: str = "label", block: int = BLOCK, fanout: int = FANOUT) -> DataFrame:
     """id, n_links, component_id (the smallest id reachable) and kept (id = component_id) of every row."""
     eps = math.sqrt(max(0.0, 2 - 2 * least))
-    picked = rows.select(F.col(id_column).alias("id"), F.concat_ws(":", F.col(group_column).cast("string"), F.size(vector_column)).alias("g"), F.col(group_column).alias("group"), F.col(vector_column).cast("array<float>").alias("vector"))
+    picked = rows.select(F.col(id_column).alias("id"), F.concat_ws(":", F.col(group_column).cast("string"), F.size(vector_column)).alias("g"), F.col(group_column).alias("group"), F.col(vector_column).cast("array<float>" if dict(rows.dtypes)[vector_column] == "array<float>" else "array<double>").alias("vector"))
     picked = picked.select("id", F.when(F.col("group").isNotNull(), F.col("g")).alias("grp"), "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
     classes = materialise(_classes(picked).withColumn("class", F.monotonically_increasing_id()))
     axes = _axes(classes, DIMENSIONS)
     leaves = materialise(_leaves(_cells(classes, axes, eps, DIMENSIONS), axes, DIMENSIONS, block))
-    found = materialise(_links(materialise(_pairs(leaves, eps, fanout)), leaves, least))
+    found = materialise(_links(materialise(_pairs(leaves, eps, fanout)), leaves, axes, _kind(classes), least))
     totals = found.groupBy("class").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("class").alias("u"), F.col("reach").alias("v")))
     named = classes.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
