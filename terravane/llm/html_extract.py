@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_arrow, slices
 
 # Elements whose content is never text of the page, elements that stay inside a block,
 # elements and roles that hold no main text or hold it, and the words of class and id names that tell the same.
@@ -81,6 +81,12 @@ LABELLED = """
  60 0.0  30 0.0   6 0.0  0 0 1 0  0
   4 0.0   1 1.0   7 0.0  0 0 1 1  0
   8 0.0  80 0.0   0 0.0  0 0 1 0  0
+ 20 0.0  10 0.0  40 0.0  0 0 1 0  0
+ 60 0.0   4 0.0  30 0.0  0 0 1 0  0
+  3 0.0   0 0.0  80 0.0  0 0 1 0  0
+ 12 0.0  20 0.0  15 0.0  0 0 1 0  0
+  5 0.0   2 1.0  25 0.0  0 0 1 1  0
+ 30 0.0  40 0.0  60 0.0  0 0 1 0  0
   2 1.0   2 1.0   2 1.0  0 1 0 0  0
  35 0.0   4 0.0  40 0.0  0 1 0 0  0
  12 0.0  60 0.0   0 0.0  0 1 0 0  0
@@ -112,6 +118,23 @@ LABELLED = """
   2 1.0  50 0.0  60 0.0  0 0 0 0  0
   4 0.0   2 1.0   3 1.0  0 0 0 1  0
   7 0.2   5 0.5   0 0.0  0 0 0 0  0
+  6 0.0  25 0.0  18 0.0  0 0 0 0  1
+ 10 0.0  14 0.0  22 0.0  0 0 0 0  1
+  3 0.0  20 0.0   9 0.0  0 0 0 0  1
+ 15 0.0  10 0.0  12 0.0  0 0 0 0  1
+  1 0.0  12 0.0  40 0.0  0 0 0 0  1
+ 20 0.0   7 0.0  15 0.0  0 0 0 0  1
+  9 0.0  35 0.0   5 0.0  0 0 0 0  1
+ 12 0.0   6 0.0  18 0.0  0 0 0 0  1
+ 18 0.0  16 0.0   8 0.0  0 0 0 0  1
+  9 0.0   2 1.0   6 0.0  0 0 0 0  0
+ 14 0.0   1 1.0   8 0.0  0 0 0 0  0
+ 11 0.0   3 1.0  10 0.0  0 0 0 0  0
+  9 0.0  45 0.0   0 0.0  0 0 0 0  0
+ 16 0.0  20 0.0   0 0.0  0 0 0 0  0
+  6 0.0  12 0.0   0 0.0  0 0 0 0  0
+  8 0.0   2 1.0  20 0.0  0 0 0 1  1
+  4 0.0  11 0.0  25 0.0  0 0 0 1  1
 """
 
 
@@ -258,7 +281,7 @@ def extract_main_text(pages: DataFrame, html_column: str = "html", out_column: s
         for part in slices(batches, "_html"):
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([extract(p) for p in part.column("_html").to_pylist()], pa.string())], schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return in_arrow(picked, run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
