@@ -50,8 +50,8 @@ NOTICES = [
 FUNCTION_WORDS = set("a an and any are as be by can for in into is it may met not of on or that the this to under use with without you".split())
 
 
-def _postings(spark) -> DataFrame:
-    """kind, template, label, word, place, needed (in the key phrase), n_needed, n_all: a fixed table of a few hundred rows."""
+def posting_values() -> str:
+    """The fixed postings as SQL rows: kind, template, label, word, place, needed (in the key phrase), n_needed, n_all."""
     rows = []
     for t, (kind, label, text, key) in enumerate([("base", y, p, p) for p, y in PHRASES] + [("notice", *x) for x in NOTICES]):
         words, needed = text.split(), key.split()
@@ -59,7 +59,12 @@ def _postings(spark) -> DataFrame:
         used = [(i, w) for i, w in enumerate(words) if kind == "base" or w not in FUNCTION_WORDS or (len(w) < 3 and "cc" in needed and at <= i < at + len(needed))]
         n_needed = sum(at <= i < at + len(needed) for i, _ in used)
         rows += [f"('{kind}', {t}, '{label}', '{w}', {i}, {int(at <= i < at + len(needed))}, {n_needed}, {len(used)})" for i, w in used]
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(rows) + " AS x(kind, template, label, word, place, needed, n_needed, n_all)")
+    return ", ".join(rows)
+
+
+def _postings(spark) -> DataFrame:
+    """A fixed table of a few hundred rows."""
+    return spark.sql(f"SELECT * FROM VALUES {posting_values()} AS x(kind, template, label, word, place, needed, n_needed, n_all)")
 
 
 def _vocabulary() -> list[str]:

@@ -66,5 +66,70 @@ def queries() -> dict:
     return {**found, "pipeline": corpus_pipeline.run}
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Every 50-byte string with the smallest document that it starts in; islands of the bytes that repeated ones cover.
+_SUFFIX = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, substring(h, CAST(2 * s + 1 AS BIGINT), 100) AS x FROM d, unnest(range(n - 49)) t(s) WHERE n >= 50),
+f AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY x) < doc_id AS gone FROM w),
+g AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS new FROM f WHERE gone),
+k AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM g),
+i AS (SELECT doc_id, island, min(s) AS a, max(s) + 50 AS b FROM k GROUP BY ALL),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM i),
+c AS (SELECT doc_id, string_agg(substring(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS head, max(b) AS tail, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substring(h, CAST(2 * coalesce(tail, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)"""
+
+#: Turns in order, texts with a backslash before each backslash and control string; turn order by the role before.
+_CHAT = r"""
+WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+ UNION ALL SELECT -7, k, ['user', 'assistant'][k + 1], '\### Assistant: </turn> ok' FROM range(2) x(k)),
+o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, t) AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, t) AS k FROM r),
+s AS (SELECT *, coalesce(CASE WHEN k = 1 THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' WHEN before = 'assistant' THEN role = 'user' ELSE false END, false) AS good,
+ 4 + CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9 END + 2 + length(replace(replace(replace(t, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>')) + 8 AS chars FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY k)) AS turns_sha256, CAST(sum(CASE WHEN role = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+ sha256(string_agg(CASE WHEN role = 'assistant' THEN t ELSE '' END, '' ORDER BY k)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars, bool_and(good) AND arg_max(role, k) = 'assistant' AS valid FROM s GROUP BY conv_id"""
+
+_REACH = """
+r(x, y) AS (SELECT DISTINCT a, a FROM links UNION SELECT r.x, links.b FROM r JOIN links ON links.a = r.y),
+least AS (SELECT x, min(y) AS y FROM r GROUP BY x)"""
+
+_VECTORS = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_inner_product(p.e, q.e) / (p.n * q.n) >= 0.98), {_REACH},
+c AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(c.n, 0) AS n_links, coalesce(least.y, vec_id) AS component_id, vec_id = coalesce(least.y, vec_id) AS kept FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN least ON least.x = vec_id"""
+
+#: All pairs of documents that share a shingle of five words (or all words of shorter texts).
+_NEAR = f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS x FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS m FROM s p JOIN s q USING (x) WHERE p.doc_id <> q.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE m / (p.n + q.n - m)::DOUBLE >= 0.8 UNION SELECT p.doc_id, q.doc_id FROM d p JOIN d q ON p.text = q.text AND p.doc_id <> q.doc_id), {_REACH}
+SELECT doc_id, coalesce(least.y, doc_id) AS class_id, doc_id = coalesce(least.y, doc_id) AS kept FROM documents LEFT JOIN least ON least.x = doc_id"""
+
+#: Every place of every licence word, without the proposal by rare words.
+_LICENSES = f"""
+WITH p(kind, template, label, word, place, needed, n_needed, n_all) AS (VALUES {license_scan.posting_values()}),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents), a AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS spot FROM d),
+m AS (SELECT doc_id, kind, template, label, spot - place AS o, n_needed, n_all, count(*) AS n, sum(needed) AS needed FROM a JOIN p USING (word) GROUP BY ALL),
+ok AS (SELECT * FROM m WHERE (kind = 'base' AND n = n_all) OR (kind = 'notice' AND needed = n_needed AND n >= 0.6 * n_all)),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'base') AS n_base, min(o) FILTER (kind = 'base') AS first_word, max(o) FILTER (kind = 'base') AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kind = 'base') AS base_labels,
+ string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(n / n_all::DOUBLE) AS share FROM ok GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+ CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score FROM d LEFT JOIN g USING (doc_id)"""
+
+_LEAKS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS x FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(k) WHERE len(w) > 0),
+p AS (SELECT doc_id, k, l, array_to_string(w[k : k + l - 1], ' ') AS x FROM d, (SELECT DISTINCT l FROM i), unnest(range(1, len(w) - l + 2)) t(k)),
+h AS (SELECT doc_id, item_id, k, l FROM p JOIN i USING (l, x)),
+c AS (SELECT doc_id, count(DISTINCT q) AS n FROM h, unnest(range(k, k + l)) t(q) GROUP BY doc_id),
+s AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(s.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_suffix": _SUFFIX, "op3_chat": _CHAT, "op5_vectors": _VECTORS, "op7_minhash": _NEAR, "op8_licenses": _LICENSES, "op10_decontaminate": _LEAKS}
