@@ -6,13 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+if TYPE_CHECKING:  # workers that only need this module's other functions don't load pandas
+    import pandas as pd
+
 
 @lru_cache(1)
 def _local_folder() -> str:
@@ -91,6 +93,9 @@ def chains(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage
 
     An open path starts at its smaller end; a closed one at its smallest node, towards the smaller neighbour.
     """
+    import numpy as np
+    import pandas as pd
+
     named = edges.join(components(edges, cut).select(F.col("node").alias("u"), F.col("component").alias("chain")), "u")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,6 +116,9 @@ def chains(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage
 
 def simplify_paths(points: DataFrame, path: str, order: str, tolerance: float) -> DataFrame:
     """Vertices (path, order, x, y) that the farthest-point rule keeps; one path in a task at a time."""
+    import numpy as np
+    import pandas as pd
+
     from .kernels import simplify
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
