@@ -73,11 +73,31 @@ def test_transform_is_sorted_with_right_prefixes():
     assert all(prefix[i] == common(suffixes[i - 1], suffixes[i]) for i in range(1, len(suffixes)))
 
 
-def test_transform_in_files(monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "FILE_ROWS", 10)
-    strings = [b"abababab", b"babababa", b"abababab"]
-    least, windows = suffix_dedup.window_minima(strings, np.array([5, 3, 9]), 4)
-    assert least.tolist() == [3] * 15 and windows.tolist() == [5, 5, 5]
+def test_window_minima_of_strings_around_a_minimizer():
+    strings, places = [b"xxabyy", b"xabyyz", b"xxabyz"], np.array([2, 1, 2])  # windows of 5 bytes that hold "ab"
+    least, windows = suffix_dedup.window_minima(strings, places, np.array([5, 3, 9]), 5, 2)
+    assert windows.tolist() == [2, 2, 2] and least.tolist() == [5, 3, 3, 3, 5, 9]
+
+
+@pytest.mark.parametrize("hot", [2, 16_000])
+def test_repeats_of_periodic_texts_and_frequent_minimizers(spark, hot):
+    rng = random.Random(8)
+    core = "".join(rng.choice("abcdefgh") for _ in range(46))
+    word = lambda n: "".join(rng.choice("xyzuvw") for _ in range(n))
+    rows = [(i, word(30) + core + word(rng.randint(3, 40))) for i in range(40)] + [(50 + p, ("abcdefghijk"[:p] * 400)[:300]) for p in range(1, 9)] + [(70 + p, "q" + ("abcdefghijk"[:p] * 400)[:200]) for p in range(1, 9)]
+    rows += [(90, rows[3][1] + rows[4][1]), (91, word(10) + rows[5][1])]
+    found = suffix_dedup.remove_repeats(docs_of(spark, rows), chunk_bytes=500, key_bytes=3000, string_bytes=3000, pile=5, hot_runs=hot)
+    assert sorted(tuple(r) for r in suffix_dedup.digest(found).collect()) == _want_cut([(i, t.encode()) for i, t in rows], 50)
+
+
+def test_repeats_with_extreme_ids_leave_no_table(spark):
+    top, low = 2**63 - 1, -(2**63)
+    rows = [(top, "k" * 60), (None, "k" * 60), (top - 1, "m" * 60), (top, "m" * 60)]
+    found = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"]) for r in suffix_dedup.remove_repeats(docs_of(spark, rows)).collect())
+    assert found == [(False, top - 1, 0), (False, top, 0), (False, top, 60), (True, 0, 60)]
+    found = sorted((r["doc_id"], r["n_removed"]) for r in suffix_dedup.remove_repeats(docs_of(spark, [(low, "k" * 60), (top, "k" * 60)])).collect())
+    assert found == [(low, 0), (top, 60)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("terravane")]
 
 
 # ---- vectors
@@ -203,5 +223,37 @@ def test_pipeline_keeps_ids_with_a_kept_row(spark):
     rows = [(3, a), (5, a), (5, b), (7, a), (7, a), (8, b), (None, a)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
-    assert {b, a} == {t for _, t in kept} and (5, b) in kept
-    assert {i for i, _ in kept} == {3, 5, None}
+    assert sorted(kept) == [(3, a), (5, b)]
+    nameless = spark.createDataFrame([(None, a), (None, None), (4, b)], "doc_id long, text string").withColumns({c: F.lit(None).cast("string") for c in ("lang", "source", "n_chars")})
+    assert len(corpus_pipeline.near_duplicates(spark, nameless, "").collect()) == 3
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, near, other = " ".join(words), " ".join([*words[:58], "x", "y"]), "red green blue black white brown pink grey"
+    rows = [(None, a), (4, near), (7, other), (7, a), (None, other + " " + other), (9, None), (None, None)]
+    got = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in minhash.near_duplicates(docs_of(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 4, False), (4, 4, True), (7, 7, True), (7, 4, False), (None, None, True), (9, 9, True), (None, None, True)], key=str)
+    only_null = minhash.near_duplicates(docs_of(spark, [(None, a), (None, near)])).collect()
+    assert [(r["class_id"], r["kept"]) for r in only_null] == [(None, True)] * 2
+
+
+def test_blocks_of_large_sets_are_compared_in_tiles():
+    rng = np.random.default_rng(3)
+    pool = np.unique(minhash.mix(rng.integers(0, 2**63, 3000).astype(np.uint64)))
+
+    def make():
+        out = []
+        for _ in range(12):
+            h = np.sort(rng.choice(pool[:900], 800, replace=False))
+            rows = np.empty(len(h), minhash._SET)
+            rows["h"], rows["n"] = h, rng.integers(1, 3, len(h))
+            out.append(rows)
+        return out
+
+    xs, ys = make(), make()
+    ys[3] = xs[5]
+    want = np.array([[minhash.similarity(x, y) >= 0.7 for y in ys] for x in xs])
+    assert want.any() and not want.all()
+    for tile in (16, 64, 5000):
+        assert (minhash.similar_blocks(xs, ys, 0.7, tile) == want).all()

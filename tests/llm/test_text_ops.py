@@ -114,6 +114,25 @@ def test_html_without_article():
     assert blocks[0] == "The title" and len(blocks) == 3
 
 
+def test_html_by_densities_alone():
+    """Pages whose sectioning elements and names are taken away: the tree decides by word counts and link densities."""
+    import pyarrow.parquet as pq
+
+    strip = lambda p: re.sub(r"""\s(?:class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", re.sub(r"<(/?)(nav|article|footer|header|aside|main|section|form)\b[^>]*>", r"<\1div>", p))
+    right = []
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist():
+        want, got = html_extract.extract(page).split("\n"), html_extract.extract(strip(page)).split("\n")
+        found = html_extract.blocks(strip(page))
+        assert not any(main or side for _, _, _, main, side, _ in found)
+        right += [(b[0] in want) == (b[0] in got) for b in found]
+    assert np.mean(right) > 0.94
+
+
+def test_html_of_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, PAGE)], "page_id long, url string, html string")
+    assert [r["text"] for r in html_extract.extract_main_text(pages).collect()] == ["Title & <more>\nFirst bold text here.\nShort."] * 3
+
+
 def test_html_on_the_pages(spark):
     rows = html_extract.extract_main_text(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), keep=("page_id", "url", "html")).collect()
     for r in rows:
@@ -196,6 +215,37 @@ def test_language_edges(spark):
     assert langid.identify(docs_of(spark).where("false"), model).count() == 0
 
 
+def test_language_without_letters_and_with_many_languages(spark):
+    rng = np.random.default_rng(2)
+    words = {f"l{k}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéßøя"), 6)) for _ in range(5)] for k in range(30)}
+    rows = [(i, " ".join(rng.choice(w, 20)), y) for i, (y, w) in enumerate((y, w) for y, w in words.items() for _ in range(12))]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=300)
+    assert len(model.labels) == 30
+    assert np.mean([model.predict(" ".join(rng.choice(w, 9)))[0] == y for y, w in words.items()]) > 0.9
+    few = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_labels=4)
+    assert len(few.labels) == 4
+    for text in ("½ ² Ⅷ", "１２", "_ 12 !", ""):
+        assert model.predict(text) == ("und", 0.0, False)
+
+
+def test_losses_against_brute_force(spark):
+    """The ridge regressions and the decoding, written out plainly."""
+    texts = [("the house of the rising sun", "en"), ("das haus der sonne", "de"), ("la maison du soleil", "fr"), ("all of the world", "en"), ("die ganze welt", "de"), ("tout le monde", "fr")]
+    rows = [(langid.features(t), y) for t, y in texts]
+    labels = ["de", "en", "fr"]
+    y = np.array([labels.index(l) for _, l in rows])
+    x = np.array([np.append(f, 1) for f, _ in rows], float)
+    code = langid.codewords(3)
+    kept = [np.flatnonzero(f) for f, _ in rows]
+    sample = langid.Sample(np.concatenate(kept).astype(np.int32), np.concatenate([f[k] for k, (f, _) in zip(kept, rows, strict=True)]), np.cumsum([len(k) for k in kept]))
+    model = langid.fit(labels, sample, y)
+    w = x.T @ np.linalg.solve(x @ x.T + langid.PENALTY * np.eye(6), code[y])  # languages have two rows each, so all weigh 1
+    assert np.allclose(model.weights, w[:-1], atol=1e-4) and np.allclose(model.bias, w[-1], atol=1e-4)
+    new = np.append(langid.features("the sun and the world"), 1)
+    loss = [sum(np.exp(-np.clip(float(new @ w[:, b]) * code[i, b], -6, 6)) * model.trust[i, b] for b in range(code.shape[1])) for i in range(3)]
+    assert np.allclose(model.losses(new[None, :-1].astype(np.float32))[0], loss, atol=1e-4) and model.predict("the sun and the world")[0] == labels[int(np.argmin(loss))]
+
+
 @pytest.mark.parametrize("k", [2, 3, 4, 5, 9, 30])
 def test_codewords_are_apart(k):
     code = langid.codewords(k)
@@ -243,6 +293,27 @@ def test_quality_long_documents_do_not_dominate():
     assert many > 0.3 and one > 0.3
 
 
+def test_scores_against_enumeration(spark):
+    """Scores written out: features of each line and its neighbours, all label chains, length-weighted means, the logistic curve."""
+    from itertools import product
+
+    texts = ["A plain line.\nAnother one, a little longer than that.\n\n99 | 88", "", "$$$ ### 12", "one\ntwo\nthree\nfour", "Ends well.\n" * 3]
+    field = quality.fit([(*quality.bins_of(t), k % 2) for k, t in enumerate(texts * 3)])
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs_of(spark, list(enumerate(texts))), field).collect()}
+    for k, text in enumerate(texts):
+        lines = text.split("\n")
+        bins = [[int(np.searchsorted(edges, v, "left")) + j * quality.WIDTH for j, (edges, v) in enumerate(zip(quality.BINS, quality.line_values(x), strict=True))] for x in lines]
+        u = [field.bias + sum(field.own[b] for b in bins[i]) + (sum(field.before[b] for b in bins[i - 1]) if i else 0) + (sum(field.after[b] for b in bins[i + 1]) if i + 1 < len(lines) else 0) for i in range(len(lines))]
+        total, good = 0.0, np.zeros(len(lines))
+        for y in product((0, 1), repeat=len(lines)):
+            w = np.exp(sum(u[i] for i in range(len(u)) if y[i]) + sum(field.step[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total, good = total + w, good + w * np.array(y)
+        p, size = good / total, np.array([len(x) for x in lines], float)
+        mean = (p * size).sum() / size.sum() if size.sum() else p.mean()
+        mean = min(max(mean, 1e-4), 1 - 1e-4)
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-(field.slope * np.log(mean / (1 - mean)) + field.shift))), abs=1e-6)
+
+
 def test_marginals_against_enumeration():
     from itertools import product
 
@@ -285,3 +356,29 @@ def test_decontamination_against_brute_force(spark, block_chars):
     assert words_of(row["text"][first["start"] : first["end"]]) == words_of(row["text"])[run["first"] : run["last"] + 1]
     assert decontaminate.decontaminate(docs_of(spark), bench.where("false")).where("size(runs) > 0").count() == 0
     assert decontaminate.decontaminate(docs_of(spark).where("false"), bench).count() == 0
+
+
+@pytest.mark.parametrize("block_chars", [4_000_000, 6000])
+def test_decontamination_of_long_texts_and_items(spark, block_chars):
+    """Windows of 10 words against brute force: items of many pieces, a text of 40,000 words, passages across the borders of pieces."""
+    rng = random.Random(4)
+    prose = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
+    items = [(1, prose(300)), (2, prose(9)), (3, prose(10)), (4, prose(31)), (5, prose(1))]
+    long = prose(40_000)
+    long[20_000:20_015], long[39_990:] = items[0][1][35:50], items[2][1]
+    texts = [(1, long), (2, items[0][1]), (3, prose(50) + items[0][1][15:26] + prose(5)), (4, prose(5) + items[1][1][1:]), (5, items[3][1][20:]), (6, items[4][1])]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = decontaminate.digest(decontaminate.decontaminate(docs_of(spark, [(i, ", ".join(w)) for i, w in texts]), bench, block_chars=block_chars, piece_words=20))
+    want = {}
+    for i, words in texts:
+        hit, seen = set(), set()
+        for item, w in items:
+            n = min(10, len(w))
+            windows = {tuple(w[k : k + n]) for k in range(max(1, len(w) - 9))}
+            for j in range(len(words) - n + 1):
+                if tuple(words[j : j + n]) in windows:
+                    hit |= set(range(j, j + n))
+                    seen.add(item)
+        want[i] = (len(words), len(hit), len(seen))
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in found.collect()} == want
+    assert want[2][1] == 300 and want[1][1] >= 25
