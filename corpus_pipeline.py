@@ -24,9 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates; a document of several rows goes only if none of them is kept."""
-    gone = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """One document, that of the smallest id, of each group of near duplicates; rows with one id and unlike texts are judged one by one."""
+    return minhash.first_of_each(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
