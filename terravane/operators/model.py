@@ -8,7 +8,7 @@ size is checked), so it is solved once; its weights are sent to the cells, which
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -44,6 +44,8 @@ class Field:
     drift: np.ndarray
     names: list[str]  # young to old
     values: np.ndarray
+    faults: list[Field] = field(default_factory=list)
+    throws: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the field's step across each fault
 
     def evaluate(self, xyz: np.ndarray) -> np.ndarray:
         x = (xyz - self.centre) / self.scale
@@ -54,21 +56,26 @@ class Field:
         for at, sign in ((self.at_point, 1.0), (self.at_base, -1.0)):
             h = x[:, None] - at[None]
             out += sign * _cubic(np.sqrt((h * h).sum(2)), self.reach, self.sill)[0] @ self.point_weights
-        return out
+        return out + sides(self.faults, xyz) @ self.throws
 
     def unit_index(self, xyz: np.ndarray) -> np.ndarray:
         """0 above the youngest surface's base, and one more below each further one."""
         return (self.evaluate(xyz)[:, None] < self.values[None]).sum(1)
 
 
+def sides(faults: list[Field], xyz: np.ndarray) -> np.ndarray:
+    """A column for each fault: 1 below its surface, 0 above."""
+    return np.stack([(f.unit_index(xyz) > 0).astype(float) for f in faults], 1) if faults else np.zeros((len(xyz), 0))
+
+
 def normals(azimuth: np.ndarray, dip: np.ndarray) -> np.ndarray:
     """Upward unit normals of planes with a dip and an azimuth in degrees."""
     a, d = np.radians(azimuth), np.radians(dip)
     return np.stack([np.sin(a) * np.sin(d), np.cos(a) * np.sin(d), np.cos(d)], 1)
 
 
-def solve(points: pd.DataFrame, orientations: pd.DataFrame, names: list[str], extent: tuple, reach: float = 10.0, sill: float = 10.0, nugget: float = 0.01) -> Field:
-    """Solves one series. points: X, Y, Z, formation; orientations: X, Y, Z, azimuth, dip; names young to old.
+def solve(points: pd.DataFrame, orientations: pd.DataFrame, names: list[str], extent: tuple, reach: float = 10.0, sill: float = 10.0, nugget: float = 0.01, faults: list[Field] | None = None) -> Field:
+    """Solves one series; faults that are solved already cut it: the field may step across each of them by an amount that the points tell. points: X, Y, Z, formation; orientations: X, Y, Z, azimuth, dip; names young to old.
 
     Lengths are scaled so that the longest side of the extent is 1. Raises an error without an orientation or a surface with two points.
     """
@@ -82,9 +89,13 @@ def solve(points: pd.DataFrame, orientations: pd.DataFrame, names: list[str], ex
     p = np.vstack([x[1:] for x in groups])
     base = np.vstack([np.repeat(x[:1], len(x) - 1, 0) for x in groups if len(x)])
     m, k = 3 * len(g), len(p)
+    step = sides(faults or [], p * scale + centre) - sides(faults or [], base * scale + centre)
+    told = np.flatnonzero(step.any(0))  # a fault that parts no points of a surface tells nothing
+    faults, step = [(faults or [])[i] for i in told], step[:, told]
     if m + k > MAX_SYSTEM:
         raise ValueError("too many constraints for one dense system; thin them first")
-    matrix = np.zeros((m + k + 3, m + k + 3))
+    d = 3 + len(faults)
+    matrix = np.zeros((m + k + d, m + k + d))
     h = g[:, None] - g[None]
     r = np.sqrt((h * h).sum(2))
     _, slope, bend = _cubic(r, reach, sill)
@@ -100,12 +111,13 @@ def solve(points: pd.DataFrame, orientations: pd.DataFrame, names: list[str], ex
             h = a[:, None] - b[None]
             matrix[m : m + k, m : m + k] += sa * sb * _cubic(np.sqrt((h * h).sum(2)), reach, sill)[0]
     matrix[m : m + k, m : m + k] += 1e-6 * np.eye(k)
-    drift = np.vstack([np.tile(np.eye(3), (len(g), 1)), p - base])
+    drift = np.hstack([np.vstack([np.tile(np.eye(3), (len(g), 1)), p - base]), np.vstack([np.zeros((m, len(faults))), step])])
     matrix[: m + k, m + k :], matrix[m + k :, : m + k] = drift, drift.T
-    w = np.linalg.solve(matrix, np.concatenate([n.ravel(), np.zeros(k + 3)]))
-    field = Field(centre, scale, reach, sill, g, w[:m].reshape(-1, 3), p, base, w[m : m + k], w[m + k :], names, np.zeros(0))
-    field.values = np.array([field.evaluate(x * scale + centre).mean() if len(x) else -np.inf for x in groups])
-    return field
+    matrix[m + k + 3 :, m + k + 3 :] -= 1e-9 * np.eye(len(faults))  # faults that part the same points share their step
+    w = np.linalg.solve(matrix, np.concatenate([n.ravel(), np.zeros(k + d)]))
+    out = Field(centre, scale, reach, sill, g, w[:m].reshape(-1, 3), p, base, w[m : m + k], w[m + k : m + k + 3], names, np.zeros(0), faults, w[m + k + 3 :])
+    out.values = np.array([out.evaluate(x * scale + centre).mean() if len(x) else -np.inf for x in groups])
+    return out
 
 
 def model_cells(cells: DataFrame, series: list[tuple[Field, dict[int, int]]], basement: int) -> DataFrame:
@@ -131,16 +143,37 @@ def model_cells(cells: DataFrame, series: list[tuple[Field, dict[int, int]]], ba
     return cells.select("i", "j", "k", "x", "y", "z").mapInPandas(run, "i int, j int, k int, lith_id int")
 
 
-def build_model(points: DataFrame, orientations: DataFrame, stack: list[tuple[str, list[str]]], grid, reach: float = 10.0, sill: float = 10.0) -> DataFrame:
-    """Voxels of a model: stack lists (series, members young to old), young series first; lith ids run from 1 down the stack, the basement last.
+def build_model(points: DataFrame, orientations: DataFrame, stack: list[tuple[str, list[str]]], grid, reach: float = 10.0, sill: float = 10.0, faults: list[str] | None = None) -> DataFrame:
+    """Voxels of a model: stack lists (series, members young to old), young series first; lith ids run from 1 down the faults, then the stack, the basement last.
 
-    The constraint tables are thinned tables of one model; solve() checks their size.
+    faults names surfaces that cut every series; they take ids, but no cell. The constraint tables are thinned tables of one model; solve() checks their size.
     """
     p, o = points.limit(MAX_SYSTEM + 1).toPandas(), orientations.limit(MAX_SYSTEM + 1).toPandas()
-    extent, series, first = (grid.x0, grid.x1, grid.y0, grid.y1, grid.z0, grid.z1), [], 1
+    extent, series, first = (grid.x0, grid.x1, grid.y0, grid.y1, grid.z0, grid.z1), [], 1 + len(faults or [])
+    of = lambda names: (p[p["formation"].isin(names)], o[o["formation"].isin(names)], names, extent, reach, sill)
+    cuts = [solve(*of([name])) for name in faults or []]
     for _, members in stack:
-        field = solve(p[p["formation"].isin(members)], o[o["formation"].isin(members)], members, extent, reach, sill)
-        series.append((field, {i: first + i for i in range(len(members))}))
+        series.append((solve(*of(members), faults=cuts), {i: first + i for i in range(len(members))}))
         first += len(members)
     at = {a: grid.centre(a, F.col(c)).alias(a) for a, c in zip("xyz", "ijk", strict=True)}
     return model_cells(grid.cells(points.sparkSession).select("i", "j", "k", at["x"], at["y"], at["z"]), series, first)
+
+
+def lith_names(voxels: DataFrame, stack: list[tuple[str, list[str]]], basement: str, faults: list[str] | None = None) -> DataFrame:
+    """lith_id, name of a model's cells: faults (whose ids no cell has) are left out, other units stay even if no cell has them."""
+    ordered = [(name, True) for name in faults or []] + [(name, False) for _, members in stack for name in members] + [(basement, False)]
+    every = voxels.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(ordered, 1)], "lith_id int, name string, is_fault boolean")
+    used = voxels.select("lith_id").distinct().withColumn("_used", F.lit(True))
+    return every.join(used, "lith_id", "left").where("_used or not is_fault").select("lith_id", "name")
+
+
+def ablation(points: DataFrame, orientations: DataFrame, stack: list[tuple[str, list[str]]], grid, truth: DataFrame, basement: str, ranges: list[float], faults: list[str] | None = None) -> DataFrame:
+    """reach and the agreement with the truth (i, j, k, gt: name, below) of the model solved with each kriging range: one solve a range, all of them scored in one job."""
+    from .evaluate import voxel_metrics
+
+    every = None
+    for reach in ranges:
+        voxels = build_model(points, orientations, stack, grid, reach, faults=faults)
+        named = voxels.join(lith_names(voxels, stack, basement, faults).withColumnRenamed("name", "pred"), "lith_id").select(F.lit(float(reach)).alias("reach"), "i", "j", "k", "pred")
+        every = named if every is None else every.unionByName(named)
+    return voxel_metrics(every.join(truth.select("i", "j", "k", "gt", "below"), ["i", "j", "k"]).withColumn("basement", F.lit(basement)), ("reach",))

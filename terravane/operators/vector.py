@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -76,17 +76,18 @@ def mask_to_lines(mask: DataFrame, group: list[str], shortest: float = 15.0, tol
     return mask.select(*group, "u", "v").groupBy(*group).applyInPandas(lambda pdf: run(pdf), ", ".join(f"{g} {kinds[g]}" for g in group) + ", " + LINES)
 
 
-def contacts(cells: DataFrame, label: str = "label", shortest: float = 25.0, tolerance: float = 1.5) -> DataFrame:
-    """Border lines of each pair of labels: unit_a, unit_b, line_no, seq, x, y.
+def contacts(cells: DataFrame, label: str = "label", shortest: float = 25.0, tolerance: float = 1.5, by: Sequence[str] = ()) -> DataFrame:
+    """Border lines of each pair of labels: by, unit_a, unit_b, line_no, seq, x, y.
 
     One pass gives the cells on both sides of every differing pair, and each pair's band is traced; pairs with fewer side contacts than the shortest line are left out.
     """
-    ahead = cells.select("u", "v", F.col(label).alias("a"), F.explode(F.array(*[F.struct((F.col("u") + a).alias("u2"), (F.col("v") + b).alias("v2")) for a, b in ((1, 0), (0, 1))])).alias("n"))
-    sides = ahead.select("u", "v", "a", "n.*").join(cells.select(F.col("u").alias("u2"), F.col("v").alias("v2"), F.col(label).alias("b")), ["u2", "v2"]).where("a <> b")
-    pairs = sides.select(F.least("a", "b").alias("unit_a"), F.greatest("a", "b").alias("unit_b"), "u", "v", "u2", "v2")
-    long = pairs.groupBy("unit_a", "unit_b").count().where(F.col("count") >= shortest).select("unit_a", "unit_b")
-    both = pairs.join(long, ["unit_a", "unit_b"]).select("unit_a", "unit_b", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("u2").alias("u"), F.col("v2").alias("v")))).alias("c"))
-    return mask_to_lines(both.select("unit_a", "unit_b", "c.*").distinct(), ["unit_a", "unit_b"], shortest, tolerance)
+    ahead = cells.select(*by, "u", "v", F.col(label).alias("a"), F.explode(F.array(*[F.struct((F.col("u") + a).alias("u2"), (F.col("v") + b).alias("v2")) for a, b in ((1, 0), (0, 1))])).alias("n"))
+    sides = ahead.select(*by, "u", "v", "a", "n.*").join(cells.select(*by, F.col("u").alias("u2"), F.col("v").alias("v2"), F.col(label).alias("b")), [*by, "u2", "v2"]).where("a <> b")
+    pairs = sides.select(*by, F.least("a", "b").alias("unit_a"), F.greatest("a", "b").alias("unit_b"), "u", "v", "u2", "v2")
+    group = [*by, "unit_a", "unit_b"]
+    long = pairs.groupBy(*group).count().where(F.col("count") >= shortest).select(*group)
+    both = pairs.join(long, group).select(*group, F.explode(F.array(F.struct("u", "v"), F.struct(F.col("u2").alias("u"), F.col("v2").alias("v")))).alias("c"))
+    return mask_to_lines(both.select(*group, "c.*").distinct(), group, shortest, tolerance)
 
 
 #: Arc length at the end of a line that its direction there is fitted to.
