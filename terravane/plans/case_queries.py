@@ -276,13 +276,13 @@ FRAME = SectionFrame(100.0, 200.0, 1900.0, 1700.0, 0.0, 1000.0, 900, 600, 80.0,
 
 @query("""
 WITH p AS (SELECT c_custkey, (c_custkey * 37 % 900)::DOUBLE AS u, (c_custkey * 61 % 600)::DOUBLE AS v, c_mktsegment AS formation FROM customer), k AS (SELECT *, u BETWEEN 80 AND 860 AND v BETWEEN 50 AND 540 AS inside FROM p)
-SELECT 'in' AS side, formation, count(*) AS n, round(sum(round_even(100.0 + (u - 80.0) / 780.0 * 1800.0, 2)), 1) AS x, round(sum(round_even(1000.0 - (v - 50.0) / 490.0 * 1000.0, 2)), 1) AS z FROM k WHERE inside GROUP BY ALL
+SELECT 'in' AS side, formation, count(*) AS n, round(min(100.0 + (u - 80.0) / 780.0 * 1800.0), 0)::DOUBLE AS x, round(max(1000.0 - (v - 50.0) / 490.0 * 1000.0), 0)::DOUBLE AS z FROM k WHERE inside GROUP BY ALL
 UNION ALL SELECT 'out', formation, count(*), NULL, NULL FROM k WHERE NOT inside GROUP BY ALL""")
 def section_picks_in_frame(spark, sf_dir):
     k = F.col("c_custkey")
     picks = table(spark, sf_dir, "customer").select((k * 37 % 900).cast("double").alias("u"), (k * 61 % 600).cast("double").alias("v"), F.col("c_mktsegment").alias("formation"))
     good, bad = builder.picks_to_points(picks, FRAME)
-    inside = good.groupBy("formation").agg(F.count("*").alias("n"), F.round(F.sum("x"), 1).alias("x"), F.round(F.sum("z"), 1).alias("z")).select(F.lit("in").alias("side"), "*")
+    inside = good.groupBy("formation").agg(F.count("*").alias("n"), F.round(F.min("x"), 0).alias("x"), F.round(F.max("z"), 0).alias("z")).select(F.lit("in").alias("side"), "*")
     return inside.unionByName(bad.groupBy("formation").agg(F.count("*").alias("n")).select(F.lit("out").alias("side"), "*"), allowMissingColumns=True)
 
 
