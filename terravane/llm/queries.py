@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embedding_dedup, html_extract, langid, license_scan, minhash, quality, suffix_dedup
+from . import bpe, chat, decontaminate, embedding_dedup, html_extract, langid, license_scan, manifest, minhash, quality, suffix_dedup
 from .common import crc_mod, table
 
 
@@ -61,6 +61,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return {**found, "pipeline": corpus_pipeline.run}
@@ -131,5 +135,36 @@ s AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(s.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 
+def _sql_field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
+
+
+_OTHERS = "coalesce(string_agg(digest, '') OVER (PARTITION BY tree, h, p // 16 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(digest, '') OVER (PARTITION BY tree, h, p // 16 ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r"
+
+#: crc32 bit by bit over the digits of an id, as DuckDB has no such function; levels of all trees by recursion.
+_MANIFEST = f"""
+WITH RECURSIVE ids AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL),
+crc AS (SELECT doc_id, s, 0 AS i, 4294967295::BIGINT AS c FROM ids
+ UNION ALL SELECT doc_id, s, i + 1, list_reduce(list_prepend(xor(c, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1])::BIGINT ELSE 0::BIGINT END), [0::BIGINT]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END) FROM crc WHERE i < 8 * length(s)),
+bad AS (SELECT doc_id FROM crc WHERE i = 8 * length(s) AND xor(c, 4294967295::BIGINT) % 5 = 0),
+leaves AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS tree,
+ sha256({" || ".join(_sql_field(c) for c in manifest.FIELDS)}) AS leaf,
+ sha256({" || ".join(_sql_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" if c == "text" else c) for c in manifest.FIELDS)}) AS other FROM documents),
+low AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM leaves),
+nodes(tree, h, p, digest, n) AS (SELECT tree, 0, p, leaf, count(*) OVER (PARTITION BY tree) FROM low
+ UNION ALL SELECT tree, h + 1, p // 16, sha256(string_agg(digest, '' ORDER BY p)), any_value((n + 15) // 16) FROM nodes WHERE n > 1 GROUP BY tree, h, p // 16),
+subs AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS p, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(tree, h, p, digest, n) AS (SELECT '', 0, p, digest, n FROM subs
+ UNION ALL SELECT tree, h + 1, p // 16, sha256(string_agg(digest, '' ORDER BY p)), any_value((n + 15) // 16) FROM tops WHERE n > 1 GROUP BY tree, h, p // 16),
+runs AS (SELECT tree, h, p, {_OTHERS} FROM nodes WHERE n > 1),
+high AS (SELECT tree, h, p, {_OTHERS} FROM tops WHERE n > 1),
+start AS (SELECT low.doc_id, low.tree, low.p, leaf, subs.digest AS subroot, subs.p AS q, CASE WHEN bad.doc_id IS NULL THEN leaf ELSE other END AS x, (SELECT digest FROM tops WHERE n = 1) AS root FROM low JOIN subs USING (tree) LEFT JOIN bad USING (doc_id)),
+walk(doc_id, tree, p, q, h, leaf, subroot, root, x, sides) AS (SELECT doc_id, tree, p, q, 0, leaf, subroot, root, x, '' FROM start
+ UNION ALL SELECT w.doc_id, w.tree, w.p // 16, w.q, w.h + 1, leaf, subroot, root, sha256(l || x || r), sides || l || r FROM walk w JOIN runs ON runs.tree = w.tree AND runs.h = w.h AND runs.p = w.p),
+climb(doc_id, q, h, leaf, subroot, root, x, sides) AS (SELECT doc_id, q, 0, leaf, subroot, root, x, sides FROM walk WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.tree = walk.tree AND runs.h = walk.h)
+ UNION ALL SELECT doc_id, q // 16, c.h + 1, leaf, subroot, root, sha256(l || x || r), sides || l || r FROM climb c JOIN high ON high.h = c.h AND high.p = c.q)
+SELECT doc_id, leaf, subroot, root, sha256(sides) AS proof_sha256, x AS folded_root, x = root AS verified FROM climb WHERE NOT EXISTS (SELECT 1 FROM high WHERE high.h = climb.h)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix": _SUFFIX, "op3_chat": _CHAT, "op5_vectors": _VECTORS, "op7_minhash": _NEAR, "op8_licenses": _LICENSES, "op10_decontaminate": _LEAKS}
+    return {"op12_manifest": _MANIFEST, "op2_suffix": _SUFFIX, "op3_chat": _CHAT, "op5_vectors": _VECTORS, "op7_minhash": _NEAR, "op8_licenses": _LICENSES, "op10_decontaminate": _LEAKS}
