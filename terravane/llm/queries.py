@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embedding_dedup, html_extract, langid, license_scan, manifest, minhash, quality, suffix_dedup
+from . import bpe, chat, collocations, decontaminate, embedding_dedup, html_extract, langid, license_scan, manifest, minhash, quality, suffix_dedup
 from .common import crc_mod, table
 
 
@@ -61,6 +61,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.digest(table(spark, sf_dir, "documents"))
 
@@ -135,6 +139,21 @@ s AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(s.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 
+#: Every phrase of each piece, counted by its text.
+_PHRASES = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM t),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS a FROM p, (VALUES (1), (2), (3)) s(k), unnest(range(1, len(w) - k + 2)) r(i) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND a >= 10),
+cuts AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, CAST(1000000 * c.a::HUGEINT * c.a // (x.a::HUGEINT * y.a) AS BIGINT) AS score, row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 1000000 * c.a::HUGEINT * c.a // (x.a::HUGEINT * y.a), cut) AS first
+ FROM c, (VALUES (1), (2)) s(cut) JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:cut], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ') WHERE cut < c.k),
+inside AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS part FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT cuts.* FROM cuts LEFT JOIN inside ON inside.lang = cuts.lang AND part = phrase WHERE first = 1 AND (longer IS NULL OR 100 * longer < 50 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def _sql_field(c: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
 
@@ -167,4 +186,4 @@ SELECT doc_id, leaf, subroot, root, sha256(sides) AS proof_sha256, x AS folded_r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_manifest": _MANIFEST, "op2_suffix": _SUFFIX, "op3_chat": _CHAT, "op5_vectors": _VECTORS, "op7_minhash": _NEAR, "op8_licenses": _LICENSES, "op10_decontaminate": _LEAKS}
+    return {"op11_collocations": _PHRASES, "op12_manifest": _MANIFEST, "op2_suffix": _SUFFIX, "op3_chat": _CHAT, "op5_vectors": _VECTORS, "op7_minhash": _NEAR, "op8_licenses": _LICENSES, "op10_decontaminate": _LEAKS}
