@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, collocations, decontaminate, embedding_dedup, html_extract, langid, license_scan, manifest, minhash, quality, suffix_dedup
+from . import bpe, chat, collocations, decontaminate, embedding_dedup, html_extract, langid, license_scan, manifest, minhash, quality, suffix_dedup, toxicity
 from .common import crc_mod, table
 
 
@@ -69,6 +69,13 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 5) == 0)
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
+    model = toxicity.learn(docs.where("not held_out"), labels, toxicity.language_model(docs))
+    return toxicity.score(docs, model, keep=("doc_id", "held_out"))
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return {**found, "pipeline": corpus_pipeline.run}
