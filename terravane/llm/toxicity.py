@@ -81,7 +81,14 @@ class Characters:
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Characters:
-        """counts: of all triples of symbols, in three dimensions. Each context's distribution is mixed with the shorter context's."""
+        """counts: of all triples of symbols, in three dimensions. Each context's distribution is mixed with the shorter context's.
+
+        A letter beside a digit is no model of a word but what hides one: such steps are left out.
+        """
+        counts = counts.copy()
+        digit = np.arange(SYMBOLS) == 27
+        letter = ~digit & (np.arange(SYMBOLS) > 0)
+        counts[:, digit[:, None] & letter | letter[:, None] & digit] = 0
         p = np.full(SYMBOLS, 1.0 / SYMBOLS)
         for n in (counts.sum((0, 1)), counts.sum(0), counts):
             total = n.sum(-1, keepdims=True)
