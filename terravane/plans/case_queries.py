@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import GeoRef, SectionFrame, hsv, lab
 from ..operators import builder, constraints, contours, evaluate, generate, graph, grid, lookups, raster, requests, segmentation, sequences, spatial
-from .tables import BASE, GRID, _sql_rise, dem_sql, ground_sql, paths, table, unit_sql, voxels_sql
+from .tables import BASE, GRID, _sql_rise, dem_sql, exact_sum, ground_sql, paths, table, unit_sql, voxels_sql
 
 QUERIES, ORACLE = {}, {}
 BY = ("case_id",)
@@ -253,12 +253,12 @@ def link_dashes(spark, sf_dir):
 
 @query("""
 WITH e AS (SELECT s_nationkey % 4 AS case_id, s_suppkey AS contour_id, CASE WHEN s_suppkey % 5 = 0 THEN s_acctbal END AS elevation FROM supplier), g AS (SELECT s_nationkey % 4 AS case_id, s_suppkey AS contour_id, s_suppkey * 10.0 AS given FROM supplier WHERE s_suppkey % 3 = 0),
-a AS (SELECT case_id, contour_id, coalesce(given, elevation) AS elevation FROM e LEFT JOIN g USING (case_id, contour_id)) SELECT case_id, count(*) AS n_contours, count(elevation) AS n_with_elevation, round(sum(elevation), 2) AS total FROM a GROUP BY case_id""")
+a AS (SELECT case_id, contour_id, coalesce(given, elevation) AS elevation FROM e LEFT JOIN g USING (case_id, contour_id)) SELECT case_id, count(*) AS n_contours, count(elevation) AS n_with_elevation, CAST(sum(CAST(elevation AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM a GROUP BY case_id""")
 def contour_elevations(spark, sf_dir):
     k = F.col("s_suppkey")
     rows = table(spark, sf_dir, "supplier").withColumn("case_id", F.col("s_nationkey") % 4)
     named = contours.apply_elevations(rows.select("case_id", k.alias("contour_id"), F.when(k % 5 == 0, F.col("s_acctbal")).alias("elevation")), rows.where(k % 3 == 0).select("case_id", k.alias("contour_id"), (k * 10.0).alias("elevation")))
-    return contours.contour_counts(named).join(named.groupBy("case_id").agg(F.round(F.sum("elevation"), 2).alias("total")), "case_id")
+    return contours.contour_counts(named).join(named.groupBy("case_id").agg(exact_sum("elevation").alias("total")), "case_id")
 
 
 @query("""WITH c AS (SELECT c_nationkey AS node, CAST(c_custkey % 2 AS INTEGER) AS side, CAST(c_custkey % 25 AS INTEGER) AS other, c_acctbal AS dist FROM customer WHERE c_nationkey <> c_custkey % 25),
@@ -276,14 +276,13 @@ FRAME = SectionFrame(100.0, 200.0, 1900.0, 1700.0, 0.0, 1000.0, 900, 600, 80.0,
 
 @query("""
 WITH p AS (SELECT c_custkey, (c_custkey * 37 % 900)::DOUBLE AS u, (c_custkey * 61 % 600)::DOUBLE AS v, c_mktsegment AS formation FROM customer), k AS (SELECT *, u BETWEEN 80 AND 860 AND v BETWEEN 50 AND 540 AS inside FROM p)
-SELECT 'in' AS side, formation, count(*) AS n, round(min(100.0 + (u - 80.0) / 780.0 * 1800.0), 0)::DOUBLE AS x, round(max(1000.0 - (v - 50.0) / 490.0 * 1000.0), 0)::DOUBLE AS z FROM k WHERE inside GROUP BY ALL
-UNION ALL SELECT 'out', formation, count(*), NULL, NULL FROM k WHERE NOT inside GROUP BY ALL""")
+SELECT 'in' AS side, formation, round_even(100.0 + (u - 80.0) / 780.0 * 1800.0, 2)::DOUBLE AS x, round_even(200.0 + (u - 80.0) / 780.0 * 1500.0, 2)::DOUBLE AS y, round_even(1000.0 - (v - 50.0) / 490.0 * 1000.0, 2)::DOUBLE AS z FROM k WHERE inside
+UNION ALL SELECT 'out', formation, NULL, NULL, NULL FROM k WHERE NOT inside""")
 def section_picks_in_frame(spark, sf_dir):
     k = F.col("c_custkey")
     picks = table(spark, sf_dir, "customer").select((k * 37 % 900).cast("double").alias("u"), (k * 61 % 600).cast("double").alias("v"), F.col("c_mktsegment").alias("formation"))
     good, bad = builder.picks_to_points(picks, FRAME)
-    inside = good.groupBy("formation").agg(F.count("*").alias("n"), F.round(F.min("x"), 0).alias("x"), F.round(F.max("z"), 0).alias("z")).select(F.lit("in").alias("side"), "*")
-    return inside.unionByName(bad.groupBy("formation").agg(F.count("*").alias("n")).select(F.lit("out").alias("side"), "*"), allowMissingColumns=True)
+    return good.select(F.lit("in").alias("side"), "formation", "x", "y", "z").unionByName(bad.select(F.lit("out").alias("side"), "formation"), allowMissingColumns=True)
 
 
 @query("WITH " + CELLS + """, r AS (SELECT s_suppkey, s_suppkey * 1.7 - 3.0 AS pu, (s_suppkey % 50)::DOUBLE - 2.0 AS pv, s_nationkey + 10.0 AS dip, s_nationkey * 14.0 AS azimuth FROM supplier),
@@ -406,9 +405,9 @@ LAYERS = f"b AS ({_BOTTOMS}), k AS (SELECT x, y, formation, before - CASE WHEN x
 
 
 @query("WITH n AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n FROM part), g AS (SELECT (i % n) * (2000.0 / (n - 1)) AS x, (i // n) * (2000.0 / (n - 1)) AS y FROM n, (SELECT unnest(range(n * n)) AS i FROM n)), " + LAYERS + f"""
-SELECT formation, count(*) AS n, round(sum(round_even(z, 2)), 0) AS z FROM k WHERE z BETWEEN 0 AND 1000 AND z <= {dem_sql('x', 'y')} GROUP BY formation""")
+SELECT formation, count(*) AS n, CAST(sum(CAST(round_even(z, 2) AS DECIMAL(18, 2))) AS DOUBLE) AS z FROM k WHERE z BETWEEN 0 AND 1000 AND z <= {dem_sql('x', 'y')} GROUP BY formation""")
 def layer_points(spark, sf_dir):
-    return generate.layer_points(spark, BASE, _side(spark, sf_dir)).groupBy("formation").agg(F.count("*").alias("n"), F.round(F.sum("z"), 0).alias("z"))
+    return generate.layer_points(spark, BASE, _side(spark, sf_dir)).groupBy("formation").agg(F.count("*").alias("n"), exact_sum("z").alias("z"))
 
 
 _A = f"({BASE.slope!r} - {BASE.fold_amp} * 2.0 * pi() / {BASE.fold_wavelength} * sin(2.0 * pi() / {BASE.fold_wavelength} * (x - {BASE.fold_phase})))"

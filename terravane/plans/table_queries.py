@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import constraints, graph, kernels, metrics, review, sequences, spatial
-from .tables import paths, table
+from .tables import exact_sum, paths, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -32,10 +32,10 @@ def dim_lookup_default(spark, sf_dir):
     return table(spark, sf_dir, "nation").join(F.broadcast(regions), "n_regionkey", "left").select("n_nationkey", "n_name", F.coalesce("r_name", F.lit("Unknown")).alias("region"))
 
 
-@query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+@query("SELECT count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def semi_known(spark, sf_dir):
     keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return review.known(table(spark, sf_dir, "orders"), keys, "o_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return review.known(table(spark, sf_dir, "orders"), keys, "o_orderkey").agg(F.count("*").alias("n"), exact_sum("o_totalprice").alias("total"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -382,15 +382,23 @@ def simplify_dp(spark, sf_dir):
 
 
 @query("""
-SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""")
+SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM events GROUP BY ALL""")
 def stream_daily_window(spark, sf_dir):
-    from ..operators.graph import shared_folder
-    from ..streaming.windows import daily_counts, drain, read_events
+    from ..streaming.windows import daily_counts, read_events, run_updates
 
-    name = f"daily_{abs(hash(sf_dir)) % 10**9}"
-    spark.catalog.dropTempView(name)
-    out = drain(daily_counts(read_events(spark, sf_dir)), name, shared_folder(spark))
-    return out.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+    out = run_updates(daily_counts(read_events(spark, sf_dir)), ["day", "event_type"])
+    return out.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+def stream_sessions(spark, sf_dir):
+    from ..streaming.windows import read_events, run_closed, sessions
+
+    out = run_closed(sessions(read_events(spark, sf_dir), "6 hours"))
+    return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")
 
 
 QUERIES |= {f.__name__: f for f in (kmeans_merge, simplify_dp)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import Grid, scenarios
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exact_sum(column: str) -> Column:
+    """The sum of a column of two decimals, added up in decimals, so that it does not depend on the order of rows."""
+    return F.sum(F.col(column).cast("decimal(18,2)")).cast("double")
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as a path: seq by event id, x the number in props, y the value."""
     props = F.get_json_object("props", "$.k").cast("double")

@@ -54,7 +54,24 @@ def test_markdown(spark):
     assert [r["line"] for r in writers.markdown(df, "n").collect()] == ["| n | s |", "| --- | --- |", "| 1 | a |", "| 2 |  |"]
 
 
-def test_sessions_stream(spark, tmp_path):
-    stream = windows.read_events(spark, "/root/testdata/sf0.001")
-    out = windows.drain(windows.daily_counts(stream), "daily_test", str(tmp_path / "c"))
-    assert out.agg(F.sum("n")).first()[0] == 1000
+def _events(spark, rows, folder, name):
+    df = spark.createDataFrame([(i, u, "a", float(v)) for i, (_, u, v) in enumerate(rows)], "event_id long, user_id long, event_type string, value double")
+    times = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "event_id long, t string")
+    df.join(times, "event_id").select("event_id", F.col("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value").coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
+def test_a_later_run_updates_open_days_and_drops_late_rows(spark, tmp_path):
+    out = str(tmp_path / "out")
+    _events(spark, [("2024-01-01 01:00:00", 1, 1), ("2024-01-04 05:00:00", 1, 2)], tmp_path / "in" / "x", "a")
+    stream = lambda: spark.readStream.schema(spark.read.parquet(str(tmp_path / "in" / "x" / "a.parquet")).schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp"))
+    run = lambda: {str(r["day"])[:10]: (r["n"], r["total"]) for r in windows.run_updates(windows.daily_counts(stream()), ["day", "event_type"], out).collect()}
+    assert run() == {"2024-01-01": (1, 1.0), "2024-01-04": (1, 2.0)}
+    # the first day is closed by now: its late row is dropped, the open day is updated
+    _events(spark, [("2024-01-01 02:00:00", 1, 50), ("2024-01-04 06:00:00", 1, 5), ("2024-01-04 07:00:00", 1, 0.25)], tmp_path / "in" / "y", "b")
+    assert run() == {"2024-01-01": (1, 1.0), "2024-01-04": (3, 7.25)}
+
+
+def test_open_sessions_are_not_written(spark, tmp_path):
+    _events(spark, [("2024-01-01 01:00:00", 1, 1), ("2024-01-01 02:00:00", 1, 1), ("2024-01-01 01:30:00", 2, 1), ("2024-01-09 00:00:00", 2, 1)], tmp_path, "events")
+    rows = windows.run_closed(windows.sessions(windows.read_events(spark, str(tmp_path / "events.parquet"), "part-*.parquet"), "6 hours"), str(tmp_path / "out")).collect()
+    assert sorted((r["user_id"], str(r["end"]), r["n"]) for r in rows) == [(1, "2024-01-01 08:00:00", 2), (2, "2024-01-01 07:30:00", 1)]
