@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import clamp, dip_azimuth
-from .kernels import spaced_top
+from .graph import cut_lineage
 from .sequences import every_nth
 from .spatial import nearest_within
 
@@ -58,16 +57,47 @@ def credible(fits: DataFrame, min_relief: float, min_dip: float, max_dip: float,
     return fits.where((F.col("relief") >= min_relief) & (F.col("spread") >= min_spread) & F.col("dip").between(min_dip, max_dip))
 
 
-def spaced_best(df: DataFrame, group: str, k: int, gap: float, order: str) -> DataFrame:
-    """Per group, up to k rows of best score, each more than gap away from those chosen before it (ties: smallest order). df: group, order, x, y, score."""
+def spaced_best(df: DataFrame, group: str, k: int, gap: float, order: str, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """Per group, up to k rows of best score, each more than gap away from those chosen before it (ties: smallest order). df: group, order, x, y, score; rank is added.
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        return pdf.iloc[spaced_top(pdf["score"].to_numpy(float), pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), k, gap)].assign(rank=lambda p: np.arange(1, len(p) + 1))
-
-    rows = df.select(group, order, "x", "y", "score")
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(group).applyInPandas(lambda pdf: pick(pdf), ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", rank long")
+    Rows are dealt to cells whose diagonal is the gap. In each round the best open row of a cell is chosen if it beats the best ones of all
+    cells that the gap reaches, which is what choosing one by one would do; rows within the gap of a chosen one go, and so do those that
+    are worse than k chosen ones of their group. No task holds a group, and no cell's rows meet each other. Rows without a score or a place are not chosen.
+    """
+    names = [group, order, "x", "y", "score"]
+    side = max(gap, 0.0) / 2**0.5
+    cell = lambda c: F.floor(F.col(c) / side).cast("long") if side > 0 else F.col(c)
+    rank = F.struct((-F.col("score").cast("double")).alias("s"), F.col(order).alias("o"))
+    left = cut(df.select(*names).dropna(subset=["x", "y", "score"]).withColumns({"_r": rank, "_cu": cell("x"), "_cv": cell("y")}))
+    around = [(a, b) for a in range(-2, 3) for b in range(-2, 3)] if side > 0 else [(0, 0)]
+    reach = F.explode(F.array(*[F.struct((F.col("_cu") + a).alias("_cu"), (F.col("_cv") + b).alias("_cv")) for a, b in around])).alias("_c")
+    keys, rounds = [group, "_cu", "_cv"], []
+    while gap >= 0 and not left.isEmpty():
+        best = left.groupBy(*keys).agg(F.min_by(F.struct(*names[1:], "_r"), "_r").alias("b"))
+        beaten = best.select(group, reach, F.col("b._r").alias("_r")).select(group, "_c.*", "_r").groupBy(*keys).agg(F.min("_r").alias("_least"))
+        fresh = cut(best.join(beaten, keys).where("b._r = _least").select(*keys, "b.*"))
+        rounds.append(fresh)
+        chosen = rounds[0]
+        for one in rounds[1:]:
+            chosen = chosen.unionByName(one)
+        near = fresh.select(group, reach, F.struct("x", "y").alias("p")).select(group, "_c.*", "p").groupBy(*keys).agg(F.collect_list("p").alias("_near"))
+        # the k-th best of what is chosen so far; what is worse than that can't come in any more
+        bar = first_of_each(chosen.select(group, "_r"), group, k).groupBy(group).agg(F.max("_r").alias("_bar"), F.count("*").alias("_n")).where(F.col("_n") >= k).select(group, "_bar")
+        close = F.exists("_near", lambda p: F.sqrt((F.col("x") - p["x"]) * (F.col("x") - p["x"]) + (F.col("y") - p["y"]) * (F.col("y") - p["y"])) <= gap)
+        open_rows = left.join(near, keys, "left").where(~F.coalesce(close, F.lit(False))).drop("_near")
+        left = cut(open_rows.join(bar, group, "left").where("_bar is null or _r < _bar").select(left.columns))
+    chosen = left if gap < 0 else None
+    for one in rounds:
+        chosen = one if chosen is None else chosen.unionByName(one)
+    out = left if chosen is None else chosen
+    return first_of_each(out.select(*names, "_r"), group, k).select(*names, F.col("_k").cast("long").alias("rank"))
+
+
+def first_of_each(rows: DataFrame, group: str, k: int) -> DataFrame:
+    """The k rows of least _r of each group, numbered in _k; each of some parts of a group is cut down first."""
+    parts = rows.withColumn("_part", F.pmod(F.xxhash64("_r"), F.lit(16)))
+    few = parts.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_part").orderBy("_r"))).where(F.col("_k") <= k)
+    return few.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("_r"))).where(F.col("_k") <= k).drop("_part")
 
 
 def downdip_projection(points: DataFrame, orientations: DataFrame, lengths: list[float], radius: float, bounds: tuple, z_floor: float) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -88,34 +88,61 @@ def mutual_best(candidates: DataFrame) -> DataFrame:
     return best.join(back, ["node", "other"]).where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
-def chains(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
-    """Ordered vertices of the paths of a graph whose nodes have at most two neighbours: chain, seq, node, closed.
+def rank_lists(arcs: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> tuple[DataFrame, DataFrame]:
+    """Ranks the lists that arcs (u, v) of a graph of paths and rings form, an arc followed by the one that goes on from its end.
 
-    An open path starts at its smaller end; a closed one at its smallest node, towards the smaller neighbour.
+    The first table has the arcs that come to an end: u, v, last (the node where the list ends), steps (arcs after this one) and
+    least (the smallest node from here to the end). The second has those of rings, which never end: u, v and least, of the whole
+    ring. Each round joins every open arc with the one that it points at and takes over where that points, so a list of any length
+    takes a logarithmic number of rounds, and no task holds a list.
     """
-    import numpy as np
-    import pandas as pd
-
-    named = edges.join(components(edges, cut).select(F.col("node").alias("u"), F.col("component").alias("chain")), "u")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for u, v in zip(pdf["u"], pdf["v"], strict=True):
-            near.setdefault(u, []).append(v)
-            near.setdefault(v, []).append(u)
-        ends = sorted(n for n, x in near.items() if len(set(x)) == 1)
-        now, out, seen = (ends or [min(near)])[0], [], set()
-        while now is not None:
-            out.append(now)
-            seen.add(now)
-            now = min((x for x in near[now] if x not in seen), default=None)
-        return pd.DataFrame({"chain": pdf["chain"].iat[0], "seq": np.arange(len(out)), "node": out, "closed": not ends})
+    ahead = arcs.select(F.col("u").alias("v"), F.col("v").alias("w"))
+    start = arcs.join(ahead.withColumnRenamed("v", "_v"), (F.col("v") == F.col("_v")) & (F.col("u") != F.col("w")), "left")
+    more = F.col("w").isNotNull()
+    state = cut(start.select("u", "v", F.coalesce("w", "v").alias("pv"), F.when(more, F.col("v")).otherwise(F.col("u")).alias("pu"), more.cast("long").alias("steps"), F.least("u", "v").alias("least"), more.alias("open")))
+    reach, most = 1, state.count()
+    while reach <= most and not state.where("open").isEmpty():
+        to = state.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("pu").alias("qu"), F.col("pv").alias("qv"), F.col("steps").alias("_steps"), F.col("least").alias("_least"), F.col("open").alias("_open"))
+        jumped = state.where("open").join(to, ["pu", "pv"])
+        moved = jumped.select("u", "v", F.col("qv").alias("pv"), F.col("qu").alias("pu"), (F.col("steps") + F.col("_steps")).alias("steps"), F.least("least", "_least").alias("least"), F.col("_open").alias("open"))
+        state = cut(state.where("not open").unionByName(moved))
+        reach *= 2
+    return state.where("not open").select("u", "v", F.col("pv").alias("last"), "steps", "least"), state.where("open").select("u", "v", "least")
 
-    return named.select("chain", "u", "v").groupBy("chain").applyInPandas(lambda pdf: walk(pdf), "chain long, seq long, node long, closed boolean")
 
+def chains(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """Ordered vertices of the paths of a graph whose nodes have at most two neighbours: chain (its smallest node), seq, node, closed.
 
-def simplify_paths(points: DataFrame, path: str, order: str, tolerance: float) -> DataFrame:
-    """Vertices (path, order, x, y) that the farthest-point rule keeps; one path in a task at a time."""
+    An open path starts at its smaller end; a closed one at its smallest node, towards the smaller neighbour. Loops and repeated edges are left out.
+    """
+    pair = edges.where("u <> v").select("u", "v")
+    arcs = cut(pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+
+    def placed(ended: DataFrame, closed: bool) -> DataFrame:
+        ends = ended.where("steps = 0").select(F.col("last").alias("node"), "last", F.lit(0).cast("long").alias("away"), "least")
+        both = ended.select(F.col("u").alias("node"), "last", (F.col("steps") + 1).alias("away"), "least").unionByName(ends)
+        # a node knows both ends of its path, and the smallest node on either side
+        at = both.groupBy("node").agg(F.min("least").alias("chain"), F.min(F.struct("last", "away")).alias("first"))
+        return at.select("chain", F.col("first.away").alias("seq"), "node", F.lit(closed).alias("closed"))
+
+    ended, rings = rank_lists(arcs, cut)
+    out = placed(ended, False)
+    rings = cut(rings)
+    if rings.isEmpty():
+        return out
+    # a ring is cut between its smallest node and the larger neighbour of that
+    last = rings.where("u = least").groupBy("least").agg(F.max("v").alias("_t"))
+    at_cut = ((F.col("u") == F.col("least")) & (F.col("v") == F.col("_t"))) | ((F.col("v") == F.col("least")) & (F.col("u") == F.col("_t")))
+    opened = rings.join(last, "least").where(~at_cut).select("u", "v")
+    return out.unionByName(placed(rank_lists(cut(opened), cut)[0], True))
+
+
+def simplify_paths(points: DataFrame, path: str, order: str, tolerance: float, most: int = 100_000, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """Vertices (path, order, x, y) that the farthest-point rule keeps: a stretch is split at its farthest vertex from its chord (ties: the first) while that is beyond tolerance.
+
+    Stretches of more than `most` vertices are split in rounds, all of them in one job a round: a vertex knows its stretch, and the farthest
+    vertex of each is an aggregate. What is left are stretches that a task can hold, which are finished one by one.
+    """
     import numpy as np
     import pandas as pd
 
@@ -130,5 +157,42 @@ def simplify_paths(points: DataFrame, path: str, order: str, tolerance: float) -
             yield pd.DataFrame(out, columns=[path, order, "x", "y"])
 
     kind = dict(points.dtypes)
-    packed = points.groupBy(F.col(path).alias("p")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "x", "y"))).alias("vertices"))
-    return packed.mapInPandas(run, f"{path} {kind[path]}, {order} {kind[order]}, x double, y double")
+    rows = points.select(F.col(path).alias("p"), F.struct(F.col(order).alias("o"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("at"))
+    bounds = rows.groupBy("p").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count("*").alias("_n"))
+    long = cut(bounds.where(F.col("_n") > most))
+    if long.isEmpty():
+        pieces = rows.groupBy("p").agg(F.array_sort(F.collect_list("at")).alias("vertices"))
+    else:
+        # vertices of long paths by their stretch (a, b); the ends of a stretch are no rows of it
+        inner = cut(rows.join(long.select("p", "a", "b"), "p").where("at > a and at < b"))
+        done, ends = [], long.select("p", "a", "b")
+        away = _off_chord(F.col("a"), F.col("b"), F.col("at"))
+        while True:
+            far = inner.groupBy("p", "a", "b").agg(F.min(F.struct((-away).alias("d"), "at")).alias("far"), F.count("*").alias("_n"))
+            split = cut(ends.join(far, ["p", "a", "b"], "left").select("p", "a", "b", (F.coalesce(-F.col("far.d"), F.lit(0.0)) > tolerance).alias("open"), F.col("far.at").alias("far"), F.coalesce("_n", F.lit(0)).alias("_n")))
+            small = split.where(~F.col("open") | (F.col("_n") <= most))
+            done.append((small.where("not open").select("p", "a", "b"), None))
+            done.append((small.where("open").select("p", "a", "b"), inner))
+            wide = cut(split.where(F.col("open") & (F.col("_n") > most)).select("p", "a", "b", "far"))
+            if wide.isEmpty():
+                break
+            ends = cut(wide.select("p", F.explode(F.array(F.struct("a", F.col("far").alias("b")), F.struct(F.col("far").alias("a"), "b"))).alias("s")).select("p", "s.*"))
+            side = F.when(F.col("at") < F.col("far"), F.struct("a", F.col("far").alias("b"))).otherwise(F.struct(F.col("far").alias("a"), "b"))
+            inner = cut(inner.join(wide, ["p", "a", "b"]).where("at <> far").select("p", "at", side.alias("s")).select("p", "at", "s.*"))
+        short = rows.join(long.select("p"), "p", "left_anti").groupBy("p").agg(F.array_sort(F.collect_list("at")).alias("vertices"))
+        pieces = short
+        for stretch, held in done:
+            if held is None:
+                pieces = pieces.unionByName(stretch.select("p", F.array("a", "b").alias("vertices")))
+            else:
+                own = held.join(stretch, ["p", "a", "b"]).groupBy("p", "a", "b").agg(F.collect_list("at").alias("_in"))
+                pieces = pieces.unionByName(own.select("p", F.array_sort(F.concat(F.array("a", "b"), "_in")).alias("vertices")))
+    kept = pieces.mapInPandas(run, f"{path} {kind[path]}, {order} {kind[order]}, x double, y double")
+    return kept if long.isEmpty() else kept.distinct()  # stretches share their ends
+
+
+def _off_chord(a: Column, b: Column, p: Column) -> Column:
+    """Distance of a vertex from the line through the ends of its stretch, or from the one point that both are."""
+    cx, cy, px, py = b["x"] - a["x"], b["y"] - a["y"], p["x"] - a["x"], p["y"] - a["y"]
+    length = F.sqrt(cx * cx + cy * cy)
+    return F.when(length > 0, F.abs(cx * py - cy * px) / length).otherwise(F.sqrt(px * px + py * py))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import constraints, graph, kernels, metrics, review, sequences, spatial
-from .tables import exact_sum, paths, table
+from .tables import PATHS_SQL, exact_sum, paths, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -377,6 +377,14 @@ def chains(spark, sf_dir):
     return graph.chains(edges)
 
 
+#: The stretches of all paths, split at their farthest vertices by recursion.
+@query(f"""
+WITH RECURSIVE p AS ({PATHS_SQL}),
+s(user_id, a, b) AS (SELECT user_id, min(seq), max(seq) FROM p GROUP BY user_id
+ UNION ALL SELECT user_id, unnest([a, f.seq]), unnest([f.seq, b]) FROM (
+  SELECT s.user_id, s.a, s.b, min(struct_pack(d := -CASE WHEN y.x <> x.x OR y.y <> x.y THEN abs((y.x - x.x) * (p.y - x.y) - (y.y - x.y) * (p.x - x.x)) / sqrt((y.x - x.x) * (y.x - x.x) + (y.y - x.y) * (y.y - x.y)) ELSE sqrt((p.x - x.x) * (p.x - x.x) + (p.y - x.y) * (p.y - x.y)) END, seq := p.seq)) AS f
+  FROM s JOIN p x ON x.user_id = s.user_id AND x.seq = s.a JOIN p y ON y.user_id = s.user_id AND y.seq = s.b JOIN p ON p.user_id = s.user_id AND p.seq > s.a AND p.seq < s.b GROUP BY ALL) WHERE -f.d > 20.0)
+SELECT user_id, seq, x, y FROM p WHERE EXISTS (SELECT 1 FROM s WHERE s.user_id = p.user_id AND p.seq IN (s.a, s.b))""")
 def simplify_dp(spark, sf_dir):
     return graph.simplify_paths(paths(spark, sf_dir), "user_id", "seq", 20.0)
 
@@ -401,5 +409,5 @@ def stream_sessions(spark, sf_dir):
     return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")
 
 
-QUERIES |= {f.__name__: f for f in (kmeans_merge, simplify_dp)}
+QUERIES |= {f.__name__: f for f in (kmeans_merge,)}
 
