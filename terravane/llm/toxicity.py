@@ -22,13 +22,15 @@ whole; columns other than those named are not read.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 from math import exp
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 ALIKE = dict(zip("авеікмнорстухүјѕԁɡαβεικνορτυχ", "abeikmhopctyxyjsdgabeikvoptux", strict=True))
 
 
+_DOUBLE, _TRIPLE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
+
+
 def fold(word: str) -> str:
     """Compatible forms and letters with marks as plain ones, without characters that have no width."""
     if word.isascii():
@@ -139,8 +144,23 @@ def lattice(word: str) -> list[list[tuple[int, str, float]]]:
     return out
 
 
+def _doubles(word: str, chars: Characters) -> str:
+    """restore() of letters that stand twice in a row at most and have no other reading: what one letter costs depends on its neighbours alone."""
+    costs, s = chars.costs, [0, 0, *(c - 96 for c in word.encode()), 0]
+    out, at = [], 0
+    for i in range(2, len(s) - 2):
+        if word[i - 2] == word[i - 1]:
+            a, b, c = s[i - 1], s[i], s[i + 2]
+            if REPEATS + costs[a << 14 | b << 7 | c] < costs[a << 14 | b << 7 | b] + costs[b << 14 | b << 7 | c]:
+                out.append(word[at : i - 1])
+                at = i
+    return "".join(out) + word[at:]
+
+
 def restore(word: str, chars: Characters) -> str:
     """The restoration of least cost of a folded word; breaks are spaces."""
+    if word.isalpha() and word.isascii() and not _TRIPLE.search(word):
+        return _doubles(word, chars) if _DOUBLE.search(word) else word
     readings = lattice(word)
     if all(len(r) == 1 for r in readings):
         return "".join(r[0][1] for r in readings)
@@ -175,30 +195,44 @@ def words_of(text: str) -> set[str]:
     return found
 
 
-def features(word: str, chars: Characters) -> list[int]:
-    """Hashed features of the restoration of one word."""
-    core = fold(word)
-    if not core.isalpha() or any(map(str.__eq__, core, core[1:])) or any(c in ALIKE for c in core if c > "\x7f"):
-        while core and not core[-1].isalnum():
-            core = core[:-1]
-        while core and not core[0].isalnum() and core[0] not in LEET:
-            core = core[1:]
-        core = restore(core, chars)
-    out = []
-    for one in core.split():
+def trim(word: str) -> str:
+    """A word folded, without the marks around it; one before it that looks like a letter stays."""
+    if word.isalpha() and word.isascii():
+        return word
+    core = fold(word.rstrip(punctuation))
+    while core and not core[-1].isalnum():
+        core = core[:-1]
+    while core and not core[0].isalnum() and core[0] not in LEET:
+        core = core[1:]
+    return core
+
+
+def features(core: str, chars: Characters) -> list[int]:
+    """Hashed features of the restoration of a trimmed word."""
+    out, crc, most = [], zlib.crc32, BUCKETS - 1
+    for one in restore(core, chars).split():
         data = f"^{one}$".encode()
-        out.append(zlib.crc32(data) & BUCKETS - 1)
-        for n in (4, 5):
-            out += [zlib.crc32(data[i : i + n]) & BUCKETS - 1 for i in range(len(data) - n + 1) if len(data) > n]
+        size = len(data)
+        out.append(crc(data) & most)
+        if size > 4:
+            out += [crc(data[i : i + 4]) & most for i in range(size - 3)]
+        if size > 5:
+            out += [crc(data[i : i + 5]) & most for i in range(size - 4)]
     return out
 
 
 class Memo(dict):
     """Values of words as they come; long words are not kept, and all go when there are too many."""
 
-    def __init__(self, make, most: int = KEPT):
+    def __init__(self, make: Callable, most: int = KEPT):
         self.make, self.most = make, most
 
+    @classmethod
+    def of_words(cls, make: Callable, most: int = KEPT) -> Memo:
+        """Values that make gives for trimmed words, kept for words as they stand too."""
+        trimmed = cls(make, most)
+        return cls(lambda word: trimmed[trim(word)], most)
+
     def __missing__(self, word: str):
         value = self.make(word)
         if len(word) <= 64:
@@ -215,10 +249,10 @@ class Model:
     bias: float = 0.0
     slopes: tuple[float, float] = (0.0, 0.0)
 
-    def word_score(self, word: str) -> float:
-        """The weight of the most telling feature of a word."""
+    def word_score(self, core: str) -> float:
+        """The weight of the most telling feature of a trimmed word."""
         get = self.weights.get
-        return max((get(k, 0.0) for k in features(word, self.chars)), default=0.0)
+        return max((get(k, 0.0) for k in features(core, self.chars)), default=0.0)
 
     def probability(self, most: float, several: float) -> float:
         return 1 / (1 + exp(-min(30.0, max(-30.0, self.bias + self.slopes[0] * most + self.slopes[1] * several))))
@@ -249,7 +283,7 @@ def learn(docs: DataFrame, labels: DataFrame, chars: Characters, id_column: str
     shared = docs.sparkSession.sparkContext.broadcast(chars)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda w: np.array(features(w, shared.value), np.int32), KEPT // 2)
+        memo = Memo.of_words(lambda w: np.array(features(w, shared.value), np.int32), KEPT // 2)
         total, n = np.zeros((2, BUCKETS), np.int32), [0, 0]
         for part in slices(batches, "t"):
             for y, text in zip(part.column("y").to_pylist(), part.column("t").to_pylist(), strict=True):
@@ -282,7 +316,7 @@ def learn(docs: DataFrame, labels: DataFrame, chars: Characters, id_column: str
         for y in (0, 1):
             w = odds(np.maximum(n0 - (1 - y), 0), n1 - y)
             by.append(Model(shared.value, dict(zip(k.tolist(), np.maximum(w, 0.0).tolist(), strict=True))))
-        memos = [Memo(m.word_score, KEPT // 2) for m in by]
+        memos = [Memo.of_words(m.word_score, KEPT // 2) for m in by]
         out: list[tuple] = []
         for part in slices(batches, "t"):
             for y, text in zip(part.column("y").to_pylist(), part.column("t").to_pylist(), strict=True):
@@ -314,7 +348,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", keep: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        memo = Memo(model.word_score)
+        memo = Memo.of_words(model.word_score)
         for part in slices(batches, "_text"):
             found = [model.probability(*_judged([memo[w] for w in words_of(t.lower())])) for t in part.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.float64()), pa.array([int(p >= 0.5) for p in found], pa.int32())], schema.names)
