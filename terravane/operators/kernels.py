@@ -62,17 +62,6 @@ def average_linkage(points: np.ndarray, cut: float) -> np.ndarray:
     return out
 
 
-def spaced_top(score: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, gap: float) -> list[int]:
-    """Indices of up to k best rows, each more than gap away from those chosen before; rows come in tie-break order."""
-    chosen: list[int] = []
-    for i in np.argsort(-score, kind="stable"):
-        if len(chosen) == k:
-            break
-        if all(np.hypot(x[i] - x[j], y[i] - y[j]) > gap for j in chosen):
-            chosen.append(int(i))
-    return chosen
-
-
 def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
     """Indices kept by the farthest-point rule: a stretch is split at its farthest vertex from the chord while that is beyond tolerance."""
     keep = {0, len(points) - 1}

@@ -55,7 +55,7 @@ def nearest_distances(points: DataFrame, targets: DataFrame, start: float, by: S
     Each round joins only the points still open, over four times the reach of the last; a point is done once a target is in reach.
     """
     left = cut(points.select(*by, "id", "x", "y"))
-    bounds = [df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first() for df in (left, targets)]
+    bounds = [tuple(df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()) for df in (left, targets)]
     far = -1.0 if None in bounds[0] or None in bounds[1] else max(bounds[1][1] - bounds[0][0], bounds[0][1] - bounds[1][0]) + max(bounds[1][3] - bounds[0][2], bounds[0][3] - bounds[1][2])
     out, last, reach = left.where("false").select(*by, "id", F.lit(0.0).alias("dist")), 0.0, start
     while last < far and not left.isEmpty():
@@ -66,6 +66,22 @@ def nearest_distances(points: DataFrame, targets: DataFrame, start: float, by: S
     return out.unionByName(left.select(*by, "id", F.lit(None).cast("double").alias("dist")))
 
 
+def nearest_values(points: DataFrame, targets: DataFrame, value: str, start: float, by: Sequence[str] = (), cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """by, id and the value of the target (by, x, y, value) nearest to each point (by, id, x, y) of its group (ties: smallest value); null where the group has none. Rounds as in nearest_distances()."""
+    left = cut(points.select(*by, "id", "x", "y"))
+    bounds = [tuple(df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()) for df in (left, targets)]
+    far = -1.0 if None in bounds[0] or None in bounds[1] else max(bounds[1][1] - bounds[0][0], bounds[0][1] - bounds[1][0]) + max(bounds[1][3] - bounds[0][2], bounds[0][3] - bounds[1][2])
+    out, last, reach = None, -1.0, start
+    while last < far and not left.isEmpty():
+        near = within(left, targets, reach, on=tuple(by)).groupBy(*by, F.col("l.id").alias("id")).agg(F.min(F.struct("dist", F.col(f"r.{value}").alias("v"))).alias("best"))
+        got = cut(near.select(*by, "id", F.col("best.v").alias(value)))
+        out = got if out is None else out.unionByName(got)
+        left = cut(left.join(got, [*by, "id"], "left_anti"))
+        last, reach = reach, reach * 4
+    rest = left.select(*by, "id", F.lit(None).cast(dict(targets.dtypes)[value]).alias(value))
+    return rest if out is None else out.unionByName(rest)
+
+
 def knn(vectors: DataFrame, k: int, id_column: str, vector_column: str, group: str, block: int = 512) -> DataFrame:
     """The k nearest others of each vector inside its group: id, neighbour, rank, dist2 (ties: smallest id). Rows without a vector have none and are none.
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut_lineage
 from .kernels import simplify, thin
 from .raster import offsets, smooth
+from .triangles import heights
 
 LINES = "line_no long, seq long, x double, y double"
-#: Contour samples that are broadcast at most.
-MAX_SAMPLES = 500_000
 
 
 def path_length(points: np.ndarray) -> float:
@@ -165,35 +165,20 @@ def fault_candidates(pixels: DataFrame, labels: DataFrame, group: str, radius: f
     return lines.join(crossed, [group, "fault_id"], "left").select(group, "fault_id", "length_px", "straightness", F.coalesce("n_units_crossed", F.lit(0)).alias("n_units_crossed"), "vertices")
 
 
-def contours_to_dem(samples: DataFrame, width: int, height: int, step: int, fallback: float, sigma: float = 2.0) -> DataFrame:
-    """Height of coarse cells (u, v in steps) from contour samples (z, x, y): cells between two levels blend their two nearest levels by inverse distance, then are smoothed.
+def contours_to_dem(samples: DataFrame, width: int, height: int, step: int, fallback: float, sigma: float = 2.0, by: Sequence[str] = (), cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """by, u, v, z: heights of coarse cells (u, v in steps) from contour samples (by, z, x, y): linear on the triangles of the samples, that of the nearest sample outside of them, then smoothed.
 
-    Fewer than two levels give the fallback height. The samples are those of one map; their number is checked before they are sent out.
+    Maps of fewer than two levels get the fallback height; maps without a sample are not in it.
     """
-    spark = samples.sparkSession
-    rows = samples.where("z is not null").select("z", "x", "y")
-    if rows.count() > MAX_SAMPLES:
-        raise ValueError("too many contour samples for one map")
-    pdf = rows.toPandas()
-    cells = spark.range(-(-width // step) * -(-height // step)).select(F.expr(f"cast(id % {-(-width // step)} as int)").alias("u"), F.expr(f"cast(id div {-(-width // step)} as int)").alias("v"))
-    if pdf["z"].nunique() < 2:
-        return cells.withColumn("z", F.lit(float(fallback)))
-    levels = np.array(sorted(pdf["z"].unique()))
-    shared = spark.sparkContext.broadcast([(float(z), pdf.loc[pdf["z"] == z, ["x", "y"]].to_numpy(float)) for z in levels])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            xy = batch[["u", "v"]].to_numpy(float) * step
-            dist = np.empty((len(xy), len(shared.value)))
-            for k, (_, points) in enumerate(shared.value):
-                for a in range(0, len(xy), 2048):
-                    d = xy[a : a + 2048, None] - points[None]
-                    dist[a : a + 2048, k] = np.sqrt((d * d).sum(2).min(1))
-            near = np.argsort(dist, 1)[:, :2]
-            w = 1 / (np.take_along_axis(dist, near, 1) + 1e-9)
-            z = np.array([z for z, _ in shared.value])[near]
-            yield batch[["u", "v"]].assign(z=(w * z).sum(1) / w.sum(1))
-
+    if not by:
+        return contours_to_dem(samples.withColumn("_map", F.lit(0)), width, height, step, fallback, sigma, ("_map",), cut).drop("_map")
+    wide, high = -(-width // step), -(-height // step)
+    rows = samples.where("z is not null").select(*by, (F.col("x") / step).alias("x"), (F.col("y") / step).alias("y"), F.col("z").cast("double").alias("z"))
+    maps = rows.groupBy(*by).agg((F.min("z") < F.max("z")).alias("_several"))
+    line = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = cut(maps.withColumn("u", line(wide)).withColumn("v", line(high)))
+    several = rows.join(maps.where("_several"), list(by), "left_semi").withColumn("id", F.xxhash64("x", "y"))
+    found = heights(cells.where("_several"), several, by, cut)
     weights = [float(np.exp(-d * d / (2 * sigma * sigma))) for d in range(int(3 * sigma) + 1)]
-    return smooth(cells.mapInPandas(run, "u int, v int, z double"), weights)
-
+    flat = cells.where("not _several").select(*by, "u", "v", F.lit(float(fallback)).alias("z"))
+    return smooth(found, weights, "z", by).unionByName(flat)

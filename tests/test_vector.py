@@ -52,6 +52,6 @@ def test_contours_give_the_terrain_back(spark):
     got = vector.contours_to_dem(samples, 200, 200, 4, 0.0, sigma=1.0)
     truth = dem.where("u % 4 = 0 and v % 4 = 0").select(F.expr("cast(u div 4 as int)").alias("u"), F.expr("cast(v div 4 as int)").alias("v"), F.col("z").alias("t"))
     error = got.join(truth, ["u", "v"]).agg(F.avg(F.abs(F.col("z") - F.col("t")))).first()[0]
-    assert error < 15.0 and grid.nx == 50
+    assert error < 5.0 and grid.nx == 50
     flat = vector.contours_to_dem(samples.where("z = 700"), 40, 40, 4, 123.0)
     assert {r["z"] for r in flat.collect()} == {123.0} and flat.count() == 100
