@@ -5,14 +5,15 @@ of the whole lower-cased text, predicts that bit. Decoding sums an exponential l
 by how well that bit's classifier reproduces that language's bit in training, and takes the codeword
 of least loss; if the second is nearly as near, the text is flagged as ambiguous.
 
-The classifiers are ridge regressions on a bounded sample: about MAX_ROWS rows in all, the same number of each of
-the MAX_LABELS most frequent labels, picked by a hash of the id, each whole and as one piece of
-PIECE_WORDS words, so that short texts are learned. The driver holds the sample's sparse features and one
-table of its rows by its rows, whatever the number of languages.
+The classifiers are ridge regressions on a bounded sample: of every label the same number of rows, those of least
+hash, MAX_ROWS in all but LEAST_ROWS of each label at least, so that no label is lost; each whole and as one piece of
+PIECE_WORDS words, so that short texts are learned. The driver holds the sample's sparse features; up to DIRECT_ROWS
+rows also one table of them by themselves, beyond that the regressions are solved step by step (conjugate gradients).
 
 Defined results: null texts and texts without a letter (str.isalpha) are `und` with score 0 and not
 ambiguous; rows without a label are never learned; with one learned language all texts with letters get it;
-with none all get `und`; repeated rows each get a result; other columns are not read.
+with none all get `und`; repeated rows each get a result and are learned once; texts of any length are read whole; an empty
+table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import in_arrow, slices
 
 BUCKETS = 1 << 13
-#: Rows to learn from, languages, words of a piece, ridge penalty, and the relative gap of losses below which a text is ambiguous.
-MAX_ROWS, MAX_LABELS, PIECE_WORDS, PENALTY, GAP = 1000, 400, 8, 0.3, 0.02
+#: Rows to learn from, least rows of a label, words of a piece, ridge penalty, and the relative gap of losses below which a text is ambiguous.
+MAX_ROWS, LEAST_ROWS, PIECE_WORDS, PENALTY, GAP = 1000, 2, 8, 0.3, 0.02
+#: Rows (two of each sampled one) whose regressions are solved at once.
+DIRECT_ROWS = 3000
 #: Rows of the sample that are spread out to full width at once.
 BLOCK = 256
 #: Byte table: ASCII characters that are no letters to a space.
@@ -120,15 +124,11 @@ class Sample:
         return out
 
 
-def fit(labels: list[str], x: Sample, y: np.ndarray, penalty: float = PENALTY) -> Model:
-    """y: row numbers of labels. One ridge regression per bit, rows weighted so that languages weigh alike; solved for the rows' parts, then summed over the rows."""
-    code, n = codewords(len(labels)), len(x)
-    if len(labels) < 2:
-        return Model(labels, code, np.zeros((BUCKETS, code.shape[1])), np.zeros(code.shape[1]), np.ones(code.shape))
-    share = np.sqrt(n / (len(labels) * np.bincount(y, minlength=len(labels))))[y][:, None]
-    inner, blocks = np.empty((n, n)), range(-(-n // BLOCK))
-    at = lambda i: slice(i * BLOCK, (i + 1) * BLOCK)
-    for i in blocks:
+def _direct(x: Sample, share: np.ndarray, target: np.ndarray, penalty: float) -> np.ndarray:
+    """The rows' parts d with (S X X' S + penalty) d = target, S the diagonal of share."""
+    n = len(x)
+    inner, at = np.empty((n, n)), lambda i: slice(i * BLOCK, (i + 1) * BLOCK)
+    for i in range(-(-n // BLOCK)):
         one = x.block(i)
         for j in range(i + 1):
             inner[at(i), at(j)] = one @ (one if i == j else x.block(j)).T
@@ -136,8 +136,42 @@ def fit(labels: list[str], x: Sample, y: np.ndarray, penalty: float = PENALTY) -
     inner *= share
     inner *= share.T
     inner[np.arange(n), np.arange(n)] += penalty
-    dual = np.linalg.solve(inner, code[y] * share) * share
-    del inner
+    return np.linalg.solve(inner, target)
+
+
+def _stepwise(x: Sample, share: np.ndarray, target: np.ndarray, penalty: float, most: int = 200) -> np.ndarray:
+    """As _direct() by conjugate gradients, all bits at once, without a table of rows by rows."""
+    blocks = range(-(-len(x) // BLOCK))
+    at = lambda i: slice(i * BLOCK, (i + 1) * BLOCK)
+
+    def times(d: np.ndarray) -> np.ndarray:
+        part = (d * share).astype(np.float32)
+        w = sum(x.block(i).T @ part[at(i)] for i in blocks)
+        return np.concatenate([x.block(i) @ w for i in blocks]) * share + penalty * d
+
+    d, rest = np.zeros_like(target), target.copy()
+    step, size = rest.copy(), (rest * rest).sum(0)
+    for _ in range(most):
+        moved = times(step)
+        by = size / np.maximum((step * moved).sum(0), 1e-300)
+        d += by * step
+        rest -= by * moved
+        fresh = (rest * rest).sum(0)
+        if fresh.max() <= 1e-6 * (target * target).sum(0).max():
+            break
+        step, size = rest + fresh / np.maximum(size, 1e-300) * step, fresh
+    return d
+
+
+def fit(labels: list[str], x: Sample, y: np.ndarray, penalty: float = PENALTY) -> Model:
+    """y: row numbers of labels. One ridge regression per bit, rows weighted so that languages weigh alike; solved for the rows' parts, then summed over the rows."""
+    code, n = codewords(len(labels)), len(x)
+    if len(labels) < 2:
+        return Model(labels, code, np.zeros((BUCKETS, code.shape[1])), np.zeros(code.shape[1]), np.ones(code.shape))
+    share = np.sqrt(n / (len(labels) * np.bincount(y, minlength=len(labels))))[y][:, None]
+    blocks = range(-(-n // BLOCK))
+    at = lambda i: slice(i * BLOCK, (i + 1) * BLOCK)
+    dual = (_direct if n <= DIRECT_ROWS else _stepwise)(x, share, code[y] * share, penalty) * share
     w, margins = np.zeros((BUCKETS + 1, code.shape[1])), np.empty((n, code.shape[1]))
     for i in blocks:
         w += x.block(i).T @ dual[at(i)].astype(np.float32)
@@ -148,14 +182,18 @@ def fit(labels: list[str], x: Sample, y: np.ndarray, penalty: float = PENALTY) -
     return Model(labels, code, w[:-1], w[-1], trust / trust.sum(1, keepdims=True))
 
 
-def learn(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", max_rows: int = MAX_ROWS, max_labels: int = MAX_LABELS) -> Model:
-    """Learns from rows whose label and text are not null: about max_rows rows in all, picked by a hash of the id; what comes to the driver is bounded by that."""
-    rows = rows.select(F.col(id_column).alias("i"), F.col(text_column).alias("t"), F.col(label_column).cast("string").alias("y")).where("t is not null and y is not null")
-    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(max_labels).collect()}
-    if not sizes:
+def learn(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", max_rows: int = MAX_ROWS) -> Model:
+    """Learns from rows whose label is not null and whose text has a letter: of each label as many, those of least hash, max_rows in all but LEAST_ROWS of each label; what comes to the driver is bounded by that."""
+    rows = rows.select(F.col(id_column).alias("i"), F.col(text_column).cast("string").alias("t"), F.col(label_column).cast("string").alias("y")).where("y is not null").where(F.col("t").rlike(r"\p{L}"))
+    hashed = rows.withColumn("h", F.xxhash64("i", "t", F.lit(17)))
+    narrow = hashed.select("y", "h").distinct()
+    labels = rows.agg(F.count_distinct("y")).first()[0]
+    if not labels:
         return fit([], Sample(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, int)), np.zeros(0, int))
-    share = F.create_map(*[F.lit(v) for y in sorted(sizes) for v in (y, min(1.0, max_rows / len(sizes) / sizes[y]))])
-    picked = rows.where(F.pmod(F.xxhash64("i", F.lit(17)), F.lit(1 << 20)) < share[F.col("y")] * (1 << 20)).limit(2 * max_rows)
+    quota = max(LEAST_ROWS, max_rows // labels)
+    nth = narrow.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where(F.col("k") <= quota).select("y", "h")
+    nth = F.broadcast(nth) if quota * labels <= 100_000 else nth
+    picked = hashed.join(nth, ["y", "h"]).groupBy("y", "h").agg(F.first("t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):

@@ -4,13 +4,16 @@ Every line has binned features of its own and those of the line before and after
 (bad, good) over a document's lines gives forward-backward marginals, and the document's quality is
 their mean weighted by line length, put on a probability scale by a logistic curve.
 
-The field learns from a bounded sample: about MAX_ROWS labelled documents, picked by a hash of the
-id; every line of a document takes its label, and each document weighs alike, however many lines it
-has. Scores use the text alone.
+The field learns from a bounded sample of whole documents: the MAX_ROWS labelled ids of least hash, in
+that order as long as their lines are MAX_LINES in all (one that does not fit is passed over); every
+line of a document takes its label, and each document weighs alike, however many lines it has. So what
+comes to the driver is bounded by MAX_LINES. Scores use the text alone.
 
 Defined results: a null or empty text is one empty line and gets a score like any other; rows
 without a label are never learned; repeated labels of one id count by their mean (0.5 or more is
-good); if the labels are all one kind or absent, every score is that share (0.5 without any).
+good); of documents with one labelled id, the one of least hash is learned, and each is scored; if the
+labels are all one kind or absent, every score is that share (0.5 without any); texts and lines of
+any length are read whole; an empty table gives no rows; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, slices
+from .common import in_arrow, materialise, slices
 
-#: Labelled documents to learn from, lines of a training chain, steps and step size of the ascent, L2 penalty.
-MAX_ROWS, CHAIN, STEPS, RATE, PENALTY = 1500, 64, 150, 0.08, 0.002
+#: Labelled documents and lines of them to learn from, lines of a training chain, steps and step size of the ascent, L2 penalty.
+MAX_ROWS, MAX_LINES, CHAIN, STEPS, RATE, PENALTY = 1500, 200_000, 64, 150, 0.08, 0.002
 #: Training chains that are worked on at once.
 BLOCK = 4096
 
@@ -201,13 +204,20 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], block: int = BLOCK) -> F
     return field
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", max_rows: int = MAX_ROWS) -> Field:
-    """Learns from documents with a label: about max_rows of them, picked by a hash of the id; what comes to the driver is bounded by that."""
+def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", max_rows: int = MAX_ROWS, max_lines: int = MAX_LINES) -> Field:
+    """Learns from at most max_rows documents with a label, of at most max_lines lines in all; what comes to the driver is bounded by that."""
     marked = labels.select(F.col(id_column).alias("i"), F.col(label_column).cast("double").alias("y")).where("i is not null and y is not null")
-    total = marked.count()
-    share = min(1.0, max_rows / max(1, total))
-    picked = marked.where(F.pmod(F.xxhash64("i", F.lit(29)), F.lit(1 << 20)) < share * (1 << 20)).groupBy("i").agg(F.avg("y").alias("y")).limit(2 * max_rows)
-    rows = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).join(F.broadcast(picked), "i").where("t is not null")
+    picked = marked.groupBy("i").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("i", F.lit(29)), "i").limit(max_rows)
+    own = docs.select(F.col(id_column).alias("i"), F.col(text_column).cast("string").alias("t")).where("t is not null").join(F.broadcast(picked), "i")
+    one = materialise(own.groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")))
+    sized = one.select("i", F.xxhash64("i", F.lit(29)).alias("h"), (F.length("t") - F.length(F.replace("t", F.lit("\n"))) + 1).alias("n"))
+    taken, held = [], 0
+    for r in sized.orderBy("h", "i").collect():  # max_rows at most
+        if held + r["n"] <= max_lines:
+            taken.append((r["i"],))
+            held += r["n"]
+    ids = docs.sparkSession.createDataFrame(taken, sized.select("i").schema)
+    rows = one.join(F.broadcast(ids), "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
@@ -217,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 ["i", "y", "b", "s"],
             )
 
-    got = in_arrow(rows.select("i", "y", "t").limit(4 * max_rows), run, "i string, y int, b array<short>, s array<double>").toArrow().sort_by([("i", "ascending")])
+    got = in_arrow(rows.select("i", "y", "t"), run, "i string, y int, b array<short>, s array<double>").toArrow().sort_by([("i", "ascending")])
     return fit([(np.array(b.values).reshape(-1, len(BINS)), np.array(s.values), y) for b, s, y in zip(got["b"], got["s"], got["y"].to_pylist(), strict=True)])
 
 

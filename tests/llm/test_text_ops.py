@@ -222,12 +222,28 @@ def test_language_without_letters_and_with_many_languages(spark):
     model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=300)
     assert len(model.labels) == 30
     assert np.mean([model.predict(" ".join(rng.choice(w, 9)))[0] == y for y, w in words.items()]) > 0.9
-    few = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_labels=4)
-    assert len(few.labels) == 4
     for text in ("½ ² Ⅷ", "１２", "_ 12 !", ""):
         assert model.predict(text) == ("und", 0.0, False)
 
 
+def test_no_language_is_lost(spark):
+    """More languages than rows in the bound, one of them with most rows, some with a single one; and one row that is repeated."""
+    rows = [(i, f"word{k} text{k} {k} abc", f"l{k}") for i, k in enumerate([k for k in range(500) for _ in range(1 + k % 4)] + [7] * 3000)]
+    rows += [(99_999, "the same", "l499")] * 500
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, y string")
+    model = langid.learn(df, max_rows=300)
+    assert len(model.labels) == 500 and len(set(model.labels)) == 500
+
+
+def test_stepwise_regressions_equal_the_direct_ones():
+    rng = np.random.default_rng(3)
+    rows = [langid.features(" ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(9))) for _ in range(600)]
+    k = [np.flatnonzero(r) for r in rows]
+    x = langid.Sample(np.concatenate(k), np.concatenate([r[i] for r, i in zip(rows, k, strict=True)]), np.cumsum([len(i) for i in k]))
+    share, target = rng.uniform(0.5, 2, (600, 1)), rng.choice((-1.0, 1.0), (600, 7))
+    assert np.allclose(langid._direct(x, share, target, 0.3), langid._stepwise(x, share, target, 0.3), atol=2e-2)
+
+
 def test_losses_against_brute_force(spark):
     """The ridge regressions and the decoding, written out plainly."""
     texts = [("the house of the rising sun", "en"), ("das haus der sonne", "de"), ("la maison du soleil", "fr"), ("all of the world", "en"), ("die ganze welt", "de"), ("tout le monde", "fr")]
@@ -275,6 +291,21 @@ def test_quality_edges(spark):
     assert quality.score(docs_of(spark).where("false"), none).count() == 0
 
 
+def test_quality_sample_is_bounded_by_lines(spark):
+    docs = spark.createDataFrame([(i, "a line of words\n" * (50_000 if i % 10 == 0 else 3), "clash") for i in range(60)] + [(1, "other", "c"), (1, "other", "c")], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    real = quality.fit
+    quality.fit = lambda found, **k: seen.append(found) or real([])
+    try:
+        for _ in range(2):
+            quality.learn(docs.repartition(5), labels, max_lines=1000)
+    finally:
+        quality.fit = real
+    assert len(seen[0]) == 54 and sum(len(b) for b, *_ in seen[0]) <= 1000
+    assert [y for *_, y in seen[0]] == [y for *_, y in seen[1]] and all((a[0] == b[0]).all() for a, b in zip(*seen, strict=True))
+
+
 def test_quality_learns_all_lines():
     clean, junk = "The river runs by the old mill, and the path follows it.", "$$ 9 9 9 | | | >>> 0x0F {}"
     docs = [(*quality.bins_of("\n".join([clean] * n)), 1) for n in (5, 40, 600)]
