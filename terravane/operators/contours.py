@@ -18,6 +18,7 @@ from ..functions.exprs import gray
 from .graph import chains, components, cut_lineage, simplify_paths
 from .raster import offsets
 from .spatial import within
+from .tiles import SIDE, least_connected, over_tiles
 
 
 @dataclass(frozen=True)
@@ -44,14 +45,26 @@ def touching(cells: DataFrame, by: Sequence[str], eight: bool = True, label: str
 
 
 def labelled_components(cells: DataFrame, by: Sequence[str] = ("case_id",), eight: bool = True, label: str | None = None, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
-    """by, u, v, the label and component: the least cell id of the connected cells; cells are numbered by a hash-free packing of their place, so ids are the same in every run."""
-    place = F.col("u").cast("long") * (1 << 20) + F.col("v").cast("long")
+    """by, u, v, the label and component: the least cell id of the connected cells; cells are numbered by a hash-free packing of their place, so ids are the same in every run. Places beyond 2^19 either way are an error."""
+    half = 1 << 19
+    fits = F.col("u").between(-half, half - 1) & F.col("v").between(-half, half - 1)
+    packing = (F.col("u").cast("long") + half) * (1 << 20) + F.col("v").cast("long") + half
+    place = F.when(fits, packing).otherwise(F.raise_error(F.lit("a cell's place does not fit its number")).cast("long"))
     number = F.dense_rank().over(Window.orderBy(*by)) if by else F.lit(1)
     maps = cells.select(*by).distinct().withColumn("_map", number.cast("long")) if by else None  # as many rows as maps
     named = cells.join(maps, list(by)) if by else cells.withColumn("_map", F.lit(1).cast("long"))
     named = cut(named.withColumn("id", F.col("_map") * (1 << 40) + place).drop("_map"))
-    found = components(touching(named, by, eight, label), cut)
-    return named.join(found.withColumnRenamed("node", "id"), "id", "left").select(*by, "u", "v", *([label] if label else []), F.coalesce("component", "id").alias("component"))
+    # inside tiles cells are joined as arrays; only cells at the borders of tiles meet others
+    inside = lambda arrays, have, row: {"_root": arrays["id"].ravel()[least_connected(have, arrays["_kind"], eight)]}
+    kind = F.xxhash64(label) if label else F.lit(0)
+    rooted = named.join(over_tiles(named.withColumn("_kind", kind), by, {"id": "long", "_kind": "long"}, 0, inside, {"_root": "long"}), [*by, "u", "v"])
+    rooted = cut(rooted)
+    at_border = F.lit(False)
+    for c in "uv":
+        at_border = at_border | F.pmod(F.col(c), F.lit(SIDE)).isin(0, SIDE - 1)
+    border = rooted.where(at_border).select(*by, "u", "v", *([label] if label else []), F.col("_root").alias("id"))
+    found = components(touching(border, by, eight, label), cut)
+    return rooted.join(found.withColumnRenamed("node", "_root"), "_root", "left").select(*by, "u", "v", *([label] if label else []), F.coalesce("component", "_root").alias("component"))
 
 
 def component_shapes(cells: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:

@@ -1,7 +1,8 @@
 """Units of scanned maps from their colours, for many maps at once.
 
-Filters and masks are stencils on cells, colours are expressions. Clusters are learned for each map from a bounded sample of
-its cells in one grouped task; the few centres go back to all cells by a join, and each cell picks its nearest.
+Filters, masks, nearest labels and fills are stencils on tiles with margins: one pass cleans and masks, one labels and fills, one takes the median and joins
+cells inside tiles, one absorbs small regions. Only regions that cross tiles meet by their borders, and only holes deeper than
+a margin are filled by a join. Clusters are learned for each map from a bounded sample of its cells in one grouped task.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from ..functions.exprs import clamp, gray, hsv, lab
 from .contours import labelled_components
 from .graph import cut_lineage
 from .kernels import average_linkage
-from .raster import RGB, dilate, median_filter, nearest_fill, offsets, opening
+from .raster import RGB, nearest_fill, offsets
+from .tiles import filled, lower_median, narrowed, over_tiles, shifted, widened
 
 
 @dataclass(frozen=True)
@@ -54,39 +56,58 @@ def noise_level(pixels: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFram
     return bent.groupBy(*by).agg((F.percentile_approx("d", 0.5) / (0.6745 * 6**0.5)).alias("sigma"))
 
 
-def bilateral(pixels: DataFrame, radius: int = 3, sigma_colour: float = 35.0, sigma_space: float = 5.0, by: Sequence[str] = ("case_id",)) -> DataFrame:
-    """Weighted mean of the cells of a disc, near in place and in colour."""
-    shape = [(a, b) for a, b in offsets("disc", radius)]
-    moved = F.explode(F.array(*[F.struct((F.col("u") + a).alias("u"), (F.col("v") + b).alias("v"), F.lit(-(a * a + b * b) / (2 * sigma_space**2)).alias("w")) for a, b in shape]))
-    around = pixels.select(*by, *[F.col(c).alias(f"_{c}") for c in RGB], moved.alias("_c")).select(*by, *[f"_{c}" for c in RGB], "_c.*")
-    away = sum(F.abs(F.col(c) - F.col(f"_{c}")) for c in RGB)
-    weight = F.exp(F.col("w") - away * away / (2 * sigma_colour**2))
-    both = pixels.select(*by, "u", "v", *RGB).join(around, [*by, "u", "v"]).withColumn("w", weight)
-    return both.groupBy(*by, "u", "v").agg(*[F.rint(F.sum(F.col("w") * F.col(f"_{c}")) / F.sum("w")).cast("int").alias(c) for c in RGB])
-
-
-def denoised(pixels: DataFrame, params: SegmentParams, by: Sequence[str] = ("case_id",)) -> DataFrame:
-    """A median over three by three cells for maps whose noise is beyond the limit, then the bilateral filter for all."""
-    loud = noise_level(pixels, by).where(F.col("sigma") > params.noise_limit).select(*by)
-    rough = pixels.join(loud, list(by), "left_semi")
-    calm = None
-    for c in RGB:
-        one = median_filter(rough.select(*by, "u", "v", c), 1, c, by)
-        calm = one if calm is None else calm.join(one, [*by, "u", "v"])
-    out = pixels.join(loud, list(by), "left_anti").select(*by, "u", "v", *RGB).unionByName(calm)
-    return bilateral(out, by=by)
-
-
-def masks(pixels: DataFrame, params: SegmentParams, by: Sequence[str] = ("case_id",)) -> DataFrame:
-    """pixels with water and exclude: dark lines and rivers, widened; lakes (water that a disc of five cells fits into) stay."""
-    disc = offsets("disc", params.dark_dilate)
-    r, g, b = (F.col(c) for c in RGB)
-    dark = dilate(pixels.where(gray(r, g, b) < params.dark_gray_max), disc, by)
-    water = pixels.where(is_water(r, g, b)).select(*by, "u", "v")
-    lake = opening(water, offsets("disc", 2), by)
-    river = dilate(water.join(lake, [*by, "u", "v"], "left_anti"), disc, by).join(lake, [*by, "u", "v"], "left_anti")
-    out = dark.unionByName(river).distinct().withColumn("_x", F.lit(True))
-    return pixels.withColumn("water", is_water(r, g, b)).join(out, [*by, "u", "v"], "left").withColumn("exclude", F.coalesce("_x", F.lit(False))).drop("_x")
+def smoothed(colours: list[np.ndarray], have: np.ndarray, radius: int = 3, sigma_colour: float = 35.0, sigma_space: float = 5.0) -> list[np.ndarray]:
+    """Weighted means of the cells of a disc, near in place and in colour."""
+    total, sums = np.zeros(have.shape), [np.zeros(have.shape) for _ in colours]
+    for i, j in offsets("disc", radius):
+        near = [shifted(c, i, j) for c in colours]
+        away = sum(np.abs(n - c) for n, c in zip(near, colours, strict=True))
+        weight = np.where(shifted(have, i, j), np.exp(-(i * i + j * j) / (2 * sigma_space**2) - away * away / (2 * sigma_colour**2)), 0.0)
+        total += weight
+        for s, n in zip(sums, near, strict=True):
+            s += weight * n
+    return [np.rint(s / np.where(have, total, 1.0)) for s in sums]
+
+
+def cleaned(pixels: DataFrame, params: SegmentParams, by: Sequence[str] = ("case_id",)) -> DataFrame:
+    """by, u, v, r, g, b, water and exclude, in one pass over tiles.
+
+    Denoised: a median over three by three cells for maps whose noise is beyond the limit, then a bilateral filter for all. Water is clear blue;
+    excluded are dark lines and rivers, widened; lakes (water that a disc of five cells fits into) stay.
+    """
+    disc, lake_disc = offsets("disc", params.dark_dilate), offsets("disc", 2)
+    limit = F.coalesce(F.col("sigma"), F.lit(0.0)) > params.noise_limit
+    given = noise_level(pixels, by).select(*by, limit.alias("loud")) if params.denoise else None
+    if given is not None:  # maps of one or two columns have no second difference
+        given = pixels.select(*by).distinct().join(given, list(by), "left").select(*by, F.coalesce("loud", F.lit(False)).alias("loud"))
+    dark_max, denoise = params.dark_gray_max, params.denoise
+
+    def run(arrays: dict[str, np.ndarray], have: np.ndarray, row: dict) -> dict[str, np.ndarray]:
+        colours = [arrays[c].astype(float) for c in RGB]
+        if denoise:
+            if row["loud"]:
+                colours = [lower_median(arrays[c], have, 1).astype(float) for c in RGB]
+            colours = smoothed(colours, have)
+        r, g, b = colours
+        dark = widened(have & (r * 0.299 + g * 0.587 + b * 0.114 < dark_max), disc)
+        blue = have & water_mask(r, g, b)
+        lake = widened(narrowed(blue, lake_disc), lake_disc)
+        river = widened(blue & ~lake, disc) & ~lake
+        return {"r": r, "g": g, "b": b, "water": blue, "exclude": dark | river}
+
+    margin = 2 * 2 + 2 * params.dark_dilate + (4 if denoise else 0)
+    return over_tiles(pixels, by, dict.fromkeys(RGB, "long"), margin, run, {**dict.fromkeys(RGB, "int"), "water": "boolean", "exclude": "boolean"}, given)
+
+
+def water_mask(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """is_water() for arrays."""
+    high, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+    span = np.where(high > low, high - low, 1.0)
+    turn = np.where(high == r, 60 * (g - b) / span, np.where(high == g, 120 + 60 * (b - r) / span, 240 + 60 * (r - g) / span))
+    hue = np.where(high > low, np.where(turn < 0, turn + 360, turn), 0.0) / 2
+    full = np.where(high > 0, 255 * (high - low) / np.maximum(high, 1e-9), 0.0)
+    # The bounds of is_water().
+    return (hue >= 95) & (hue <= 135) & (full > 60) & (high > 120)
 
 
 def k_means(points: np.ndarray, k: int, seed: int, rounds: int = 40, tries: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -162,17 +183,43 @@ def even_light(cells: DataFrame, labels: DataFrame, tile: int, by: Sequence[str]
     return cells.join(field, [*by, "u", "v"], "left").withColumn("l", clamp(F.col("l") - F.coalesce("_light", F.lit(0.0)), 0.0, 100.0)).drop("_light")
 
 
+#: Reach of the fill inside a tile's margin; what is farther from a label is filled by a join.
+FILL_REACH = 12
+
+
+def _fill(cells: DataFrame, hole: str, by: Sequence[str], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """by, u, v, label: holes left at -1 by a tile's fill get the label of the nearest cell that was no hole."""
+    open_cells = cells.where("label = -1")
+    if open_cells.isEmpty():
+        return cells.select(*by, "u", "v", "label")
+    deep = cells.where(~F.col(hole) | (F.col("label") == -1)).join(open_cells.select(*by).distinct(), list(by), "left_semi")
+    got = nearest_fill(deep, hole, "label", cut, by).withColumnRenamed("label", "_far")
+    joined = cells.join(got, [*by, "u", "v"], "left")
+    return joined.select(*by, "u", "v", F.when(F.col("label") == -1, F.col("_far")).otherwise(F.col("label")).alias("label"))
+
+
 def _labelled(cells: DataFrame, params: SegmentParams, by: Sequence[str], cut: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Labels of all cells (nearest centre, holes filled, median, small regions absorbed) and the centres."""
     centres = cut(centres_of(cells, params, by))
-    own = nearest_label(cells, centres, by).select(*by, "u", "v", "label", "exclude")
-    whole = cut(nearest_fill(own, "exclude", "label", cut, by))
-    if params.median_radius > 0:
-        whole = cut(median_filter(whole, params.median_radius, "label", by))
-    parts = labelled_components(whole, by, eight=False, label="label", cut=cut)
+    reach, radius = FILL_REACH, params.median_radius
+
+    def nearest(arrays: dict[str, np.ndarray], have: np.ndarray, row: dict) -> dict[str, np.ndarray]:
+        kept = sorted(row["centres"], key=lambda c: c["id"])
+        away = np.stack([(arrays["l"] - c["l"]) ** 2 + (arrays["a"] - c["a"]) ** 2 + (arrays["b"] - c["b"]) ** 2 for c in kept])
+        label, hole = np.array([c["id"] for c in kept])[away.argmin(0)], have & arrays["exclude"]
+        return {"label": filled(label, have & ~hole, hole, reach), "exclude": hole}
+
+    own = over_tiles(cells, by, {"l": "double", "a": "double", "b": "double", "exclude": "boolean"}, reach, nearest, {"label": "int", "exclude": "boolean"}, centres)
+    whole = _fill(cut(own), "exclude", by, cut)
+    if radius > 0:
+        median = lambda arrays, have, row: {"label": lower_median(arrays["label"], have, radius)}
+        whole = over_tiles(whole.where("label is not null"), by, {"label": "int"}, radius, median, {"label": "int"})
+    parts = labelled_components(cut(whole), by, eight=False, label="label", cut=cut)
     small = parts.groupBy(*by, "component").count().where(F.col("count") < params.min_region).select(*by, "component")
-    marked = cut(parts.join(small.withColumn("_s", F.lit(True)), [*by, "component"], "left").select(*by, "u", "v", "label", F.coalesce("_s", F.lit(False)).alias("small")))
-    return nearest_fill(marked, "small", "label", cut, by), centres
+    marked = parts.join(small.withColumn("_s", F.lit(True)), [*by, "component"], "left").select(*by, "u", "v", "label", F.coalesce("_s", F.lit(False)).alias("small"))
+    absorb = lambda arrays, have, row: {"label": filled(arrays["label"], have & ~arrays["small"], have & arrays["small"], reach), "small": arrays["small"]}
+    done = over_tiles(marked, by, {"label": "int", "small": "boolean"}, reach, absorb, {"label": "int", "small": "boolean"})
+    return _fill(cut(done), "small", by, cut), centres
 
 
 def segment_maps(pixels: DataFrame, params: SegmentParams = SegmentParams(), tile: int = 64, legend: DataFrame | None = None, by: Sequence[str] = ("case_id",), cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> tuple[DataFrame, DataFrame]:
@@ -180,8 +227,7 @@ def segment_maps(pixels: DataFrame, params: SegmentParams = SegmentParams(), til
 
     Units are numbered by area, largest first; with a legend (by, unit_id, name, r, g, b) every cluster takes the nearest legend colour's number.
     """
-    start = cut(denoised(pixels, params, by)) if params.denoise else pixels
-    cells = cut(_with_lab(masks(start, params, by)))
+    cells = cut(_with_lab(cleaned(pixels, params, by)))
     if params.level_light:
         first, _ = _labelled(cells, replace(params, merge_distance=max(params.merge_distance, 14.0)), by, cut)
         cells = cut(even_light(cells, first, tile, by))

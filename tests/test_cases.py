@@ -115,7 +115,8 @@ def test_segmentation_of_two_maps(spark):
     pixels = one.unionByName(two).select("case_id", "u", "v", *[F.when(line & (F.col("case_id") == "a"), 15).otherwise(F.col(c)).alias(c) for c in "rgb"])
     labels, units = segmentation.segment_maps(pixels, segmentation.SegmentParams(min_region=30), tile=16)
     found = {(r["case_id"], r["unit_id"]): r for r in units.collect()}
-    assert {k: v["role_guess"] for k, v in found.items()} == {("a", 0): "strata", ("a", 1): "strata", ("b", 0): "strata", ("b", 1): "water", ("b", 2): "strata"}
+    # the lake and the unit below it are of one size, so either may come first
+    assert sorted((c, v["role_guess"], round(v["n_px"], -2)) for (c, _), v in found.items()) == [("a", "strata", 1000), ("a", "strata", 1000), ("b", "strata", 500), ("b", "strata", 1000), ("b", "water", 500)]
     got = {(r["case_id"], r["u"], r["v"]): r["label"] for r in labels.collect()}
     assert len(got) == 2 * 48 * 40 and len({got["a", u, v] for u in range(0, 22) for v in range(40)}) == 1 and got["a", 5, 5] == got["a", 6, 6] != got["a", 40, 5]
     assert got["b", 3, 2] != got["b", 3, 20] != got["b", 3, 35]
@@ -129,7 +130,7 @@ def test_noise_is_measured_and_lines_keep_their_sides(spark):
     assert segmentation.noise_level(cells).first()["sigma"] == 0
     loud = raster.noisy(cells, 3, 5, ("case_id",))
     assert 4 < segmentation.noise_level(loud).first()["sigma"] < 20
-    calm = segmentation.bilateral(loud)
+    calm = segmentation.cleaned(loud, segmentation.SegmentParams())
     assert calm.agg(F.stddev("r")).first()[0] < 0.8 * loud.agg(F.stddev("r")).first()[0]
 
 
