@@ -145,3 +145,46 @@ def apply_elevations(contours: DataFrame, elevations: DataFrame, by: Sequence[st
 
 def contour_counts(contours: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
     return contours.groupBy(*by).agg(F.count("*").alias("n_contours"), F.count("elevation").alias("n_with_elevation"))
+
+
+def iso_segments(cells: DataFrame, interval: float, value: str = "z", by: Sequence[str] = ("case_id",)) -> DataFrame:
+    """by, level_no, p, q: the pieces of contours inside the squares between four cells; p and q are edges between side neighbours (by, level_no, axis, u, v of the first cell).
+
+    A square with two pairs of like corners across from each other has two pieces; the mean of its corners tells which pair they part. Squares that lack a
+    corner have none.
+    """
+    spread = cells.select(*by, F.explode(F.array(*[F.struct((F.col("u") - i).alias("u"), (F.col("v") - j).alias("v"), F.lit(2 * i + j).alias("k"), F.col(value).cast("double").alias("z")) for i in (0, 1) for j in (0, 1)])).alias("c")).select(*by, "c.*")
+    square = spread.groupBy(*by, "u", "v").agg(*[F.max(F.when(F.col("k") == k, F.col("z"))).alias(f"z{k}") for k in range(4)]).dropna(subset=[f"z{k}" for k in range(4)])
+    names = [f"z{k}" for k in range(4)]  # corners: at (0, 0), (0, 1), (1, 0), (1, 1)
+    low, high = F.floor(F.least(*names) / interval) + 1, F.floor(F.greatest(*names) / interval)
+    at = square.where(low <= high).withColumn("level_no", F.explode(F.sequence(low, high)))
+    level = F.col("level_no") * interval
+    above = [F.col(n) >= level for n in names]
+    edge = lambda axis, i, j: F.struct(*by, "level_no", F.lit(axis).alias("axis"), (F.col("u") + i).alias("u"), (F.col("v") + j).alias("v"))
+    sides = [(edge("u", 0, 0), above[0] != above[2]), (edge("v", 0, 0), above[0] != above[1]), (edge("u", 0, 1), above[1] != above[3]), (edge("v", 1, 0), above[2] != above[3])]
+    met = F.filter(F.array(*[F.when(test, e) for e, test in sides]), lambda e: e.isNotNull())
+    bottom, left, top, right = (e for e, _ in sides)
+    pair = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+    first = ((F.col("z0") + F.col("z1") + F.col("z2") + F.col("z3")) / 4.0 >= level) == above[0]
+    pieces = F.when(F.size("_met") == 2, F.array(pair(F.col("_met")[0], F.col("_met")[1]))).when(first, F.array(pair(bottom, right), pair(left, top))).otherwise(F.array(pair(bottom, left), pair(right, top)))
+    return at.withColumn("_met", met).select(*by, "level_no", F.explode(pieces).alias("s")).select(*by, "level_no", "s.p", "s.q")
+
+
+def iso_lines(cells: DataFrame, interval: float, value: str = "z", by: Sequence[str] = ("case_id",), cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """by, level, line, seq, closed, u, v: contours of a height field as lines; line is the least edge that a line crosses.
+
+    The pieces inside squares are chained by list ranking over all maps and levels at once, so a line may be of any length and cross any number of tasks.
+    """
+    pieces = iso_segments(cells, interval, value, by)
+    found = chains(pieces.select(F.col("p").alias("u"), F.col("q").alias("v")), cut)
+    ends = lambda name, move: cells.select(*by, *[(F.col(c) - (1 if c == move else 0)).alias(c) for c in "uv"], F.col(value).cast("double").alias(name))
+    node = [F.col(f"node.{c}").alias(c) for c in (*by, "level_no", "axis", "u", "v")]
+    at = found.select(F.col("chain").alias("line"), "seq", "closed", *node)
+    a = cells.select(*by, "u", "v", F.col(value).cast("double").alias("a"))
+    out = None
+    for axis in "uv":
+        one = at.where(F.col("axis") == axis).join(a, [*by, "u", "v"]).join(ends("b", axis), [*by, "u", "v"])
+        t = (F.col("level_no") * interval - F.col("a")) / (F.col("b") - F.col("a"))
+        one = one.select(*by, (F.col("level_no") * interval).alias("level"), F.struct("line.axis", "line.u", "line.v").alias("line"), "seq", "closed", *[(F.col(c) + (t if c == axis else F.lit(0.0))).cast("double").alias(c) for c in "uv"])
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import triangles
+from ..operators import contours, triangles
 from .tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -53,3 +54,33 @@ def tin_heights(spark, sf_dir):
     line = lambda: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cells = sites.select("case_id").distinct().withColumn("u", line()).withColumn("v", line())
     return triangles.heights(cells, sites).select("case_id", "u", "v", F.round("z", 4).alias("z"))
+
+
+# ---- contours
+
+
+def _heights(spark, sf_dir):
+    """case_id, u, v, z: the largest order of each of 30 by 25 cells, in two cases."""
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy((F.col("o_orderkey") % 2).alias("case_id"), (F.col("o_custkey") % 30).alias("u"), (F.col("o_orderkey") % 25).alias("v")).agg(F.max("o_totalprice").alias("z"))
+
+
+HEIGHTS = "h AS (SELECT o_orderkey % 2 AS case_id, o_custkey % 30 AS u, o_orderkey % 25 AS v, max(o_totalprice) AS z FROM orders GROUP BY ALL)"
+
+
+@query(f"""WITH {HEIGHTS},
+q AS (SELECT a.case_id, a.u, a.v, a.z AS z0, b.z AS z1, c.z AS z2, d.z AS z3 FROM h a JOIN h b ON b.case_id = a.case_id AND b.u = a.u AND b.v = a.v + 1 JOIN h c ON c.case_id = a.case_id AND c.u = a.u + 1 AND c.v = a.v JOIN h d ON d.case_id = a.case_id AND d.u = a.u + 1 AND d.v = a.v + 1),
+l AS (SELECT *, unnest(range(CAST(floor(least(z0, z1, z2, z3) / 50000.0) AS BIGINT) + 1, CAST(floor(greatest(z0, z1, z2, z3) / 50000.0) AS BIGINT) + 1)) * 50000.0::DOUBLE AS level FROM q),
+e AS (SELECT *, CASE WHEN (z0 >= level) <> (z2 >= level) THEN [u + (level - z0) / (z2 - z0), v] END AS lower, CASE WHEN (z0 >= level) <> (z1 >= level) THEN [u, v + (level - z0) / (z1 - z0)] END AS first,
+ CASE WHEN (z1 >= level) <> (z3 >= level) THEN [u + (level - z1) / (z3 - z1), v + 1] END AS upper, CASE WHEN (z2 >= level) <> (z3 >= level) THEN [u + 1, v + (level - z2) / (z3 - z2)] END AS last FROM l),
+m AS (SELECT *, list_filter([lower, first, upper, last], lambda x: x IS NOT NULL) AS met, ((z0 + z1 + z2 + z3) / 4.0 >= level) = (z0 >= level) AS joined FROM e),
+s AS (SELECT case_id, level, unnest(CASE WHEN len(met) = 2 THEN [[met[1], met[2]]] WHEN joined THEN [[lower, last], [first, upper]] ELSE [[lower, first], [last, upper]] END) AS s FROM m),
+r AS (SELECT case_id, level, list_sort([[round(s[1][1], 4), round(s[1][2], 4)], [round(s[2][1], 4), round(s[2][2], 4)]]) AS s FROM s)
+SELECT case_id, level, s[1][1] AS u0, s[1][2] AS v0, s[2][1] AS u1, s[2][2] AS v1 FROM r""")
+def contour_lines(spark, sf_dir):
+    """The stretches between neighbouring vertices of each contour line, and the one that closes a closed line, are the pieces that the squares hold."""
+    lines = contours.iso_lines(_heights(spark, sf_dir), 50000.0)
+    w = Window.partitionBy("case_id", "level", "line").orderBy("seq")
+    at = F.struct(F.round("u", 4).alias("u"), F.round("v", 4).alias("v"))
+    ahead = lines.withColumn("p", at).withColumn("q", F.lead("p").over(w)).withColumn("q", F.when(F.col("q").isNull() & F.col("closed"), F.first("p").over(w)).otherwise(F.col("q"))).where("q is not null")
+    return ahead.select("case_id", "level", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).select("case_id", "level", F.col("p.u").alias("u0"), F.col("p.v").alias("v0"), F.col("q.u").alias("u1"), F.col("q.v").alias("v1"))
