@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import cut_lineage
-from .kernels import simplify, thin
+from .graph import chains, cut_lineage, simplify_paths
+from .kernels import simplify, thin, thin_once
 from .raster import offsets, smooth
+from .tiles import over_tiles
 from .triangles import heights
 
 LINES = "line_no long, seq long, x double, y double"
@@ -63,8 +64,65 @@ def _rows(lines: list[np.ndarray]) -> pd.DataFrame:
     return pd.concat(parts) if parts else pd.DataFrame({"line_no": [], "seq": [], "x": [], "y": []})
 
 
-def mask_to_lines(mask: DataFrame, group: list[str], shortest: float = 15.0, tolerance: float = 1.5) -> DataFrame:
-    """Lines of the mask cells (u, v) of each group (an image, or an image and a label pair): group, line_no, seq, x, y."""
+#: Cells of a group that one task traces; larger ones are traced in tiles.
+GROUP_CELLS = 4_000_000
+#: Rounds of thinning in one pass over tiles; each reaches two cells farther.
+ROUNDS = 8
+
+
+def thin_tiles(mask: DataFrame, group: list[str], cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """The skeleton of the mask cells (group, u, v), as kernels.thin() gives it: rounds on tiles whose margins reach as far as the rounds of a pass do, until no tile changes."""
+
+    def run(arrays: dict[str, np.ndarray], have: np.ndarray, row: dict) -> dict[str, np.ndarray]:
+        img = have
+        for _ in range(ROUNDS):
+            gone = thin_once(img)
+            img = img & ~gone
+        return {"kept": img, "late": gone}
+
+    left = mask.select(*group, "u", "v").distinct()
+    while True:
+        got = cut(over_tiles(left, group, {}, 2 * ROUNDS, run, {"kept": "boolean", "late": "boolean"}))
+        left = got.where("kept").select(*group, "u", "v")
+        if got.where("late").isEmpty():
+            return left
+
+
+def trace_tiles(mask: DataFrame, group: list[str], shortest: float = 15.0, tolerance: float = 1.5, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """As mask_to_lines(), with no group in one task: the skeleton is thinned in tiles, its cells are joined with their neighbours, and the steps between stops are chained by list ranking.
+
+    A stop (a cell with other than two neighbours) is as many nodes as it has steps, so that every node has two neighbours at most.
+    """
+    bone = cut(thin_tiles(mask, group, cut))
+    around = [(1, 0), (0, 1), (-1, 0), (0, -1), (1, 1), (1, -1), (-1, -1), (-1, 1)]
+    near = bone.select(*group, F.explode(F.array(*[F.struct((F.col("u") - i).alias("u"), (F.col("v") - j).alias("v"), F.lit(k).alias("k")) for k, (i, j) in enumerate(around)])).alias("c")).select(*group, "c.*")
+    seen = near.join(bone, [*group, "u", "v"], "left_semi").groupBy(*group, "u", "v").agg(F.collect_set("k").alias("ks"))
+    has = lambda k: F.array_contains("ks", k)
+    # a diagonal step beside a corner cell would close a triangle: the corner carries the line
+    side = {s: k for k, s in enumerate(around)}
+    steps = [has(k) if 0 in s else has(k) & ~has(side[s[0], 0]) & ~has(side[0, s[1]]) for k, s in enumerate(around)]
+    cells = seen.select(*group, "u", "v", F.filter(F.array(*[F.when(t, k) for k, t in enumerate(steps)]), lambda x: x.isNotNull()).alias("steps"))
+    cells = cut(cells.withColumn("stop", F.size("steps") != 2))
+    half, all_steps = len(around), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(side[-i, -j]).alias("back")) for i, j in around])
+    out = cells.select(*group, "u", "v", "stop", F.explode("steps").alias("k")).withColumn("s", F.element_at(all_steps, F.col("k") + 1))
+    ahead = cells.select(*group, F.col("u").alias("u2"), F.col("v").alias("v2"), F.col("stop").alias("stop2"))
+    node = lambda u, v, stop, k: F.struct(*group, F.col(u).alias("u"), F.col(v).alias("v"), F.when(F.col(stop), F.col(k)).otherwise(half).alias("k"))
+    both = out.select(*group, "u", "v", "stop", "k", F.col("s.back").alias("back"), (F.col("u") + F.col("s.i")).alias("u2"), (F.col("v") + F.col("s.j")).alias("v2"), F.sqrt((F.col("s.i") * F.col("s.i") + F.col("s.j") * F.col("s.j")).cast("double")).alias("length")).join(ahead, [*group, "u2", "v2"])
+    edges = cut(both.select(node("u", "v", "stop", "k").alias("u"), node("u2", "v2", "stop2", "back").alias("v"), "length").where("u < v"))
+    found = cut(chains(edges.select("u", "v"), cut))
+    lengths = edges.join(found.select(F.col("node").alias("u"), "chain"), "u").groupBy("chain").agg(F.sum("length").alias("length"))
+    rows = found.join(lengths.where(F.col("length") >= shortest), "chain")
+    ends = rows.where("closed and seq = 0").join(rows.groupBy("chain").agg((F.max("seq") + 1).alias("_last")), "chain").withColumn("seq", F.col("_last")).drop("_last")
+    place = (F.col("chain.u").cast("long") + (1 << 19)) * (1 << 20) + F.col("chain.v").cast("long") + (1 << 19)
+    named = rows.unionByName(ends).select(*[F.col(f"chain.{g}").alias(g) for g in group], (place * 16 + F.col("chain.k")).alias("line_no"), "seq", F.col("node.u").cast("double").alias("x"), F.col("node.v").cast("double").alias("y"))
+    if tolerance <= 0:
+        return named
+    kept = simplify_paths(named.select(F.struct(*group, "line_no").alias("line"), "seq", "x", "y"), "line", "seq", tolerance, cut=cut)
+    return kept.select(*[F.col(f"line.{g}").alias(g) for g in group], F.col("line.line_no").alias("line_no"), "seq", "x", "y")
+
+
+def mask_to_lines(mask: DataFrame, group: list[str], shortest: float = 15.0, tolerance: float = 1.5, most: int = GROUP_CELLS, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """Lines of the mask cells (u, v) of each group (an image, or an image and a label pair): group, line_no, seq, x, y. Groups of more than `most` cells are traced in tiles."""
     kinds = dict(mask.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -73,7 +131,13 @@ def mask_to_lines(mask: DataFrame, group: list[str], shortest: float = 15.0, tol
             out.insert(i, g, pdf[g].iat[0])
         return out
 
-    return mask.select(*group, "u", "v").groupBy(*group).applyInPandas(lambda pdf: run(pdf), ", ".join(f"{g} {kinds[g]}" for g in group) + ", " + LINES)
+    cells = mask.select(*group, "u", "v")
+    large = cut(cells.groupBy(*group).count().where(F.col("count") > most).select(*group))
+    if not large.isEmpty():
+        wide = trace_tiles(cells.join(large, group, "left_semi"), group, shortest, tolerance, cut)
+        cells = cells.join(large, group, "left_anti")
+    traced = cells.groupBy(*group).applyInPandas(lambda pdf: run(pdf), ", ".join(f"{g} {kinds[g]}" for g in group) + ", " + LINES)
+    return traced if large.isEmpty() else traced.unionByName(wide)
 
 
 def contacts(cells: DataFrame, label: str = "label", shortest: float = 25.0, tolerance: float = 1.5, by: Sequence[str] = ()) -> DataFrame:

@@ -17,6 +17,27 @@ def test_trace_of_a_cross_and_a_ring():
     assert abs(vector.path_length(line) - 2 * np.pi * 20) < 25 and (line[0] == line[-1]).all()
 
 
+def test_tiles_trace_what_one_task_does(spark):
+    """Thick strokes, a ring, a loop at a junction and blots, over many tiles."""
+    u, v = np.meshgrid(np.arange(400), np.arange(300), indexing="ij")
+    mask = (np.abs(np.hypot(u - 150, v - 140) - 90) < 6) | (np.abs(v - 20 - u // 9) < 9) | ((np.abs(u - 300) < 25) & (v > 60)) | (np.abs(np.hypot(u - 345, v - 150) - 30) < 3) | (np.hypot(u - 40, v - 250) < 30)
+    mask |= np.random.default_rng(1).random(mask.shape) < 0.01
+    cells = np.argwhere(mask)
+    rows = [(g, int(a) + d - 200, int(b)) for g, d in (("a", 0), ("b", 77)) for a, b in cells]
+    df = spark.createDataFrame(rows, "case_id string, u int, v int")
+    for shortest, tolerance in ((12.0, 0.0), (12.0, 1.5)):
+        got = {}
+        for r in vector.mask_to_lines(df, ["case_id"], shortest, tolerance, most=0).collect():
+            got.setdefault((r["case_id"], r["line_no"]), []).append((r["seq"], r["x"], r["y"]))
+        for g, d in (("a", 0), ("b", 77)):
+            want = vector.trace_lines(cells + (d - 200, 0), shortest, tolerance)
+            key = lambda p: min(tuple(map(tuple, p)), tuple(map(tuple, p[::-1])))
+            lines = [[p[1:] for p in sorted(x)] for (case, _), x in got.items() if case == g]
+            if tolerance == 0:
+                assert sorted(map(key, lines)) == sorted(key(p.tolist()) for p in want)
+            assert len(lines) == len(want) > 10
+
+
 def test_contacts_lie_between_their_units(spark):
     rows = vector.contacts(slice_cells(spark, 25), shortest=8.0).collect()
     labels = {(r["u"], r["v"]): r["label"] for r in slice_cells(spark, 25).collect()}
