@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.exprs import GeoRef, SectionFrame, hsv, lab
 from ..operators import builder, constraints, contours, evaluate, generate, graph, grid, lookups, raster, requests, segmentation, sequences, spatial
-from .tables import BASE, GRID, _sql_rise, dem_sql, exact_sum, ground_sql, paths, table, unit_sql, voxels_sql
+from .tables import BASE, GRID, _sql_rise, asked_voxels, dem_sql, exact_sum, ground_sql, paths, table, unit_sql, voxels_sql
 
 QUERIES, ORACLE = {}, {}
 BY = ("case_id",)
@@ -375,7 +375,7 @@ SELECT 'section_1' AS request, CAST(CASE WHEN 20.0 * (v.k + 0.5) > ground_z THEN
 UNION ALL SELECT 'slice_' || r, CAST(CASE WHEN 20.0 * (k + 0.5) > ground_z THEN -9999 ELSE lith_id END AS INTEGER), count(*) FROM v JOIN g USING (i, j) JOIN (VALUES (1, 22), (2, 32)) q(r, k) USING (k) GROUP BY ALL""")
 def request_batch(spark, sf_dir):
     names = spark.createDataFrame([(i, n) for i, n, _ in BASE.units()], "lith_id int, unit string")
-    made = requests.run_requests(grid.truth_voxels(spark, BASE), GRID, names, grid.surface(spark, BASE))
+    made = requests.run_requests(asked_voxels(spark, sf_dir), GRID, names, grid.surface(spark, BASE))
     both = made["sections"].select("request", "lith_id").unionByName(made["slices"].select("request", "lith_id"))
     return both.groupBy("request", "lith_id").agg(F.count("*").alias("n"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import contours, triangles
+from ..operators import contours, triangles, vector
 from .tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -84,3 +84,18 @@ def contour_lines(spark, sf_dir):
     at = F.struct(F.round("u", 4).alias("u"), F.round("v", 4).alias("v"))
     ahead = lines.withColumn("p", at).withColumn("q", F.lead("p").over(w)).withColumn("q", F.when(F.col("q").isNull() & F.col("closed"), F.first("p").over(w)).otherwise(F.col("q"))).where("q is not null")
     return ahead.select("case_id", "level", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).select("case_id", "level", F.col("p.u").alias("u0"), F.col("p.v").alias("v0"), F.col("q.u").alias("u1"), F.col("q.v").alias("v1"))
+
+
+# ---- traced lines
+
+
+@query("""
+WITH b AS (SELECT s_nationkey % 3 AS case_id, s_suppkey * 4 AS v, CAST(floor(s_acctbal) AS BIGINT) AS u0, CAST(floor(s_acctbal) AS BIGINT) + 20 + s_nationkey AS u1 FROM supplier)
+SELECT case_id, u0::DOUBLE AS x0, v::DOUBLE AS y0, u1::DOUBLE AS x1, v::DOUBLE AS y1 FROM b""")
+def traced_bars(spark, sf_dir):
+    """Bars of one row of cells, a supplier each, in three images; traced in tiles, each is a line between its two ends."""
+    bars = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 3).alias("case_id"), (F.col("s_suppkey") * 4).alias("v"), F.floor("s_acctbal").alias("_a"), (F.col("s_nationkey") + 20).alias("_n"))
+    mask = bars.withColumn("u", F.explode(F.sequence(F.col("_a"), F.col("_a") + F.col("_n"))))
+    lines = vector.mask_to_lines(mask, ["case_id"], 15.0, 1.5, most=0)
+    ends = lines.groupBy("case_id", "line_no").agg(F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("b"), F.count("*").alias("_n")).where("_n = 2")
+    return ends.select("case_id", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"))

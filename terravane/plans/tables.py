@@ -67,19 +67,35 @@ def dem_sql(x: str, y: str, s=BASE) -> str:
     return f"greatest({s.z_range[0] + 80.0}, least({s.z_range[1] - 40.0}, {z}))"
 
 
-def voxels_sql(s=BASE) -> str:
-    """i, j, k, lith_id, below, of the 50-cell grid."""
+def asked_voxels(spark: SparkSession, sf_dir: str, s=BASE, whole: bool = False) -> DataFrame:
+    """i, j, k, lith_id, below of the voxels of the 50-cell grid that the rows of lineitem fall into, or of their whole columns."""
+    cell = lambda c, name: (F.col(c) % 50).cast("int").alias(name)
+    asked = table(spark, sf_dir, "lineitem").select(cell("l_partkey", "i"), cell("l_suppkey", "j"), cell("l_orderkey", "k")).distinct()
+    if whole:
+        asked = asked.select("i", "j").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(49))))
+    x, y, z = (GRID.centre(a, F.col(c)) for a, c in zip("xyz", "ijk", strict=True))
+    return asked.select("i", "j", "k", s.unit_id(x, y, z).alias("lith_id"), (z <= s.dem(x, y)).alias("below"))
+
+
+def level_cells(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
+    """u, v, label: a raster of the lineitem rows in 50 by 50 cells, blocks of labels with ragged edges by the number of rows."""
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 50).cast("int").alias("u"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 50).cast("int").alias("v")).agg(F.count("*").alias("n"))
+    return rows.select("u", "v", F.expr(f"cast((u div 8 + v div 8 + (n + {shift}) % 5 div 3) % 4 as int)").alias("label"))
+
+
+def level_sql(shift: int) -> str:
+    return f"SELECT u, v, (u // 8 + v // 8 + (n + {shift}) % 5 // 3) % 4 AS label FROM (SELECT l_partkey % 50 AS u, (l_suppkey * 7 + l_linenumber) % 50 AS v, count(*) AS n FROM lineitem GROUP BY ALL)"
+
+
+def voxels_sql(s=BASE, whole: bool = False) -> str:
+    """As asked_voxels()."""
     x, y, z = "(40.0 * (i + 0.5))", "(40.0 * (j + 0.5))", "(20.0 * (k + 0.5))"
     return (
         f"SELECT i, j, k, {unit_sql(x, y, z, s)} AS lith_id, {z} <= {dem_sql(x, y, s)} AS below "
-        "FROM range(50) a(i), range(50) b(j), range(50) c(k)"
+        + ("FROM (SELECT DISTINCT l_partkey % 50 AS i, l_suppkey % 50 AS j FROM lineitem), range(50) c(k)" if whole else "FROM (SELECT DISTINCT l_partkey % 50 AS i, l_suppkey % 50 AS j, l_orderkey % 50 AS k FROM lineitem)")
     )
 
 
-def slice_sql(z_index: int) -> str:
-    return f"SELECT i AS u, j AS v, {unit_sql('(40.0 * (i + 0.5))', '(40.0 * (j + 0.5))', f'{20.0 * (z_index + 0.5)}')} AS label FROM range(50) a(i), range(50) b(j)"
-
-
 def ground_sql() -> str:
     x, y = "(i * (2000.0 / 49))", "(j * (2000.0 / 49))"
     return f"SELECT i, j, {dem_sql(x, y)} AS ground_z FROM range(50) a(i), range(50) b(j)"
