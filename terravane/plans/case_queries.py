@@ -1,7 +1,7 @@
 """Queries on map cases, constraints, requests and generators, and their SQL.
 
-The maps are made from the driver's tables: four cases of n by n cells, where n is the root of the number of parts, so they grow
-with the scale factor.
+The maps are made from the rows of part: four cases of n by n cells, where n is the root of their number; a part's key is its place, and its
+size goes into the cell's values.
 """
 
 from __future__ import annotations
@@ -34,22 +34,23 @@ def _side(spark, sf_dir) -> int:
 def _cells(spark, sf_dir):
     """case_id, u, v, gt, pred, ignore, z, guess and r, g, b of the cases."""
     n = _side(spark, sf_dir)
-    c, u, v = F.col("case_id"), F.col("u"), F.col("v")
-    placed = spark.range(4 * n * n).select(F.expr(f"cast(id div {n * n} as int)").alias("case_id"), F.expr(f"cast(id % {n} as int)").alias("u"), F.expr(f"cast(id % {n * n} div {n} as int)").alias("v"))
-    gt = (F.floor(u * 5 / n) + c + F.when(v * 2 > n, 2).otherwise(0)) % 5
+    c, u, v, place = F.col("case_id"), F.col("u"), F.col("v"), F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").where(place < n * n).withColumn("case_id", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    placed = parts.select("case_id", (place % n).cast("int").alias("u"), F.expr(f"cast(p_partkey div {n} as int)").alias("v"), F.col("p_size").cast("long").alias("size"))
+    gt = (F.floor(u * 5 / n) + c + F.when(v * 2 > n, 2).otherwise(0) + F.when(F.col("size") % 25 == 0, 1).otherwise(0)) % 5
     out = placed.withColumn("gt", gt.cast("long"))
     return out.select(
         "case_id", "u", "v", "gt", F.when((u * 31 + v * 17 + c * 7) % 23 == 0, 9).otherwise((F.col("gt") * 3 + 1) % 5).cast("long").alias("pred"), ((u + v) % 29 == 0).alias("ignore"),
-        (100.0 + u * 2.0 + v + (u * v) % 7).alias("z"), (100.0 + u * 2.0 + v).alias("guess"),
+        (100.0 + u * 2.0 + v + (u * v) % 7 + F.col("size") % 3).alias("z"), (100.0 + u * 2.0 + v).alias("guess"),
         ((u * 7 + v * 3) % 256).alias("r"), ((u * 5 + c * 40) % 256).alias("g"), ((v * 9 + 50) % 256).alias("b"),
     )
 
 
 CELLS = """n AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n FROM part),
-q AS (SELECT CAST(c AS INTEGER) AS case_id, i % n AS u, i // n AS v, n FROM n, range(4) a(c), (SELECT unnest(range(n * n)) AS i FROM n)),
-t AS (SELECT *, CAST((floor(u * 5 / n) + case_id + CASE WHEN v * 2 > n THEN 2 ELSE 0 END) % 5 AS BIGINT) AS gt FROM q),
+q AS (SELECT CAST(c AS INTEGER) AS case_id, p_partkey % n AS u, p_partkey // n AS v, n, p_size AS size FROM part, n, range(4) a(c) WHERE p_partkey < n * n),
+t AS (SELECT *, CAST((floor(u * 5 / n) + case_id + CASE WHEN v * 2 > n THEN 2 ELSE 0 END + CASE WHEN size % 25 = 0 THEN 1 ELSE 0 END) % 5 AS BIGINT) AS gt FROM q),
 c AS (SELECT case_id, CAST(u AS INTEGER) AS u, CAST(v AS INTEGER) AS v, gt, CAST(CASE WHEN (u * 31 + v * 17 + case_id * 7) % 23 = 0 THEN 9 ELSE (gt * 3 + 1) % 5 END AS BIGINT) AS pred, (u + v) % 29 = 0 AS ignore,
- 100.0::DOUBLE + u * 2.0 + v + (u * v) % 7 AS z, 100.0::DOUBLE + u * 2.0 + v AS guess, (u * 7 + v * 3) % 256 AS r, (u * 5 + case_id * 40) % 256 AS g, (v * 9 + 50) % 256 AS b FROM t)"""
+ 100.0::DOUBLE + u * 2.0 + v + (u * v) % 7 + size % 3 AS z, 100.0::DOUBLE + u * 2.0 + v AS guess, (u * 7 + v * 3) % 256 AS r, (u * 5 + case_id * 40) % 256 AS g, (v * 9 + 50) % 256 AS b FROM t)"""
 STEPS = "(VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) s(a, b)"
 
 
