@@ -1,4 +1,4 @@
-"""Queries on triangulated surfaces, contour lines, traced lines and nearest neighbours, and their SQL."""
+"""Queries on triangulated surfaces, contour lines, traced lines and array files, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import contours, triangles, vector
-from .tables import table
+from .tables import exact_sum, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -99,3 +99,19 @@ def traced_bars(spark, sf_dir):
     lines = vector.mask_to_lines(mask, ["case_id"], 15.0, 1.5, most=0)
     ends = lines.groupBy("case_id", "line_no").agg(F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("b"), F.count("*").alias("_n")).where("_n = 2")
     return ends.select("case_id", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"))
+
+
+# ---- array files
+
+
+@query("""
+WITH c AS (SELECT unnest([0, 1, 2]) AS j, unnest([l_partkey::DOUBLE, l_quantity::DOUBLE, l_extendedprice::DOUBLE]) AS value FROM lineitem)
+SELECT CAST(j AS BIGINT) AS j, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total, max(value) AS most FROM c GROUP BY j""")
+def array_files(spark, sf_dir):
+    """Columns of lineitem, written as array files by the tasks that hold them and read back in slabs."""
+    from ..operators.graph import shared_folder
+    from ..sources.arrays import read_arrays, write_arrays
+
+    folder = shared_folder(spark)
+    write_arrays(table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice"), folder)
+    return read_arrays(spark, folder).groupBy("j").agg(F.count("*").alias("n"), exact_sum("value").alias("total"), F.max("value").alias("most"))
