@@ -82,34 +82,82 @@ def nearest_values(points: DataFrame, targets: DataFrame, value: str, start: flo
     return rest if out is None else out.unionByName(rest)
 
 
-def knn(vectors: DataFrame, k: int, id_column: str, vector_column: str, group: str, block: int = 512) -> DataFrame:
+#: Pivots of a group at most, and vectors that are dealt to pivots at once.
+PIVOTS, CHUNK = 1024, 4096
+
+
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """g, id, v, p, away, b: vectors (g, id, v) with their nearest pivot and its distance, in blocks b of about `block` vectors of one pivot.
+
+    Pivots are vectors that a hash picks, one for a block but PIVOTS at most; vectors come to them in chunks, each with its group's pivots.
+    """
+    kind = dict(rows.dtypes)
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.min_by("v", F.xxhash64("id")).alias("_first"))
+    share = F.least(F.ceil(F.col("n") / block), F.lit(PIVOTS)) / F.col("n")
+    picked = rows.join(sizes.select("g", "n"), "g").where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30))
+    pivots = picked.select("g", "v").unionByName(sizes.where(F.col("n") > 0).select("g", F.col("_first").alias("v"))).groupBy("g").agg(F.collect_set("v").alias("pivots"))
+    chunks = rows.join(sizes.select("g", "n"), "g").groupBy("g", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).alias("_c")).agg(F.collect_list(F.struct("id", "v")).alias("own"))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for g, own, pivots in zip(pdf["g"], pdf["own"], pdf["pivots"], strict=True):
+                v, c = np.array([list(r["v"]) for r in own], float), np.array(sorted(map(tuple, pivots)), float)
+                far = np.maximum((v * v).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * v @ c.T, 0)
+                p = far.argmin(1)
+                yield pd.DataFrame({"g": [g] * len(v), "id": [r["id"] for r in own], "v": list(v), "p": p, "away": np.sqrt(((v - c[p]) ** 2).sum(1)), "c": list(c[p])})
+
+    dealt = chunks.join(pivots, "g").select("g", "own", "pivots").mapInPandas(near, f"g {kind['g']}, id {kind['id']}, v array<double>, p long, away double, c array<double>")
+    parts = dealt.groupBy("g", "p").agg(F.ceil(F.count("*") / block).alias("_parts"))
+    return dealt.join(parts, ["g", "p"]).withColumn("b", F.concat_ws(":", "p", F.pmod(F.xxhash64("id", F.lit(9)), F.col("_parts")).cast("string"))).drop("_parts")
+
+
+def knn(vectors: DataFrame, k: int, id_column: str, vector_column: str, group: str, block: int = 512, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """The k nearest others of each vector inside its group: id, neighbour, rank, dist2 (ties: smallest id). Rows without a vector have none and are none.
 
-    A group's vectors are dealt to blocks by hash; each block is sent to each other one, and a pair of blocks gives at most k candidates a
-    vector, so rows grow with the vectors times the blocks, never with their square, and no task holds more than two blocks.
+    A group's vectors are dealt to blocks by their nearest pivot. A block's own vectors give a bound on how far its k-th neighbours are, and by
+    the triangle inequality only blocks whose balls come within that bound meet it. A pair of blocks gives at most k candidates a vector,
+    and no task holds more than two blocks and the balls of its group.
     """
     kinds = dict(vectors.dtypes)
     rows = vectors.where(F.col(vector_column).isNotNull()).select(F.col(group).alias("g"), F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
-    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    dealt = rows.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    packed = dealt.groupBy("g", "b").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("id", "v")).alias("other"))
-    asked = packed.select("g", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
-    pairs = asked.join(packed.select("g", "b", F.col("other").alias("own")), ["g", "b"]).join(packed.select("g", F.col("b").alias("to"), "other"), ["g", "to"]).select("own", "other")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    dealt = cut(_blocks(rows, block))
+    packed = dealt.groupBy("g", "b").agg(F.first("c").alias("c"), F.max("away").alias("r"), F.collect_list(F.struct("id", "v")).alias("own"))
+    balls = packed.groupBy("g").agg(F.collect_list(F.struct("b", "c", "r")).alias("balls"))
+
+    def best(own: list, other: list) -> pd.DataFrame:
+        a, b = (np.array([list(r["v"]) for r in side], float) for side in (own, other))
+        i, j = (np.array([r["id"] for r in side]) for side in (own, other))
+        far = np.round(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0), 9)
+        far[i[:, None] == j[None]] = np.inf
+        near = np.lexsort((np.broadcast_to(j, far.shape), far), axis=1)[:, :k]
+        return pd.DataFrame({"id": np.repeat(i, near.shape[1]), "neighbour": j[near].ravel(), "dist2": np.take_along_axis(far, near, 1).ravel()})
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for g, b, c, r, own, others in zip(pdf["g"], pdf["b"], pdf["c"], pdf["r"], pdf["own"], pdf["balls"], strict=True):
+                found = best(own, own)
+                far = found.groupby("id")["dist2"].max().max() if len(own) > k else np.inf
+                reach = np.sqrt(far) + 1e-6
+                gap = np.sqrt(((np.array([list(x["c"]) for x in others]) - np.array(c)) ** 2).sum(1)) - np.array([x["r"] for x in others]) - r
+                to = [x["b"] for x, d in zip(others, gap, strict=True) if d <= reach * (1 + 1e-9) and x["b"] != b]
+                found = found[np.isfinite(found["dist2"])].assign(g=g, b=b, to=None)
+                asked = pd.DataFrame({"id": None, "neighbour": None, "dist2": None, "g": g, "b": b, "to": to})
+                yield from (x[["g", "b", "to", "id", "neighbour", "dist2"]].astype(object).where(lambda y: y.notna(), None) for x in (found, asked) if len(x))
+
+    kind, name = kinds[id_column], kinds[group]
+    started = cut(packed.join(balls, "g").mapInPandas(first, f"g {name}, b string, `to` string, id {kind}, neighbour {kind}, dist2 double"))
+    asked = started.where("`to` is not null").select("g", "b", "to")
+    pairs = asked.join(packed.select("g", "b", "own"), ["g", "b"]).join(packed.select("g", F.col("b").alias("to"), F.col("own").alias("other")), ["g", "to"]).select("own", "other")
+
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for own, other in zip(pdf["own"], pdf["other"], strict=True):
-                a, b = (np.array([list(r["v"]) for r in side], float) for side in (own, other))
-                i, j = (np.array([r["id"] for r in side]) for side in (own, other))
-                far = np.round(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0), 9)
-                far[i[:, None] == j[None]] = np.inf
-                near = np.lexsort((np.broadcast_to(j, far.shape), far), axis=1)[:, :k]
-                out = pd.DataFrame({id_column: np.repeat(i, near.shape[1]), "neighbour": j[near].ravel(), "dist2": np.take_along_axis(far, near, 1).ravel()})
+                out = best(own, other)
                 yield out[np.isfinite(out["dist2"])]
 
-    found = pairs.mapInPandas(run, f"{id_column} {kinds[id_column]}, neighbour {kinds[id_column]}, dist2 double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(id_column).orderBy("dist2", "neighbour")))
-    return ranked.where(F.col("rank") <= k).select(id_column, "neighbour", "dist2", "rank")
+    found = pairs.mapInPandas(second, f"id {kind}, neighbour {kind}, dist2 double").unionByName(started.where("`to` is null").select("id", "neighbour", "dist2"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist2", "neighbour")))
+    return ranked.where(F.col("rank") <= k).select(F.col("id").alias(id_column), "neighbour", "dist2", "rank")
 
 
 def _small(df: DataFrame, most: int) -> None:
