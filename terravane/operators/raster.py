@@ -6,9 +6,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,6 +103,42 @@ def smooth(cells: DataFrame, weights: list[float], value: str = "z", by: Sequenc
     return out
 
 
+def wide_smooth(cells: DataFrame, sigma: float, value: str = "z", mask: str | None = None, by: Sequence[str] = (), truncate: float = 4.0) -> DataFrame:
+    """by, u, v and the value averaged with Gaussian weights (cut off at truncate times sigma along each axis) over the cells of the mask (a boolean column; all cells without one), null where none is in reach.
+
+    The masked values and the mask are each convolved along rows, then along columns; their quotient is the normalised mean. A task works on whole rows as arrays, so
+    there is one shuffle an axis, and the work of a cell grows with sigma, not with its square as that of one wide stencil would.
+    """
+    reach = int(truncate * sigma + 0.5)
+    kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma)) if sigma > 0 else np.ones(1)
+    inside = F.coalesce(F.col(mask), F.lit(False)) if mask else F.lit(True)
+    use = inside & F.col(value).isNotNull()
+    out = cells.select(*by, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.when(use, F.col(value)).otherwise(0.0).cast("double").alias("_s"), use.cast("double").alias("_w"))
+
+    def along(axis: str, other: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    at, *values = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (axis, "_s", "_w"))
+                    row, places = np.zeros(at.max() - at.min() + 1), at - at.min()
+                    found = []
+                    for x in values:
+                        line = row.copy()
+                        line[places] = x
+                        found.append(pa.array(np.convolve(line, kernel)[len(kernel) // 2 :][places]))
+                    same = pa.array(np.full(len(at), i))
+                    names = {axis: pa.array(at), other: batch.column(other).take(same), "_s": found[0], "_w": found[1]}
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(same) for c in by], *names.values()], [*by, *names])
+
+        return run
+
+    for axis, other in ("uv", "vu"):
+        packed = out.groupBy(*by, other).agg(*[F.collect_list(c).alias(c) for c in (axis, "_s", "_w")])
+        schema = out.select(*by, axis, other, "_s", "_w").schema
+        out = packed.mapInArrow(along(axis, other), schema)
+    return out.select(*by, F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), F.when(F.col("_w") > 1e-12, F.col("_s") / F.col("_w")).alias(value))
+
+
 def gradient(cells: DataFrame, value: str = "z", by: Sequence[str] = ()) -> DataFrame:
     """du and dv: central differences, one-sided where a neighbour is missing, 0 where both are."""
 

@@ -20,7 +20,7 @@ from ..functions.exprs import clamp, gray, hsv, lab
 from .contours import labelled_components
 from .graph import cut_lineage
 from .kernels import average_linkage
-from .raster import RGB, nearest_fill, offsets
+from .raster import RGB, nearest_fill, offsets, wide_smooth
 from .tiles import filled, lower_median, narrowed, over_tiles, shifted, widened
 
 
@@ -169,18 +169,15 @@ def _with_lab(pixels: DataFrame) -> DataFrame:
     return pixels.select(*kept, F.struct(*RGB).alias("rgb"), *[v.alias(n) for v, n in zip(values, names, strict=True)])
 
 
-def even_light(cells: DataFrame, labels: DataFrame, tile: int, by: Sequence[str] = ("case_id",)) -> DataFrame:
-    """Cells (l, a, b, exclude) without the slow part of their lightness: each unit's own lightness taken off, the rest averaged over tiles that overlap by half, blended linearly. Maps whose light varies by two or less stay as they are."""
-    unit = labels.join(cells.select(*by, "u", "v", "l", "exclude"), [*by, "u", "v"]).where("not exclude")
-    own = unit.groupBy(*by, "label").agg(F.avg("l").alias("_own"))
-    rest = unit.join(own, [*by, "label"]).select(*by, F.floor(F.col("u") / tile).alias("tu"), F.floor(F.col("v") / tile).alias("tv"), (F.col("l") - F.col("_own")).alias("d"))
-    level = rest.groupBy(*by, "tu", "tv").agg(F.avg("d").alias("d"))
-    strong = level.groupBy(*by).agg(F.max(F.abs(F.col("d"))).alias("most")).where("most > 2").select(*by)
-    place = {c: (F.col(c) + 0.5) / tile - 0.5 for c in "uv"}
-    corner = lambda i, j: F.struct((F.floor(place["u"]) + i).alias("tu"), (F.floor(place["v"]) + j).alias("tv"), ((place["u"] - F.floor(place["u"]) if i else 1 - place["u"] + F.floor(place["u"])) * (place["v"] - F.floor(place["v"]) if j else 1 - place["v"] + F.floor(place["v"]))).alias("w"))
-    spread = cells.join(strong, list(by), "left_semi").select(*by, "u", "v", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("c")).select(*by, "u", "v", "c.*")
-    field = spread.join(level, [*by, "tu", "tv"]).groupBy(*by, "u", "v").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("_light"))
-    return cells.join(field, [*by, "u", "v"], "left").withColumn("l", clamp(F.col("l") - F.coalesce("_light", F.lit(0.0)), 0.0, 100.0)).drop("_light")
+def even_light(cells: DataFrame, labels: DataFrame, sigma: float, by: Sequence[str] = ("case_id",)) -> DataFrame:
+    """Cells (l, a, b, exclude) without the slow part of their lightness: each unit's own lightness taken off, the rest averaged with wide Gaussian weights over cells that are not excluded. Maps whose light varies by two or less stay as they are."""
+    unit = cells.select(*by, "u", "v", "l", "exclude").join(labels, [*by, "u", "v"])
+    own = unit.where("not exclude").groupBy(*by, "label").agg(F.avg("l").alias("_own"))
+    rest = unit.join(own, [*by, "label"], "left").select(*by, "u", "v", (F.col("l") - F.col("_own")).alias("_light"), (~F.col("exclude")).alias("_use"))
+    field = wide_smooth(rest, sigma, "_light", "_use", by)
+    strong = field.groupBy(*by).agg(F.max(F.abs(F.col("_light"))).alias("_most")).where("_most > 2").select(*by)
+    light = field.join(strong, list(by), "left_semi")
+    return cells.join(light, [*by, "u", "v"], "left").withColumn("l", clamp(F.col("l") - F.coalesce("_light", F.lit(0.0)), 0.0, 100.0)).drop("_light")
 
 
 #: Reach of the fill inside a tile's margin; what is farther from a label is filled by a join.
@@ -222,7 +219,7 @@ def _labelled(cells: DataFrame, params: SegmentParams, by: Sequence[str], cut: C
     return _fill(cut(done), "small", by, cut), centres
 
 
-def segment_maps(pixels: DataFrame, params: SegmentParams = SegmentParams(), tile: int = 64, legend: DataFrame | None = None, by: Sequence[str] = ("case_id",), cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> tuple[DataFrame, DataFrame]:
+def segment_maps(pixels: DataFrame, params: SegmentParams = SegmentParams(), light_sigma: float = 64.0, legend: DataFrame | None = None, by: Sequence[str] = ("case_id",), cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> tuple[DataFrame, DataFrame]:
     """Labels (by, u, v, label) and units (by, unit_id, name, n_px, l, a, b, role_guess) of pixels (by, u, v, r, g, b).
 
     Units are numbered by area, largest first; with a legend (by, unit_id, name, r, g, b) every cluster takes the nearest legend colour's number.
@@ -230,7 +227,7 @@ def segment_maps(pixels: DataFrame, params: SegmentParams = SegmentParams(), til
     cells = cut(_with_lab(cleaned(pixels, params, by)))
     if params.level_light:
         first, _ = _labelled(cells, replace(params, merge_distance=max(params.merge_distance, 14.0)), by, cut)
-        cells = cut(even_light(cells, first, tile, by))
+        cells = cut(even_light(cells, first, light_sigma, by))
     labels, centres = _labelled(cells, params, by, cut)
     labels = cut(labels)
     colours = centres.select(*by, F.explode("centres").alias("c")).select(*by, F.col("c.id").alias("label"), "c.l", "c.a", "c.b")

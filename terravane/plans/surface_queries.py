@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import contours, triangles, vector
+from ..operators import contours, raster, triangles, vector
 from .tables import exact_sum, table
 
 QUERIES, ORACLE = {}, {}
@@ -115,3 +115,16 @@ def array_files(spark, sf_dir):
     folder = shared_folder(spark)
     write_arrays(table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice"), folder)
     return read_arrays(spark, folder).groupBy("j").agg(F.count("*").alias("n"), exact_sum("value").alias("total"), F.max("value").alias("most"))
+
+
+# ---- wide smoothing
+
+
+@query(f"""WITH {HEIGHTS}, b AS (SELECT case_id, u, v, CASE WHEN (u + v) % 3 > 0 THEN z / 1000.0 ELSE 0.0 END AS s, CASE WHEN (u + v) % 3 > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS w FROM h),
+r AS (SELECT a.case_id, a.u, a.v, sum(b.s * exp(-(a.u - b.u) * (a.u - b.u) / 18.0)) AS s, sum(b.w * exp(-(a.u - b.u) * (a.u - b.u) / 18.0)) AS w FROM b a JOIN b ON b.case_id = a.case_id AND b.v = a.v AND abs(a.u - b.u) <= 12 GROUP BY ALL),
+c AS (SELECT a.case_id, a.u, a.v, sum(b.s * exp(-(a.v - b.v) * (a.v - b.v) / 18.0)) AS s, sum(b.w * exp(-(a.v - b.v) * (a.v - b.v) / 18.0)) AS w FROM r a JOIN r b ON b.case_id = a.case_id AND b.u = a.u AND abs(a.v - b.v) <= 12 GROUP BY ALL)
+SELECT case_id, CAST(u AS INTEGER) AS u, CAST(v AS INTEGER) AS v, CASE WHEN w > 1e-12 THEN round(s / w, 4) END AS z FROM c""")
+def masked_smoothing(spark, sf_dir):
+    """Heights of two thirds of the cells, averaged with Gaussian weights over all cells."""
+    cells = _heights(spark, sf_dir).select("case_id", "u", "v", (F.col("z") / 1000.0).alias("z"), ((F.col("u") + F.col("v")) % 3 > 0).alias("use"))
+    return raster.wide_smooth(cells, 3.0, "z", "use", ("case_id",)).select("case_id", "u", "v", F.round("z", 4).alias("z"))

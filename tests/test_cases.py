@@ -113,7 +113,7 @@ def test_segmentation_of_two_maps(spark):
     two = cells.select(F.lit("b").alias("case_id"), "u", "v", *[F.when(F.col("v") < 10, x).when(F.col("v") < 30, y).otherwise(z).alias(c) for c, x, y, z in (("r", 60, 240, 170), ("g", 120, 220, 120), ("b", 220, 170, 90))])
     line = (F.col("u") == 24) | ((F.col("u") == 5) & (F.col("v") == 5))
     pixels = one.unionByName(two).select("case_id", "u", "v", *[F.when(line & (F.col("case_id") == "a"), 15).otherwise(F.col(c)).alias(c) for c in "rgb"])
-    labels, units = segmentation.segment_maps(pixels, segmentation.SegmentParams(min_region=30), tile=16)
+    labels, units = segmentation.segment_maps(pixels, segmentation.SegmentParams(min_region=30), light_sigma=16.0)
     found = {(r["case_id"], r["unit_id"]): r for r in units.collect()}
     # the lake and the unit below it are of one size, so either may come first
     assert sorted((c, v["role_guess"], round(v["n_px"], -2)) for (c, _), v in found.items()) == [("a", "strata", 1000), ("a", "strata", 1000), ("b", "strata", 500), ("b", "strata", 1000), ("b", "water", 500)]

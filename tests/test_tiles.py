@@ -73,3 +73,19 @@ def test_water_of_arrays_is_that_of_columns(spark):
     df = spark.createDataFrame([tuple(map(int, c)) for c in rgb], "r int, g int, b int")
     want = [r[0] for r in df.select(segmentation.is_water(F.col("r"), F.col("g"), F.col("b"))).collect()]
     assert segmentation.water_mask(*rgb.T.astype(float)).tolist() == want and 50 < sum(want) < 1950
+
+
+def test_wide_smoothing_is_the_masked_gaussian_mean(spark):
+    rng = np.random.default_rng(7)
+    u, v = np.meshgrid(np.arange(90), np.arange(70), indexing="ij")
+    z, use = 10 + 0.05 * u + 2 * np.sin(v / 15) + rng.normal(0, 0.1, u.shape), rng.random(u.shape) < 0.8
+    use[:30, :40] = False  # a wide hole in the mask
+    rows = [("a", int(a) - 5, int(b), float(z[a, b]), bool(use[a, b]), "clash") for a, b in np.ndindex(*u.shape)]
+    rows += [("b", 0, 0, 1.0, False, ""), ("b", 3, 0, None, True, ""), ("c", 7, 7, 2.5, True, "")]
+    df = spark.createDataFrame(rows, "case_id string, u int, v int, z double, use boolean, other string")
+    got = {(r["case_id"], r["u"], r["v"]): r["z"] for r in raster.wide_smooth(df, 12.0, "z", "use", BY).collect()}
+    weight = np.exp(-((np.arange(90)[:, None] - np.arange(90)) ** 2) / (2 * 12.0**2))
+    total, norm = (weight @ np.where(use, x, 0.0) @ weight[:70, :70] for x in (z, np.ones_like(z)))
+    want = total / norm
+    assert len(got) == len(rows) and got["b", 0, 0] is got["b", 3, 0] is None and got["c", 7, 7] == 2.5
+    assert max(abs(got["a", a - 5, b] / want[a, b] - 1) for a, b in np.ndindex(*u.shape)) < 0.001
