@@ -191,7 +191,9 @@ def learn(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     if not labels:
         return fit([], Sample(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, int)), np.zeros(0, int))
     quota = max(LEAST_ROWS, max_rows // labels)
-    nth = narrow.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where(F.col("k") <= quota).select("y", "h")
+    least = lambda rows, *keys: rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("k") <= quota).drop("k")
+    # of parts of a label first, so that no task gets all rows of one
+    nth = least(least(narrow.withColumn("part", F.pmod("h", F.lit(64))), "y", "part"), "y").select("y", "h")
     nth = F.broadcast(nth) if quota * labels <= 100_000 else nth
     picked = hashed.join(nth, ["y", "h"]).groupBy("y", "h").agg(F.first("t").alias("t"))
 
