@@ -274,6 +274,28 @@ def _sample(labels: DataFrame, id_column: str, label_column: str, most: int) ->
     return kind(1, toxic).unionByName(kind(0, most - toxic)), sizes
 
 
+def calibrate(x: np.ndarray, y: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Coefficients of a logistic regression of y (0 or 1) on the columns of x (the first is 1) with weights part: Newton steps, halved until the loss falls. Slopes are not negative."""
+    ridge = np.array([1e-3, *[0.1] * (x.shape[1] - 1)])
+    loss = lambda b: (part * (np.logaddexp(0, x @ b) - y * (x @ b))).sum() + 0.5 * (ridge * b * b).sum()
+    inside = lambda b: np.concatenate([b[:1], np.maximum(b[1:], 0)])
+    b = np.zeros(x.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))
+        slope, bend = x.T @ (part * (p - y)) + ridge * b, (x * (part * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        free = np.flatnonzero((b > 0) | (slope < 0) | (np.arange(len(b)) == 0))  # a slope at 0 that would fall stays
+        step = np.zeros_like(b)
+        step[free] = np.linalg.solve(bend[np.ix_(free, free)], slope[free])
+        size, now = 1.0, loss(b)
+        while size > 1e-9 and loss(inside(b - size * step)) > now:
+            size /= 2
+        fresh = inside(b - size * step)
+        if now - loss(fresh) <= 1e-9 * abs(now):
+            break
+        b = fresh
+    return b
+
+
 def learn(docs: DataFrame, labels: DataFrame, chars: Characters, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """Learns from the documents of at most max_rows labelled ids."""
     picked, sizes = _sample(labels, id_column, label_column, max_rows)
@@ -330,13 +352,7 @@ def learn(docs: DataFrame, labels: DataFrame, chars: Characters, id_column: str
     y = np.array([r["y"] for r in bins] or [0], float)
     # kinds weigh as they do in all labels
     part = np.array([r["count"] * sizes[r["y"]] / sum(sizes.values()) / held[r["y"]] for r in bins] or [1.0]) * max(1, sum(held))
-    b = np.zeros(3)
-    for _ in range(60):  # Newton steps
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (part * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag([1e-3, 0.1, 0.1])
-        step = np.linalg.solve(h, x.T @ (part * (y - p)) - np.array([1e-3, 0.1, 0.1]) * b)
-        b = b + np.clip(step, -1, 1)
-        b[1:] = np.maximum(b[1:], 0)
+    b = calibrate(x, y, part)
     return Model(chars, {i: w for i, w in zip(k.tolist(), weights.tolist(), strict=True) if w > FLOOR}, float(b[0]), (float(b[1]), float(b[2])))
 
 

@@ -89,6 +89,21 @@ def test_hidden_words_count_as_plain_ones(spark):
     assert got[900]["score"] == got[901]["score"] < 0.5
 
 
+def test_the_regression_reaches_its_optimum():
+    """Also where the kinds are far apart, one is rare, and the columns go together."""
+    rng = np.random.default_rng(1)
+    for gap in (1.0, 6.0):
+        y = (rng.random(4000) < 0.1).astype(float)
+        most = np.maximum(rng.normal(0.3, 0.5, 4000) + gap * y, 0).round(2)
+        x = np.stack([np.ones(4000), most, most * (1 + 3 * y * rng.random(4000))], 1)
+        b = tx.calibrate(x, y, np.ones(4000))
+        p = 1 / (1 + np.exp(-x @ b))
+        assert (b[1:] >= 0).all() and abs(p.mean() - y.mean()) < 0.002
+        if gap > 5:
+            assert ((p > 0.5) == (y > 0)).mean() > 0.999
+    assert tx.calibrate(np.ones((4, 3)), np.array([0.0, 0, 0, 1]), np.ones(4))[0] < 0
+
+
 def test_one_kind_no_label_and_empty_tables(spark, chars):
     docs = frame(spark, [(1, "river"), (2, "mill")])
     labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")
