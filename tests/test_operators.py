@@ -177,6 +177,13 @@ def test_distance_join_is_an_equi_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_distance_join_broadcasts_no_side(spark, tmp_path):
+    # a file of few bytes whose rows fill a driver once they stand in nine cells
+    spark.range(200_000).select("id", (F.col("id") % 50).cast("double").alias("x"), (F.col("id") % 997).cast("double").alias("y")).write.parquet(f"{tmp_path}/points")
+    points = spark.read.parquet(f"{tmp_path}/points")
+    assert "BroadcastHashJoin" not in spatial.pairs_within(points, 2.0, "id")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_thickness_and_fault_points(spark):
     points = spark.createDataFrame([(i, float(i), 0.0, 100.0 + i, "K1") for i in range(5)], "seq long, x double, y double, z double, formation string")
     assert [r["z"] for r in constraints.thickness_prior(points, "P1", "K1", 50.0, 10.0).orderBy("seq").collect()] == [50.0, 52.0, 54.0]
