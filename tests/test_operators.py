@@ -184,6 +184,20 @@ def test_distance_join_broadcasts_no_side(spark, tmp_path):
     assert "BroadcastHashJoin" not in spatial.pairs_within(points, 2.0, "id")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nearest_of_dense_targets(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    left, right = rng.uniform(0, 40, (300, 2)), np.vstack([rng.uniform(0, 30, (600, 2)), rng.uniform(0, 44, (20, 2))])
+    right = np.vstack([right, right[:50]])  # copies with larger ids
+    monkeypatch.setattr(spatial, "CELL_TARGETS", 8)
+    joined, whole = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *a, **k: joined.append(whole(*a, **k)) or joined[-1])
+    frame = lambda xy, name: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xy)], f"{name} long, x double, y double")
+    got = {r["a"]: (r["b"], round(r["dist"], 9)) for r in spatial.nearest_within(frame(left, "a"), frame(right, "b"), 10.0, "a", "b").collect()}
+    away = np.sqrt(((left[:, None] - right[None]) ** 2).sum(2))
+    assert got == {i: (int(d.argmin()), round(float(d.min()), 9)) for i, d in enumerate(away) if d.min() <= 10.0}
+    assert len(joined) > 1 and sum(j.count() for j in joined) < (away <= 10.0).sum() / 4
+
+
 def test_thickness_and_fault_points(spark):
     points = spark.createDataFrame([(i, float(i), 0.0, 100.0 + i, "K1") for i in range(5)], "seq long, x double, y double, z double, formation string")
     assert [r["z"] for r in constraints.thickness_prior(points, "P1", "K1", 50.0, 10.0).orderBy("seq").collect()] == [50.0, 52.0, 54.0]
