@@ -94,6 +94,35 @@ def test_dots_link_on_both_sides_whatever_their_way(spark):
     assert {(r["u"], r["v"]) for r in links.collect()} == {(k, k + 1) for k in range(5)}
 
 
+def test_links_of_many_dashes_at_few_places(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    marks = []
+    for k in range(500):
+        x, y = map(float, rng.choice([0.0, 7.0, 15.0, 24.0, 26.0], 2))
+        a = rng.uniform(0, 2 * math.pi)
+        marks.append((k % 2, k, x, y, *((0.0, 0.0) if k % 9 == 0 else (math.cos(a), math.sin(a)))))
+    best = set()
+    for case, a, x, y, dx, dy in marks:
+        near = []
+        for other, b, u, v, ex, ey in marks:
+            d = math.sqrt((u - x) * (u - x) + (v - y) * (v - y))
+            if other == case and 0 < d <= 18.0:
+                wx, wy = (u - x) / d, (v - y) / d
+                if all((p, q) == (0, 0) or abs(wx * p + wy * q) >= math.cos(math.radians(42.0)) for p, q in ((dx, dy), (ex, ey))):
+                    near.append((d, b, wx, wy))
+        near.sort()
+        if (dx, dy) == (0, 0):
+            sides = [near[:1], [n for n in near if n[2] * near[0][2] + n[3] * near[0][3] < -0.17]]
+        else:
+            sides = [[n for n in near if (n[2] * dx + n[3] * dy >= 0) == front] for front in (True, False)]
+        best |= {(a, side[0][1]) for side in sides if side}
+    joined, whole = [], contours.within
+    monkeypatch.setattr(contours, "within", lambda *a, **k: joined.append(whole(*a, **k)) or joined[-1])
+    links = contours.link_dashes(spark.createDataFrame(marks, "case_id int, component long, x double, y double, dx double, dy double"))
+    assert {(r["u"], r["v"]) for r in links.collect()} == {(a, b) for a, b in best if a < b and (b, a) in best}
+    assert sum(j.count() for j in joined) <= 2 * 25 * 25
+
+
 def test_lines_run_on_over_gaps():
     wavy = [np.array([[x, 3 * math.sin(x / 20)] for x in range(a, b, 4)]) for a, b in ((0, 60), (70, 130), (140, 200))]
     across = np.array([[64.0, 8.0], [64.0, 60.0]])
