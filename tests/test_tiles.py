@@ -89,3 +89,32 @@ def test_wide_smoothing_is_the_masked_gaussian_mean(spark):
     want = total / norm
     assert len(got) == len(rows) and got["b", 0, 0] is got["b", 3, 0] is None and got["c", 7, 7] == 2.5
     assert max(abs(got["a", a - 5, b] / want[a, b] - 1) for a, b in np.ndindex(*u.shape)) < 0.001
+
+
+def test_smoothing_and_median_hold_no_task_s_cells(spark):
+    rng = np.random.default_rng(6)
+    rows = [(c, u, v, None if rng.random() < 0.2 else float(rng.normal()), None if rng.random() < 0.2 else int(rng.integers(0, 9))) for c in "ab" for u in range(-20, 3) for v in range(120, 135) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "case_id string, u int, v int, z double, k int")
+    weights = [1.0, 0.5, 0.25]
+    now = {r[:3]: r[3] for r in rows}
+    for axis in (0, 1):
+        then = {}
+        for c, *at in now:
+            near = [((c, at[0] + d * (axis == 0), at[1] + d * (axis == 1)), weights[abs(d)]) for d in range(-2, 3)]
+            known = [w * now[p] for p, w in near if now.get(p) is not None]
+            then[c, *at] = sum(known) / sum(w for p, w in near if p in now) if known else None
+        now = then
+    smoothed = raster.smooth(df, weights, "z", BY)
+    got = {(r["case_id"], r["u"], r["v"]): r["z"] for r in smoothed.collect()}
+    assert got.keys() == now.keys() and all(got[p] == pytest.approx(now[p]) for p in now)
+    kinds = {r[:3]: r[4] for r in rows}
+    want = {}
+    for c, u, v in kinds:
+        near = sorted(k for i in (-1, 0, 1) for j in (-1, 0, 1) if (k := kinds.get((c, u + i, v + j))) is not None)
+        want[c, u, v] = near[(len(near) - 1) // 2] if near else None
+    median = raster.median_filter(df, 1, "k", BY)
+    assert {(r["case_id"], r["u"], r["v"]): r["k"] for r in median.collect()} == want
+    words = raster.median_filter(df.withColumn("k", F.col("k").cast("string")), 1, "k", BY)
+    assert {(r["case_id"], r["u"], r["v"]): r["k"] and int(r["k"]) for r in words.collect()} == want
+    for out in (smoothed, median):  # cells move before anything is added up
+        assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString().rpartition("Exchange")[2].partition("Initial Plan")[0]
