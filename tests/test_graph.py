@@ -76,3 +76,16 @@ def test_spaced_best_is_what_one_by_one_gives(spark, k, gap):
     df = spark.createDataFrame(rows, "g string, id long, x double, y double, score double")
     got = sorted(tuple(r) for r in constraints.spaced_best(df, "g", k, gap, "id").select("g", "id", "x", "y", "score", "rank").collect())
     assert got == sorted(sum((one_by_one([r for r in rows if r[0] == g], k, gap) for g in "abcd"), []))
+
+
+def test_vertices_of_short_paths_stay_arrays(spark):
+    rows = [(p, k, float(k), float((k * 7 + p) % 5)) for p in range(300) for k in range(p % 7 + 1)]
+    kept = graph.simplify_paths(spark.createDataFrame(rows, "line long, seq long, x double, y double").repartition(3), "line", "seq", 1.0)
+    got, want = {}, {}
+    for r in kept.collect():
+        got.setdefault(r["line"], set()).add((r["seq"], r["x"], r["y"]))
+    for p in range(300):
+        own = np.array([r[2:] for r in rows if r[0] == p])
+        want[p] = {(int(k), *own[k]) for k in kernels.simplify(own, 1.0)}
+    assert got == want
+    assert "MapInPandas" not in kept._jdf.queryExecution().executedPlan().toString()
