@@ -160,7 +160,7 @@ def triangulate(points: DataFrame, by: Sequence[str] = ("case_id",), cut: Callab
     """
     kinds = dict(points.dtypes)
     rows = points.dropna(subset=["x", "y", "z"]).groupBy(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("id").alias("id"), F.avg("z").alias("z"))
-    about = rows.groupBy(*by).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.sqrt(F.greatest((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")), F.lit(1e-12)) / F.count("*") * TILE_POINTS).alias("side"))
+    about = cut(rows.groupBy(*by).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.sqrt(F.greatest((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")), F.lit(1e-12)) / F.count("*") * TILE_POINTS).alias("side")))
     placed = rows.join(about, list(by)).select(*by, "id", "x", "y", "z", *_nudged(F.col("x"), F.col("y")), "x0", "y0", "side", F.floor((F.col("x") - F.col("x0")) / F.col("side")).alias("tu"), F.floor((F.col("y") - F.col("y0")) / F.col("side")).alias("tv"))
     placed = cut(placed)
     hulls = cut(_hulls(placed, by))
@@ -170,20 +170,22 @@ def triangulate(points: DataFrame, by: Sequence[str] = ("case_id",), cut: Callab
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], f"open {kinds['id']}", *[f"{c} {vertex}" for c in "abc"]])
     tile = [*by, "tu", "tv"]
 
-    def run(pdf: pd.DataFrame, reach: int) -> pd.DataFrame:
-        tu, tv, side, x0, y0 = (pdf[c].iat[0] for c in ("_tu", "_tv", "side", "x0", "y0"))
+    def run(pdf: pd.DataFrame, frame: pd.DataFrame, reach: int) -> pd.DataFrame:
+        tu, tv, side, x0, y0 = (frame[c].iat[0] for c in ("_tu", "_tv", "side", "x0", "y0"))
         seen = (x0 + (tu - reach) * side + NUDGE, x0 + (tu + reach + 1) * side - NUDGE, y0 + (tv - reach) * side + NUDGE, y0 + (tv + reach + 1) * side - NUDGE)
-        around = Surroundings(pdf[["px", "py"]].to_numpy(), seen, np.array([list(p) for p in pdf["hull"].iat[0]]))
-        places = list(zip(pdf["px"], pdf["py"], strict=True))
-        corner = [{"id": i, "x": x, "y": y, "z": z} for i, x, y, z in zip(pdf["id"].tolist(), pdf["x"].tolist(), pdf["y"].tolist(), pdf["z"].tolist(), strict=True)]
+        xy = pdf[["px", "py"]].to_numpy()
+        around = Surroundings(xy, seen, np.array([list(p) for p in frame["hull"].iat[0]]))
+        place = lambda k: (xy[k, 0], xy[k, 1])
+        ids, x, y, z = (pdf[c].to_numpy() for c in ("id", "x", "y", "z"))
+        corner = lambda k: {"id": ids[k].item() if isinstance(ids[k], np.generic) else ids[k], "x": float(x[k]), "y": float(y[k]), "z": float(z[k])}
         doubt, found = [], []
         for i in np.flatnonzero(pdf["asked"].to_numpy()):
             fan = around.fan(int(i))
             if fan is None:
-                doubt.append(corner[i]["id"])
+                doubt.append(corner(i)["id"])
             else:  # a triangle is given by the first of its corners
-                found += [sorted((corner[k] for k in t), key=lambda c: c["id"]) for t in fan if places[i] == min(places[k] for k in t)]
-        columns = {**{c: [pdf[c].iat[0]] * (len(doubt) + len(found)) for c in by}, "open": doubt + [None] * len(found)}
+                found += [sorted((corner(k) for k in t), key=lambda c: c["id"]) for t in fan if place(i) == min(place(k) for k in t)]
+        columns = {**{c: [frame[c].iat[0]] * (len(doubt) + len(found)) for c in by}, "open": doubt + [None] * len(found)}
         columns |= {c: [None] * len(doubt) + [t[n] for t in found] for n, c in enumerate("abc")}
         return pd.DataFrame(columns, dtype=object)
 
@@ -193,8 +195,12 @@ def triangulate(points: DataFrame, by: Sequence[str] = ("case_id",), cut: Callab
         span = F.sequence(F.lit(-reach), F.lit(reach))
         wide = tiles.withColumn("tu", F.explode(F.transform(span, lambda d: F.col("_tu") + d))).withColumn("tv", F.explode(F.transform(span, lambda d: F.col("_tv") + d)))
         given = placed.join(asked.select(*by, "id", F.lit(True).alias("asked")), [*by, "id"], "left") if reach > 1 else placed.withColumn("asked", F.lit(True))
-        near = wide.join(given, tile).join(hulls, list(by)).withColumn("asked", F.coalesce("asked", F.lit(False)) & (F.col("tu") == F.col("_tu")) & (F.col("tv") == F.col("_tv")))
-        got = cut(near.groupBy(*by, "_tu", "_tv").applyInPandas((lambda r: lambda pdf: run(pdf, r))(reach), schema))
+        near = wide.join(given.drop("x0", "y0", "side"), tile).withColumn("asked", F.coalesce("asked", F.lit(False)) & (F.col("tu") == F.col("_tu")) & (F.col("tv") == F.col("_tv")))
+        # a tile's frame and the hull come once beside its points, not on each of them
+        frames = tiles.drop("tu", "tv").join(about, list(by)).join(hulls, list(by))
+        frames = frames.select(*[F.col(c).alias(c) for c in frames.columns])
+        keys = [*by, "_tu", "_tv"]
+        got = cut(near.groupBy(*keys).cogroup(frames.groupBy(*keys)).applyInPandas((lambda r: lambda pdf, frame: run(pdf, frame, r))(reach), schema))
         done = got.where("open is null").select(*by, "a", "b", "c")
         out = done if out is None else out.unionByName(done)
         doubt = got.where("open is not null").select(*by, F.col("open").alias("id"))

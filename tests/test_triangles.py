@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from terravane.operators import triangles as tri
+from terravane.operators.graph import cut_lineage
 
 
 def empty_circles(xy):
@@ -72,3 +73,15 @@ def test_heights_are_linear_inside_and_nearest_outside(spark):
 def test_no_points(spark):
     df = spark.createDataFrame([], "case_id string, id long, x double, y double, z double")
     assert tri.triangulate(df).collect() == []
+
+
+def test_the_hull_comes_once_to_a_tile(spark):
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(df)
+
+    points = spark.createDataFrame([(0, k, float(k * 37 % 101), float(k * 61 % 103), 1.0) for k in range(40)], "case_id int, id long, x double, y double, z double")
+    assert tri.triangulate(points, cut=cut).count() > 40
+    assert any("FlatMapCoGroups" in p for p in plans)
