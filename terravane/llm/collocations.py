@@ -84,23 +84,41 @@ class Shard:
     def levels(self) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]], int]:
         """The words in byte order, (keys, counts) of each level, and the base of keys: a phrase is its words' places as digits."""
         words = sorted(self.numbers)
-        place = np.empty(len(words), np.int64)
+        place = np.empty(len(words), np.int32)
         place[[self.numbers[w] for w in words]] = np.arange(len(words))
         ids = place[np.concatenate(self.runs)]
+        self.runs = []  # a shard is counted once, and its numbers take as much as all its words
         end, base = len(words) - 1, len(words)  # no word comes after the end of a piece
         inside = ids != end
-        one = inside.copy()
-        one[: self.before] = False
+        one = np.bincount(ids[self.before :], minlength=base)[:end]
+        first = np.flatnonzero(one), one[one > 0]
+
+        def pairs(which: np.ndarray) -> np.ndarray:
+            out = ids[: len(which)][which].astype(np.int64)
+            out *= base
+            out += ids[1 : len(which) + 1][which]
+            return out
+
         two = inside[:-1] & inside[1:]
         two[: max(0, self.before - 1)] = False
-        pairs = ids[:-1] * base + ids[1:]
+        second = _counted(pairs(two))
         three = inside[:-2] & inside[1:-1] & inside[2:]
-        first = np.unique(ids[one], return_counts=True)
-        second = np.unique(pairs[two], return_counts=True)
-        known = np.unique(pairs[:-1][three])
+        known = _counted(pairs(three))[0]
         # a triple's first digits are the place of its pair, so that three words never pass 64 bits
-        third = np.unique(np.searchsorted(known, pairs[:-1][three]) * base + ids[2:][three], return_counts=True)
-        return words[:-1], [first, second, (third[0], third[1], known)], base
+        third = np.searchsorted(known, pairs(three))
+        third *= base
+        third += ids[2:][three]
+        del ids
+        return words[:-1], [first, second, (*_counted(third), known)], base
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their counts; sorts the keys where they stand."""
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    start = np.flatnonzero(new)
+    return keys[start], np.diff(start, append=len(keys))
 
 
 def parts(shard: Shard, lang: str, borders: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple]:
@@ -121,7 +139,7 @@ def parts(shard: Shard, lang: str, borders: list[tuple[bytes, bytes, bytes]]) ->
             at = np.searchsorted(pair3[a3:b3], i * base + j)
             if same:
                 stop = np.searchsorted(pair3[a3:b3], i * base + j + 1)
-                at += np.searchsorted((k3 % base)[a3:b3][at:stop], bisect_left(words, y))
+                at += np.searchsorted(k3[a3:b3][at:stop] % base, bisect_left(words, y))
             r3[a3 + at : b3] += 1
     for r in np.unique(np.concatenate([r1, r2, r3])):
         s1, s2, s3 = (slice(*np.searchsorted(x, [r, r + 1])) for x in (r1, r2, r3))

@@ -104,3 +104,14 @@ def test_scores_pass_64_bits(spark):
 def test_rank_ties_go_by_bytes(spark):
     rows = [(f"{w}1 {w}2. " * 10, "en") for w in ("b", "é", "a", "日", "Z")]
     assert [r[2] for r in sorted(same(spark, rows), key=lambda r: r[1])] == ["a1 a2", "b1 b2", "z1 z2", "é1 é2", "日1 日2"]
+
+
+def test_a_shard_gives_up_its_words_when_it_is_counted():
+    shard = co.Shard((b"a", b"b"))
+    shard.add([b"c", b"a", b"b", b"c", b"\xff", b"a"])
+    words, levels, base = shard.levels()
+    assert shard.runs == [] and words == [b"a", b"b", b"c"] and base == 4
+    (k1, n1), (k2, n2), (k3, n3, known) = levels
+    assert dict(zip(k1.tolist(), n1.tolist(), strict=True)) == {0: 2, 1: 1, 2: 2}
+    assert dict(zip(k2.tolist(), n2.tolist(), strict=True)) == {1: 1, 1 * 4 + 2: 2, 2 * 4: 1}
+    assert sorted((known[k // 4].item(), k % 4, n) for k, n in zip(k3.tolist(), n3.tolist(), strict=True)) == [(1, 2, 2), (6, 0, 1), (8, 1, 1)]
