@@ -45,8 +45,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text (little-endian unsigned 32-bit integers), and digests of the ids and of the decoded bytes."""
     vocabulary = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    decoded = bpe.decode_bpe(bpe.encode_bpe(docs, vocabulary, public_tokenizers.PATTERN), vocabulary)
-    return bpe.digest(decoded, keep=("token_ids",))
+    return bpe.digest(bpe.round_trip(docs, vocabulary, public_tokenizers.PATTERN), keep=("token_ids",))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("benchmark_leaks", benchmark_leaks), ("tokens", tokens)]

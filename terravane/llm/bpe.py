@@ -13,12 +13,13 @@ pieces of any length are handled in linear time.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,38 +137,57 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.find(text))) if text else b""
 
 
-def encode_bpe(df: DataFrame, tokens: list[bytes], pattern: str, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_column, the kept columns, and token_ids: binary, ids as little-endian unsigned 32-bit integers."""
-    shared = df.sparkSession.sparkContext.broadcast(tokens)
-    rows = df.select(id_column, *keep, F.col(text_column).alias("_text"))
-    schema = rows.select(id_column, *keep, F.lit(b"").alias("token_ids")).schema
+def _encoding(shared: Broadcast, pattern: str, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Replaces the last column, a text, by its packed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, pattern)  # one a task: it takes half a second to make, and its memos go with the task
         encode = encoder.encode
         for part in slices(batches, "_text"):
             ids = pa.array([encode(t) for t in part.column("_text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names)
         encoder.clear()
         encoder.compatible.cache_clear()
 
-    return in_arrow(rows, run, schema)
+    return run
 
 
-def decode_bpe(df: DataFrame, tokens: list[bytes], ids_column: str = "token_ids", out_column: str = "decoded") -> DataFrame:
-    """Adds out_column: the bytes that the ids stand for. Unknown ids raise an error."""
-    shared = df.sparkSession.sparkContext.broadcast(tokens)
-    rows = df.select(*[c for c in df.columns if c != out_column])
-    schema = rows.select("*", F.lit(b"").alias(out_column)).schema
+def _decoding(shared: Broadcast, ids_column: str, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds a column: the bytes that packed ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.__getitem__
         for part in slices(batches, ids_column):
             ids = part.column(ids_column).to_pylist()
             data = pa.array([b"".join(map(get, memoryview(x).cast("I"))) if x else b"" for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns, data], schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns, data], names)
+
+    return run
+
+
+def encode_bpe(df: DataFrame, tokens: list[bytes], pattern: str, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id_column, the kept columns, and token_ids: binary, ids as little-endian unsigned 32-bit integers."""
+    shared = df.sparkSession.sparkContext.broadcast(tokens)
+    rows = df.select(id_column, *keep, F.col(text_column).alias("_text"))
+    schema = rows.select(id_column, *keep, F.lit(b"").alias("token_ids")).schema
+    return in_arrow(rows, _encoding(shared, pattern, schema.names), schema)
+
+
+def decode_bpe(df: DataFrame, tokens: list[bytes], ids_column: str = "token_ids", out_column: str = "decoded") -> DataFrame:
+    """Adds out_column: the bytes that the ids stand for. Unknown ids raise an error."""
+    shared = df.sparkSession.sparkContext.broadcast(tokens)
+    rows = df.select(*[c for c in df.columns if c != out_column])
+    schema = rows.select("*", F.lit(b"").alias(out_column)).schema
+    return in_arrow(rows, _decoding(shared, ids_column, schema.names), schema)
 
-    return in_arrow(rows, run, schema)
+
+def round_trip(df: DataFrame, tokens: list[bytes], pattern: str, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """As decode_bpe() of encode_bpe(), both by one worker a task: two would stay beside each other, and with them their memory, for the jobs after this one too."""
+    shared = df.sparkSession.sparkContext.broadcast(tokens)
+    rows = df.select(id_column, *keep, F.col(text_column).alias("_text"))
+    schema = rows.select(id_column, *keep, F.lit(b"").alias("token_ids"), F.lit(b"").alias("decoded")).schema
+    encode, decode = _encoding(shared, pattern, schema.names[:-1]), _decoding(shared, "token_ids", schema.names)
+    return in_arrow(rows, lambda batches: decode(encode(batches)), schema)
 
 
 def digest(decoded: DataFrame, id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

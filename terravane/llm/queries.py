@@ -13,8 +13,7 @@ from .common import crc_mod, table
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    ids = bpe.encode_bpe(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
-    return bpe.digest(bpe.decode_bpe(ids, tokens))
+    return bpe.digest(bpe.round_trip(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN))
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,18 @@ def test_bpe_query_and_round_trip(spark, tokens, library):
     assert bpe.encode_bpe(docs_of(spark).where("false"), tokens, public_tokenizers.PATTERN).count() == 0
 
 
+def test_round_trip_is_one_pass_of_one_worker(spark, tokens):
+    """Two chained passes hold two Python workers a task, which stay for the jobs after them."""
+    import corpus_pipeline
+
+    once = bpe.round_trip(docs_of(spark), tokens, public_tokenizers.PATTERN)
+    twice = bpe.decode_bpe(bpe.encode_bpe(docs_of(spark), tokens, public_tokenizers.PATTERN), tokens)
+    key = lambda r: str(tuple(r))
+    assert once.columns == twice.columns and sorted(once.collect(), key=key) == sorted(twice.collect(), key=key)
+    plan = corpus_pipeline.tokens(spark, docs_of(spark), "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 # ---- chat
 
 
