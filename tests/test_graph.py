@@ -24,8 +24,8 @@ def walked(edges):
     return out
 
 
-def chains_of(spark, edges):
-    return {tuple(r) for r in graph.chains(spark.createDataFrame(edges, "u long, v long")).select("chain", "seq", "node", "closed").collect()}
+def chains_of(spark, edges, **how):
+    return {tuple(r) for r in graph.chains(spark.createDataFrame(edges, "u long, v long"), **how).select("chain", "seq", "node", "closed").collect()}
 
 
 def test_chains_of_paths_and_rings(spark):
@@ -41,6 +41,25 @@ def test_chains_of_paths_and_rings(spark):
     assert chains_of(spark, [*edges, edges[0], edges[0][::-1], (7000, 7000)]) == walked(edges)
 
 
+def test_chains_are_shortened_within_ranges(spark, monkeypatch):
+    """Paths and rings inside of one range, across many, and of names with a group, some of them null; rounds see the ends of stretches only."""
+    rng = np.random.default_rng(4)
+    edges, at = [], 0
+    for size, ring in ((300, False), (3, True), (200, True), (2, False), (150, False), (4, True)):
+        own = list(range(at, at + size)) if size != 150 else (at + rng.permutation(size)).tolist()
+        at += size
+        edges += list(zip(own, own[1:], strict=False)) + ([(own[-1], own[0])] if ring else [])
+    seen, rank = [], graph.rank_lists
+    monkeypatch.setattr(graph, "rank_lists", lambda arcs, cut: seen.append(arcs.count()) or rank(arcs, cut))
+    for range_arcs in (100_000, 70):
+        assert chains_of(spark, edges, range_arcs=range_arcs) == walked(edges)
+    assert seen[0] < 40 and max(seen) < 600 < len(edges)
+    name = lambda n: {"g": None if n % 1000 < 500 else "b", "n": n}
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges if (a % 1000 < 500) == (b % 1000 < 500)], "u struct<g:string,n:long>, v struct<g:string,n:long>")
+    got = {(r["chain"]["n"], r["seq"], r["node"]["n"], r["closed"]) for r in graph.chains(df).collect()}
+    assert got == walked([(a, b) for a, b in edges if (a % 1000 < 500) == (b % 1000 < 500)])
+
+
 def test_chains_of_nothing(spark):
     assert graph.chains(spark.createDataFrame([], "u long, v long")).collect() == []
 
