@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .graph import chains, cut_lineage, simplify_paths
 from .kernels import simplify, thin, thin_once
 from .raster import offsets, smooth
-from .tiles import over_tiles
+from .tiles import over_tiles, shifted
 from .triangles import heights
 
 LINES = "line_no long, seq long, x double, y double"
@@ -77,6 +77,8 @@ def thin_tiles(mask: DataFrame, group: list[str], cut: Callable[[DataFrame], Dat
         img = have
         for _ in range(ROUNDS):
             gone = thin_once(img)
+            if not gone.any():
+                break
             img = img & ~gone
         return {"kept": img, "late": gone}
 
@@ -95,25 +97,29 @@ def trace_tiles(mask: DataFrame, group: list[str], shortest: float = 15.0, toler
     """
     bone = cut(thin_tiles(mask, group, cut))
     around = [(1, 0), (0, 1), (-1, 0), (0, -1), (1, 1), (1, -1), (-1, -1), (-1, 1)]
-    near = bone.select(*group, F.explode(F.array(*[F.struct((F.col("u") - i).alias("u"), (F.col("v") - j).alias("v"), F.lit(k).alias("k")) for k, (i, j) in enumerate(around)])).alias("c")).select(*group, "c.*")
-    seen = near.join(bone, [*group, "u", "v"], "left_semi").groupBy(*group, "u", "v").agg(F.collect_set("k").alias("ks"))
-    has = lambda k: F.array_contains("ks", k)
-    # a diagonal step beside a corner cell would close a triangle: the corner carries the line
     side = {s: k for k, s in enumerate(around)}
-    steps = [has(k) if 0 in s else has(k) & ~has(side[s[0], 0]) & ~has(side[0, s[1]]) for k, s in enumerate(around)]
-    cells = seen.select(*group, "u", "v", F.filter(F.array(*[F.when(t, k) for k, t in enumerate(steps)]), lambda x: x.isNotNull()).alias("steps"))
-    cells = cut(cells.withColumn("stop", F.size("steps") != 2))
-    half, all_steps = len(around), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(side[-i, -j]).alias("back")) for i, j in around])
-    out = cells.select(*group, "u", "v", "stop", F.explode("steps").alias("k")).withColumn("s", F.element_at(all_steps, F.col("k") + 1))
-    ahead = cells.select(*group, F.col("u").alias("u2"), F.col("v").alias("v2"), F.col("stop").alias("stop2"))
-    node = lambda u, v, stop, k: F.struct(*group, F.col(u).alias("u"), F.col(v).alias("v"), F.when(F.col(stop), F.col(k)).otherwise(half).alias("k"))
-    both = out.select(*group, "u", "v", "stop", "k", F.col("s.back").alias("back"), (F.col("u") + F.col("s.i")).alias("u2"), (F.col("v") + F.col("s.j")).alias("v2"), F.sqrt((F.col("s.i") * F.col("s.i") + F.col("s.j") * F.col("s.j")).cast("double")).alias("length")).join(ahead, [*group, "u2", "v2"])
-    edges = cut(both.select(node("u", "v", "stop", "k").alias("u"), node("u2", "v2", "stop2", "back").alias("v"), "length").where("u < v"))
+
+    def run(arrays: dict[str, np.ndarray], have: np.ndarray, row: dict) -> dict[str, np.ndarray]:
+        beside = [have & shifted(have, i, j) for i, j in around]
+        # a diagonal step beside a corner cell would close a triangle: the corner carries the line
+        step = [b if 0 in s else b & ~beside[side[s[0], 0]] & ~beside[side[0, s[1]]] for b, s in zip(beside, around, strict=True)]
+        stop = sum(b.astype(np.int32) for b in step) != 2
+        bits = lambda masks: sum(m.astype(np.int32) << k for k, m in enumerate(masks))
+        return {"steps": bits(step), "stops": bits([b & shifted(stop, i, j) for b, (i, j) in zip(step, around, strict=True)]), "stop": stop}
+
+    # steps as bits by direction, and which of them lead to stops: a stop is seen from two cells away, and so is what it borders on
+    cells = over_tiles(bone, group, {}, 3, run, {"steps": "int", "stops": "int", "stop": "boolean"})
+    half, has = len(around), lambda bits, k: F.col(bits).bitwiseAND(F.lit(1 << k)) != 0
+    every = F.array(*[F.when(has("steps", k), F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(side[-i, -j]).alias("back"), has("stops", k).alias("stop"), F.lit(float(np.hypot(i, j))).alias("length"))) for k, (i, j) in enumerate(around)])
+    out = cells.select(*group, "u", "v", "stop", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("s"))
+    node = lambda u, v, stop, k: F.struct(*group, u.alias("u"), v.alias("v"), F.when(stop, k).otherwise(half).alias("k"))
+    near, far = node(F.col("u"), F.col("v"), F.col("stop"), F.col("s.k")), node(F.col("u") + F.col("s.i"), F.col("v") + F.col("s.j"), F.col("s.stop"), F.col("s.back"))
+    edges = cut(out.select(near.alias("u"), far.alias("v"), F.col("s.length").alias("length")).where("u < v"))
     found = cut(chains(edges.select("u", "v"), cut))
     lengths = edges.join(found.select(F.col("node").alias("u"), "chain"), "u").groupBy("chain").agg(F.sum("length").alias("length"))
     rows = found.join(lengths.where(F.col("length") >= shortest), "chain")
     ends = rows.where("closed and seq = 0").join(rows.groupBy("chain").agg((F.max("seq") + 1).alias("_last")), "chain").withColumn("seq", F.col("_last")).drop("_last")
-    place = (F.col("chain.u").cast("long") + (1 << 19)) * (1 << 20) + F.col("chain.v").cast("long") + (1 << 19)
+    place = (F.col("chain.u").cast("long") + (1 << 28)) * (1 << 29) + F.col("chain.v").cast("long") + (1 << 28)  # places up to 2^28 either way
     named = rows.unionByName(ends).select(*[F.col(f"chain.{g}").alias(g) for g in group], (place * 16 + F.col("chain.k")).alias("line_no"), "seq", F.col("node.u").cast("double").alias("x"), F.col("node.v").cast("double").alias("y"))
     if tolerance <= 0:
         return named

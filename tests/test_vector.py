@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from terravane.operators import vector
+from terravane.operators import tiles, vector
 from terravane.operators.grid import Grid, scenarios
 from terravane.plans.tables import slice_cells
 
@@ -38,6 +38,28 @@ def test_tiles_trace_what_one_task_does(spark):
             assert len(lines) == len(want) > 10
 
 
+def test_sparse_tiles_are_worked_on_where_their_cells_are(spark):
+    sizes = spark.sparkContext.accumulator(0)
+
+    def run(arrays, have, row):
+        sizes.add(have.size)
+        return {"n": sum(tiles.shifted(have, i, j).astype(np.int32) for i in (-1, 0, 1) for j in (-1, 0, 1))}
+
+    bars = [(u, v) for u in range(120, 150) for v in (3, 200)] + [(u, -129) for u in range(5)]
+    got = {(r["u"], r["v"]): r["n"] for r in tiles.over_tiles(spark.createDataFrame([("a", *c) for c in bars], "case_id string, u int, v int"), ["case_id"], {}, 2, run, {"n": "int"}).collect()}
+    assert got == {(u, v): sum((u + i, v + j) in bars for i in (-1, 0, 1) for j in (-1, 0, 1)) for u, v in bars}
+    assert sizes.value < 5 * 200
+
+
+def test_far_lines_have_numbers_of_their_own(spark):
+    """Places that differ by 1 and 2^20 were one line."""
+    rows = [("a", 5 + u, 0) for u in range(30)] + [("a", 4 + u, 1 << 20) for u in range(30)]
+    got = {}
+    for r in vector.mask_to_lines(spark.createDataFrame(rows, "case_id string, u int, v int"), ["case_id"], 15.0, 1.5, most=0).collect():
+        got.setdefault(r["line_no"], []).append((r["x"], r["y"]))
+    assert sorted(sorted(x) for x in got.values()) == [[(4.0, float(1 << 20)), (33.0, float(1 << 20))], [(5.0, 0.0), (34.0, 0.0)]]
+
+
 def test_contacts_lie_between_their_units(spark):
     rows = vector.contacts(slice_cells(spark, 25), shortest=8.0).collect()
     labels = {(r["u"], r["v"]): r["label"] for r in slice_cells(spark, 25).collect()}
