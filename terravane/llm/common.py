@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_folder
+from ..operators.graph import materialise  # noqa: F401
 
 #: Fixed values. A word is a run of bytes that are digits, ASCII letters or part of a non-ASCII character.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,13 +30,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage so that a lost executor costs no recomputation of it."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of an Arrow batch, on which the memory of a Python worker and its task depends; and Spark's own value.
 BATCH_BYTES, SPARK_BATCH_BYTES = 8 << 20, "67108864b"
 

@@ -154,6 +154,49 @@ def test_segmentation_of_two_maps(spark):
     assert {(r["unit_id"], r["name"]) for r in named.collect()} == {(3, "sand"), (4, "wood")}
 
 
+def test_no_task_of_a_segmentation_gets_a_whole_map(spark):
+    wide = segmentation.SegmentParams(sample=50, min_region=30)
+    rows = [(c, u, v, *((200, 180, 90) if u < 20 else (60, 140, 70))) for c in "ab" for u in range(40) for v in range(30)]
+    cells, plans = spark.createDataFrame(rows, "case_id string, u int, v int, r int, g int, b int"), []
+
+    def cut(df):
+        out = raster.materialise(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    labels, _ = segmentation.segment_maps(cells, wide, light_sigma=4.0, cut=cut)
+    assert labels.count() == len(rows)
+    tiles = [p for p in plans if "MapInArrow" in p and "centres" in p]
+    assert tiles and not any("SortMergeJoin" in p for p in tiles)
+    ranked = [p for p in plans if "FlatMapGroupsInPandas" in p]
+    assert ranked and all("_range" in p for p in ranked)
+
+
+def test_cells_of_least_hash_are_those_of_a_ranking(spark):
+    cells = _cells(spark, 37, 29).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("case_id"), "u", "v").where("case_id = 'a' or u < 5")
+    for order in (F.xxhash64("u", "v"), F.lit(7).cast("long"), -F.col("u").cast("long")):
+        for most in (1, 150, 400):
+            got = [tuple(r) for r in segmentation.least_hashed(cells, order, most, ("case_id",)).collect()]
+            ranked = {}
+            for r in cells.withColumn("o", order).collect():
+                ranked.setdefault(r["case_id"], []).append((r["o"], r["u"], r["v"]))
+            assert sorted(got) == sorted((c, u, v) for c, x in ranked.items() for _, u, v in sorted(x)[:most])
+
+
+def test_deep_holes_get_the_nearest_label(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", u, v, 0 if u < 30 else int(rng.integers(1, 4)), 25 <= u < 75 and 20 <= v < 70 or u > 95) for u in range(100) for v in range(90)] + [("b", u, 0, u % 3, u % 2 == 0) for u in range(9)]
+    known = [r for r in rows if not r[4]]
+    have = {r[:3] for r in known}
+    rim = {r[:3] for r in known if not all((r[0], r[1] + i, r[2] + j) in have for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1)))}
+    near = lambda r: min(((r[1] - k[1]) ** 2 + (r[2] - k[2]) ** 2, k[3]) for k in known if k[0] == r[0] and k[:3] in rim)
+    want = {r[:3]: near(r)[1] if r[4] else r[3] for r in rows}
+    marked = [(*r[:3], -1 if r[4] and near(r)[0] > segmentation.FILL_REACH**2 else want[r[:3]], r[:3] in rim) for r in rows]
+    assert sum(r[3] == -1 for r in marked) > 500
+    df = spark.createDataFrame(marked, "case_id string, u int, v int, label int, rim boolean")
+    assert {(r["case_id"], r["u"], r["v"]): r["label"] for r in segmentation._fill(df, ("case_id",), segmentation.materialise).collect()} == want
+
+
 def test_noise_is_measured_and_lines_keep_their_sides(spark):
     cells = _cells(spark, 60, 40).select(F.lit(1).alias("case_id"), "u", "v", *[F.lit(120).alias(c) for c in "rgb"])
     assert segmentation.noise_level(cells).first()["sigma"] == 0

@@ -108,3 +108,13 @@ def test_vertices_of_short_paths_stay_arrays(spark):
         want[p] = {(int(k), *own[k]) for k in kernels.simplify(own, 1.0)}
     assert got == want
     assert "MapInPandas" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_of_components_do_not_grow_from_round_to_round(spark):
+    names = np.random.default_rng(8).permutation(1000)[:300].tolist()
+    edges = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "u long, v long")
+    found = graph.components(edges)
+    leaves = found._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    assert max(x.stats().sizeInBytes().bit_length() for x in leaves) < 40 and max(x.constraints().size() for x in leaves) < 20
+    assert {r["component"] for r in found.collect()} == {min(names)}
