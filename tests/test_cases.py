@@ -2,14 +2,16 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terravane.functions.exprs import GeoRef, SectionFrame
-from terravane.operators import builder, contours, evaluate, generate, raster, segmentation, spatial, vector
+from terravane.operators import builder, contours, evaluate, generate, graph, raster, segmentation, spatial, vector
 from terravane.operators.grid import Grid, scenarios
+from terravane.plans import case_queries
 from terravane.sources import readers, writers
 
 BASE = scenarios()["base"]
@@ -172,6 +174,43 @@ def test_no_task_of_a_segmentation_gets_a_whole_map(spark):
     assert ranked and all("_range" in p for p in ranked)
 
 
+def _sent(df):
+    """The keys by which a plan joins with a broadcast table."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {name for keys in re.findall(r"BroadcastHashJoin \[(.*?)\], \[", plan) for name in re.findall(r"(\w+)#", keys)}
+
+
+def test_only_rows_of_maps_and_labels_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", -1)
+    sent, by = set(), ("case_id",)
+
+    def cut(df):
+        sent.update(_sent(df))
+        return raster.materialise(df)
+
+    # a dark block whose middle is beyond a tile's fill, specks, and a border of tiles
+    colour = lambda u, v: (10, 10, 10) if u < 36 and v < 36 else (200, 60, 60) if u % 12 == 3 and v % 12 < 3 else (200, 180, 90) if u < 70 else (60, 140, 70)
+    rows = [("a", u, v, *colour(u, v)) for u in range(140) for v in range(40)]
+    labels, _ = segmentation.segment_maps(spark.createDataFrame(rows, "case_id string, u int, v int, r int, g int, b int"), segmentation.SegmentParams(sample=50, min_region=30, denoise=False), light_sigma=4.0, cut=cut)
+    assert labels.count() == len(rows) and labels.select("u", "v").distinct().count() == len(rows)
+    flat = spark.createDataFrame([("a", u, 0, "x", u % 3 == 0) for u in range(300)], "case_id string, u int, v int, kind string, hole boolean")
+    cut(contours.labelled_components(flat, by, label="kind", cut=cut))
+    cut(raster.nearest_fill(flat, "hole", "kind", cut, by))
+    assert sent <= {"case_id", "label"}
+    monkeypatch.setattr(segmentation, "segment_maps", lambda pixels, params: (pixels.select("case_id", "u", "v", F.lit(0).alias("label")), None))
+    assert "u" not in _sent(case_queries.segment_cases(spark, "/root/testdata/sf0.001"))
+
+
+def test_small_regions_are_told_by_tile(spark, monkeypatch):
+    # components that lie in several tiles: 5, 4 and 1 cells
+    at = [(126, 0, 7), (127, 0, 7), (128, 0, 7), (129, 0, 7), (129, 1, 7), (-1, 9, 8), (0, 9, 8), (0, 10, 8), (-1, 10, 8), (60, 60, 9)]
+    parts = spark.createDataFrame([(c, u, v, 2, k) for c in "ab" for u, v, k in at if c == "a" or (u, v) != (127, 0)], "case_id string, u int, v int, label int, component long")
+    for most in (0, graph.BROADCAST_ROWS):
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", most)
+        got = {(r["case_id"], r["u"], r["v"]): r["small"] for r in segmentation._marked(parts, 5, ("case_id",), raster.materialise).collect()}
+        assert got == {(r["case_id"], r["u"], r["v"]): r["component"] != 7 or r["case_id"] == "b" for r in parts.collect()}
+
+
 def test_cells_of_least_hash_are_those_of_a_ranking(spark):
     cells = _cells(spark, 37, 29).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("case_id"), "u", "v").where("case_id = 'a' or u < 5")
     for order in (F.xxhash64("u", "v"), F.lit(7).cast("long"), -F.col("u").cast("long")):

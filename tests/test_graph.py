@@ -118,3 +118,19 @@ def test_plans_of_components_do_not_grow_from_round_to_round(spark):
     leaves = [leaves.apply(i) for i in range(leaves.size())]
     assert max(x.stats().sizeInBytes().bit_length() for x in leaves) < 40 and max(x.constraints().size() for x in leaves) < 20
     assert {r["component"] for r in found.collect()} == {min(names)}
+
+
+def test_rounds_of_many_nodes_are_not_broadcast(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, (i * 7 + 3) % 400) for i in range(400)] + [(1000 + i, 1001 + i) for i in range(50)], "u long, v long")
+    few = {tuple(r) for r in graph.components(edges).collect()}
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 10)
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return graph.materialise(df)
+
+    found = graph.components(edges, cut)
+    assert {tuple(r) for r in found.collect()} == few
+    wide = [p for p in plans if "Join" in p][0]
+    assert "SortMergeJoin" in wide and "BroadcastHashJoin" not in wide
